@@ -9,10 +9,12 @@ not repaired.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leadloom.functions.let import let
+from leadloom.functions.let import bind, let
 from leadloom.functions.text import clean_text
 
 # Named entities decoded in texts and attributes ("&amp;" is last).
@@ -120,15 +122,13 @@ def _opens(token: Column) -> Column:
     return (token["name"] != "") & ~token["closing"]
 
 
-def with_leaf_texts(df: DataFrame, html: str, out: str = "leaves") -> DataFrame:
-    """Add the texts of elements without child elements, in document order.
+def leaf_texts(toks: Column) -> Column:
+    """Texts of elements without child elements, in document order.
 
     ``array<struct<tag, text>>``; empty texts and direct repeats are left out.
     """
-    toks = f"__{out}_tokens"
 
-    def leaf(token: Column, i: Column) -> Column:
-        after = F.get(F.col(toks), i + 1)
+    def leaf(token: Column, after: Column) -> Column:
         is_leaf = (
             _opens(token)
             & ~token["hollow"]
@@ -144,19 +144,30 @@ def with_leaf_texts(df: DataFrame, html: str, out: str = "leaves") -> DataFrame:
             ),
         )
 
-    return (
-        df.withColumn(toks, tokens(F.col(html)))
-        .withColumn(out, F.filter(F.transform(toks, leaf), lambda x: x["text"].isNotNull()))
-        .withColumn(out, drop_repeats(F.col(out), lambda x: x["text"]))
-        .drop(toks)
-    )
+    pairs = F.zip_with(toks, F.slice(toks, F.lit(2), F.size(toks)), leaf)
+    return drop_repeats(F.filter(pairs, lambda x: x["text"].isNotNull()), lambda x: x["text"])
+
+
+def with_leaf_texts(df: DataFrame, html: str, out: str = "leaves") -> DataFrame:
+    return bind(df, tokens(F.col(html)), lambda t: F.struct(leaf_texts(t).alias(out)))
 
 
-def drop_repeats(items: Column, value=lambda x: x) -> Column:
+def drop_repeats(items: Column, value: Callable[[Column], Column] = lambda x: x) -> Column:
     """Drop array entries equal to the entry right before them."""
-    return F.filter(
-        items, lambda x, i: (i == 0) | ~value(x).eqNullSafe(value(F.get(items, i - 1)))
-    )
+
+    def kept(xs: Column) -> Column:
+        shifted = F.slice(xs, F.lit(2), F.size(xs))
+        pairs = F.zip_with(
+            shifted, xs, lambda x, before: F.struct(x.alias("x"), before.alias("before"))
+        )
+        # The last pair has no entry of its own: it only pairs the last one with nothing.
+        changed = F.filter(
+            F.slice(pairs, F.lit(1), F.size(shifted)),
+            lambda p: ~value(p["x"]).eqNullSafe(value(p["before"])),
+        )
+        return F.concat(F.slice(xs, 1, 1), F.transform(changed, lambda p: p["x"]))
+
+    return let(items, kept)
 
 
 def find_open(toks: Column, names: list[str], after: Column | int = 0) -> Column:

@@ -4,10 +4,21 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with ``value`` computed once, however often the body names it."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def bind(df: DataFrame, value: Column, fields: Callable[[Column], Column], keep: list[str] | None = None) -> DataFrame:
+    """Add the fields of the struct ``fields(value)`` to each row.
+
+    ``value`` is computed once per row.  A plain projection would not promise
+    that: stacked projections may be merged, and an array named inside a lambda
+    would then be rebuilt for every element.
+    """
+    keep = df.columns if keep is None else keep
+    return df.select(*keep, F.inline(F.transform(F.array(value), fields)))

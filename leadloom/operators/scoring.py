@@ -1,8 +1,9 @@
 """Scoring offers against the profile document, and the verdict.
 
-A scorer takes offers (``external_id``, ``offer_markdown``) and returns one row
-per offer: ``external_id, score, reason, summary, error``.  A failure is a row
-with ``error`` set, never an exception, so one bad offer cannot stop a run.
+A scorer takes offers (key, ``offer_markdown``, ``error``) and returns the same
+rows with ``score``, ``reason`` and ``summary`` added.  Scoring happens in
+place, so the offer texts are neither shuffled nor read twice.  A failure is a
+row with ``error`` set, never an exception: one bad offer cannot stop a run.
 """
 
 from __future__ import annotations
@@ -13,9 +14,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leadloom.functions.let import let
-from leadloom.schemas import MATCHES
-
 Scorer = Callable[[DataFrame], DataFrame]
 
 
@@ -49,7 +47,7 @@ def cosine(a: Column, b: Column) -> Column:
     )
 
 
-def lexical_scorer(profile: DataFrame, key: str = "external_id", text: str = "offer_markdown") -> Scorer:
+def lexical_scorer(profile: DataFrame, text: str = "offer_markdown") -> Scorer:
     """Score by the share of the profile's words in the offer.
 
     The profile is one row; it enters the plan as a scalar subquery, so more
@@ -58,30 +56,38 @@ def lexical_scorer(profile: DataFrame, key: str = "external_id", text: str = "of
     mine = profile.select(words(F.col("profile"))).scalar()
 
     def score(offers: DataFrame) -> DataFrame:
-        share = overlap(F.col("__mine"), words(F.col(text)))
-        return offers.select(key, text, mine.alias("__mine")).select(
-            key,
-            share.alias("score"),
-            F.format_string("%.0f%% of the profile's words occur in the offer", share * 100).alias("reason"),
-            F.format_string("%d words in the offer", F.size(words(F.col(text)))).alias("summary"),
-            F.when(share.isNull(), F.lit("the profile has no words")).alias("error"),
+        share = F.col("__share")
+        return (
+            offers.withColumns({"__mine": mine, "__words": words(F.col(text))})
+            .withColumn("__share", overlap(F.col("__mine"), F.col("__words")))
+            .select(
+                *[c for c in offers.columns if c != "error"],
+                share.alias("score"),
+                F.format_string("%.0f%% of the profile's words occur in the offer", share * 100).alias("reason"),
+                F.format_string("%d words in the offer", F.size("__words")).alias("summary"),
+                F.when(F.col("error").isNotNull(), F.col("error"))
+                .when(share.isNull(), F.lit("nothing to compare"))
+                .alias("error"),
+            )
         )
 
     return score
 
 
-def embedding_scorer(profile: DataFrame, key: str = "external_id", vector: str = "embedding") -> Scorer:
+def embedding_scorer(profile: DataFrame, vector: str = "embedding") -> Scorer:
     """Score by cosine to the profile's vector, clamped to 0..1."""
     mine = profile.select(vector).scalar()
 
     def score(offers: DataFrame) -> DataFrame:
-        raw = offers.select(key, cosine(F.col(vector), mine).alias("__cos"))
-        return raw.select(
-            key,
-            F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("__cos"))).alias("score"),
-            F.format_string("cosine %.4f", F.col("__cos")).alias("reason"),
+        cos = F.col("__cos")
+        return offers.withColumn("__cos", cosine(F.col(vector), mine)).select(
+            *[c for c in offers.columns if c != "error"],
+            F.greatest(F.lit(0.0), F.least(F.lit(1.0), cos)).alias("score"),
+            F.format_string("cosine %.4f", cos).alias("reason"),
             F.lit("vector comparison").alias("summary"),
-            F.when(F.col("__cos").isNull(), F.lit("no direction")).alias("error"),
+            F.when(F.col("error").isNotNull(), F.col("error"))
+            .when(cos.isNull(), F.lit("no direction"))
+            .alias("error"),
         )
 
     return score
@@ -90,33 +96,42 @@ def embedding_scorer(profile: DataFrame, key: str = "external_id", vector: str =
 def python_scorer(
     score_one: Callable[[str, str], dict],
     profile: str,
-    key: str = "external_id",
     text: str = "offer_markdown",
     parallelism: int | None = None,
 ) -> Scorer:
     """Score with a Python callable ``(offer, profile) -> {score, reason, summary}``.
 
-    Rows reach Python in Arrow batches with the key and the text only.
-    ``parallelism`` limits how many calls run at the same time.
+    Rows pass through Python in Arrow batches; those with an error already are
+    left alone.  ``parallelism`` limits how many calls run at the same time.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = []
-            for row_key, offer in zip(batch[key], batch[text]):
-                try:
-                    m = score_one(offer, profile)
-                    out.append((row_key, float(m["score"]), m["reason"], m["summary"], None))
-                except Exception as problem:  # one bad row must not stop the others
-                    out.append((row_key, None, None, None, str(problem) or type(problem).__name__))
-            yield pd.DataFrame(out, columns=[key, "score", "reason", "summary", "error"])
+            scores, reasons, summaries, errors = [], [], [], []
+            for offer, error in zip(batch[text], batch["error"]):
+                score, reason, summary = None, None, None
+                if error is None:
+                    try:
+                        m = score_one(offer, profile)
+                        score, reason, summary = float(m["score"]), m["reason"], m["summary"]
+                    except Exception as problem:  # one bad row must not stop the others
+                        error = str(problem) or type(problem).__name__
+                scores.append(score)
+                reasons.append(reason)
+                summaries.append(summary)
+                errors.append(error)
+            yield batch.assign(
+                score=pd.Series(scores, dtype="float64", index=batch.index),
+                reason=reasons,
+                summary=summaries,
+                error=errors,
+            )
 
     def score(offers: DataFrame) -> DataFrame:
-        rows = offers.select(key, text)
         if parallelism:
-            rows = rows.repartition(parallelism)
-        key_type = rows.schema[key].dataType.simpleString()
-        return rows.mapInPandas(run, f"{key} {key_type}, " + MATCHES.split(", ", 1)[1])
+            offers = offers.repartition(parallelism)
+        fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in offers.schema]
+        return offers.mapInPandas(run, ", ".join([*fields, "score double", "reason string", "summary string"]))
 
     return score
 
@@ -157,31 +172,18 @@ def select_matches(candidates: DataFrame, threshold: float, score: str = "score"
 def score_offers(offers: DataFrame, scorer: Scorer, threshold: float, key: str = "external_id") -> DataFrame:
     """Outcome of every offer row: fetch failed, scoring failed, matched or rejected.
 
-    ``offers`` are listings with ``offer_markdown`` or ``error``.  Only fetched
-    rows reach the scorer.  The result holds what is written back to the state.
+    ``offers`` are listings with ``offer_markdown`` or ``error``; the result
+    holds what is written back to the state.
     """
-    fetched = offers.where(F.col("error").isNull())
-    scored = validated(scorer(fetched))
-    done = fetched.select(key, "offer_markdown").join(scored, key, "left")
-    failed = F.col("error").isNotNull() | F.col("score").isNull()
-    outcome = done.select(
+    checked = validated(scorer(offers.select(key, "offer_markdown", "error")))
+    failed = F.col("error").isNotNull()
+    return checked.select(
         key,
         "offer_markdown",
-        F.when(~failed, F.col("score")).alias("match_score"),
-        F.when(~failed, F.col("reason")).alias("match_reason"),
-        F.when(~failed, F.col("summary")).alias("summary"),
+        F.col("score").alias("match_score"),
+        F.col("reason").alias("match_reason"),
+        "summary",
         F.when(failed, F.lit("error")).otherwise(verdict(F.col("score"), threshold)).alias("status"),
-        F.when(failed, F.coalesce("error", F.lit("no score"))).alias("error"),
-        F.lit(True).alias("fetched"),
-    )
-    unfetched = offers.where(F.col("error").isNotNull()).select(
-        key,
-        F.lit(None).cast("string").alias("offer_markdown"),
-        F.lit(None).cast("double").alias("match_score"),
-        F.lit(None).cast("string").alias("match_reason"),
-        F.lit(None).cast("string").alias("summary"),
-        F.lit("error").alias("status"),
         "error",
-        F.lit(False).alias("fetched"),
+        F.col("offer_markdown").isNotNull().alias("fetched"),
     )
-    return outcome.unionByName(unfetched)

@@ -8,18 +8,29 @@ from pyspark.sql import functions as F
 from leadloom.operators import listing as L
 from leadloom.schemas import LISTINGS, RunConfig, SourceConfig
 from leadloom.session import stage
-from leadloom.sources.boards import BOARDS, Board, frontier, select_sources
-from leadloom.sources.pages import scan_pages
+from leadloom.sources.boards import BOARDS, Board, select_sources
 
 
-def _visited(pages: DataFrame, config: SourceConfig, boards: dict[str, Board]) -> DataFrame:
-    targets = frontier(pages.sparkSession, config, boards)
-    return scan_pages(targets, pages.where(F.col("source") == config.source))
+def visited(pages: DataFrame, config: SourceConfig, boards: dict[str, Board] = BOARDS) -> DataFrame:
+    """Landed pages of a source's search.
+
+    A landed page belongs to the search when its address is the one the search
+    has for its number.  Pages behind number ``max_listings`` are never needed,
+    as every page taken holds at least one listing.
+    """
+    board = boards[config.source]
+    last = max(config.max_listings, 1) if board.paged else 1
+    number = F.col("page_no")
+    return pages.where(
+        (F.col("source") == config.source)
+        & number.between(1, last)
+        & (F.col("url") == board.search_url(config, number))
+    ).withColumn("base_url", F.lit(config.base_url))
 
 
 def parse_pages(pages: DataFrame, chosen: list[SourceConfig], boards: dict[str, Board] = BOARDS) -> DataFrame:
     """Listings of all visited pages, repeats on a page collapsed."""
-    parts = [boards[c.source].parse(_visited(pages, c, boards)) for c in chosen]
+    parts = [boards[c.source].parse(visited(pages, c, boards)) for c in chosen]
     # Cards are put together by page once; collapsing, counting and ranking on
     # a page then need no further shuffle.
     rows = L.union_sources(parts).repartition("source", "page_no")
@@ -35,7 +46,7 @@ def page_counts(
         more = boards[c.source].more
         last = ~F.col("html").rlike(more) if more else F.lit(False)
         parts.append(
-            _visited(pages, c, boards).select(
+            visited(pages, c, boards).select(
                 "source", "page_no", last.alias("last"), F.lit(c.max_listings).alias("cap")
             )
         )
@@ -66,20 +77,19 @@ def discover(
         return pages.sparkSession.createDataFrame([], LISTINGS)
     rows = stage(parse_pages(pages, chosen, boards), "listings")
     counts = stage(page_counts(pages, rows, chosen, boards), "pages")
-    paged = counts.where(F.col("source").isin([c.source for c in chosen if boards[c.source].paged]))
     kept = L.page_prefix(counts, "cap", last="last")
     if strict:
-        visited = {r["source"] for r in counts.select("source").distinct().collect()}
-        lost = [c.source for c in chosen if c.source not in visited]
-        lost += [
-            r["source"]
-            for r in L.unfinished(
-                paged, kept.where(F.col("source").isin([c.source for c in chosen if boards[c.source].paged])),
-                "cap", last="last",
-            ).collect()
-        ]
-        if lost:
-            raise RuntimeError(f"Request failed for a page of {', '.join(sorted(lost))}")
+        _check_landed(counts, kept, chosen, boards)
     capped = L.cap_rows(rows, kept, "cap").drop("rank")
     first = L.dedupe_first(capped, ["external_id"], ["source_rank", "page_no", "pos"])
     return first.drop("source_rank")
+
+
+def _check_landed(counts: DataFrame, kept: DataFrame, chosen: list[SourceConfig], boards: dict[str, Board]) -> None:
+    """Fail when a page the crawl would have asked for is missing.  At most one row per source is collected."""
+    paged = F.col("source").isin([c.source for c in chosen if boards[c.source].paged])
+    lost = L.unfinished(counts.where(paged), kept.where(paged), "cap", last="last")
+    found = {r["source"] for r in counts.select("source").distinct().collect()}
+    missing = {c.source for c in chosen} - found | {r["source"] for r in lost.collect()}
+    if missing:
+        raise RuntimeError(f"Request failed for a page of {', '.join(sorted(missing))}")

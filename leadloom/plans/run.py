@@ -39,10 +39,9 @@ def process_listings(
     error``.  The profile is read only if some listing is open; when that
     fails, the sightings are stored already and stay ``discovered``.
     """
-    before = stage(
-        S.status_lookup(listings.select("external_id"), table.read()), "statuses"
-    )
-    sightings = S.upsert_discovered(table.read(), listings, now, how="right_outer")
+    known = table.rows_of(listings)
+    before = stage(S.status_lookup(listings.select("external_id"), known), "statuses")
+    sightings = S.upsert_discovered(known, listings, now, how="right_outer")
     table.append_changes(sightings, tag and f"{tag}-seen")
 
     open_keys = before.where(S.needs_work(F.col("status"))).select("external_id")

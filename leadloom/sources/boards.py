@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from leadloom.functions import html as H
 from leadloom.functions import urls as U
-from leadloom.functions.let import let
+from leadloom.functions.let import bind, let
 from leadloom.functions.text import (
     has_amount,
     has_currency,
@@ -49,92 +49,95 @@ def with_flat_fields(df: DataFrame, leaves: str = "leaves") -> DataFrame:
             x["text"].alias("text"),
             i.alias("i"),
             has_currency(x["text"]).alias("paid"),
-            (~is_label(x["text"]) & ~has_currency(x["text"])).alias("plain"),
+            is_label(x["text"]).alias("label"),
         ),
     )
-    plain = F.filter("__marked", lambda x: x["plain"])
-    title, company, place = (F.get("__plain", F.lit(i)) for i in range(3))
-    salary = F.filter(
-        "__marked",
-        lambda x: x["paid"]
-        & ~is_undisclosed(x["text"])
-        & (x["i"] > title["i"])
-        & (place["i"].isNull() | (x["i"] < place["i"])),
-    )
-    return (
-        df.withColumn("__marked", marked)
-        .withColumn("__plain", plain)
-        .withColumns(
-            {
-                "title": title["text"],
-                "company": company["text"],
-                "location": place["text"],
-                "salary_text": F.get(salary, F.lit(0))["text"],
-            }
+
+    def fields(texts: Column, plain: Column) -> Column:
+        title, company, place = (F.get(plain, F.lit(i)) for i in range(3))
+        salary = F.filter(
+            texts,
+            lambda x: x["paid"]
+            & ~is_undisclosed(x["text"])
+            & (x["i"] > title["i"])
+            & (place["i"].isNull() | (x["i"] < place["i"])),
         )
-        .drop("__marked", "__plain")
+        return F.struct(
+            title["text"].alias("title"),
+            company["text"].alias("company"),
+            F.get(salary, F.lit(0))["text"].alias("salary_text"),
+            place["text"].alias("location"),
+        )
+
+    return bind(
+        df,
+        marked,
+        lambda texts: let(
+            F.filter(texts, lambda x: ~x["label"] & ~x["paid"]), lambda plain: fields(texts, plain)
+        ),
     )
 
 
-def with_headed_fields(df: DataFrame, toks: str = "toks") -> DataFrame:
+def with_headed_fields(df: DataFrame, card: str = "card") -> DataFrame:
     """Read fields by tag: title ``h3``, company ``h4``, place the box behind it.
 
     The salary is the text of the first box that reads as an amount.
     """
-    t = F.col(toks)
-    h4 = H.find_open(t, ["h4"])
-    boxes = F.filter(
-        F.transform(
-            t, lambda x, i: F.when(~x["closing"] & x["name"].isin("div", "span"), i + 1)
-        ),
-        lambda p: p.isNotNull(),
-    )
-    amounts = F.filter(F.transform(boxes, lambda p: H.element_text(t, p)), has_amount)
-    paid = F.exists(t, lambda x: F.contains(x["text"], F.lit("PLN")))
-    return (
-        df.withColumn("__h4", h4)
-        .withColumns(
-            {
-                "title": F.nullif(strip_new_mark(H.element_text(t, H.find_open(t, ["h3"]))), F.lit("")),
-                "company": H.element_text(t, F.col("__h4")),
-                "salary_text": F.when(paid, plain_dashes(F.get(amounts, F.lit(0)))),
-                "location": strip_more_places(
-                    H.element_text(t, H.later_sibling(t, F.col("__h4"), ["div", "span"]))
-                ),
-            }
+
+    def salary(t: Column) -> Column:
+        boxes = F.filter(
+            F.transform(
+                t, lambda x, i: F.when(~x["closing"] & x["name"].isin("div", "span"), i + 1)
+            ),
+            lambda p: p.isNotNull(),
         )
-        .drop("__h4")
-    )
+        amounts = F.filter(F.transform(boxes, lambda p: H.element_text(t, p)), has_amount)
+        paid = F.exists(t, lambda x: F.contains(x["text"], F.lit("PLN")))
+        return F.when(paid, plain_dashes(F.get(amounts, F.lit(0))))
+
+    def fields(t: Column) -> Column:
+        title = strip_new_mark(H.element_text(t, H.find_open(t, ["h3"])))
+        h4 = H.find_open(t, ["h4"])
+        place = H.element_text(t, H.later_sibling(t, h4, ["div", "span"]))
+        return F.struct(
+            F.nullif(title, F.lit("")).alias("title"),
+            H.element_text(t, h4).alias("company"),
+            salary(t).alias("salary_text"),
+            strip_more_places(place).alias("location"),
+        )
+
+    return bind(df, H.tokens(H.inner(F.col(card))), fields)
 
 
-def with_block_fields(df: DataFrame, toks: str = "toks", card: str = "card") -> DataFrame:
+def with_block_fields(df: DataFrame, card: str = "card") -> DataFrame:
     """Read fields by block: title ``h3``, company the logo's name or the first
     box of the title's block, place the first box of the block behind it."""
-    t = F.col(toks)
-    block, side = F.col("__block"), F.col("__side")
 
-    def first_box(inside: Column) -> Column:
+    def first_box(t: Column, inside: Column) -> Column:
         return let(
             H.find_open(t, ["div"], inside), lambda b: F.when(b < H.close_of(t, inside), b)
         )
 
-    box = F.when(block.isNull(), H.find_open(t, ["div"])).otherwise(first_box(block))
-    return (
-        df.withColumn("__h3", H.find_open(t, ["h3"]))
-        .withColumn("__block", H.parent_of(t, F.col("__h3")))
-        .withColumn("__side", H.later_sibling(t, block))
-        .withColumns(
-            {
-                "title": H.element_text(t, F.col("__h3")),
-                "company": F.coalesce(
-                    H.first_image_alt(F.col(card)),
-                    F.when(F.col("__h3").isNotNull(), H.element_text(t, box)),
-                ),
-                "salary_text": F.lit(None).cast("string"),
-                "location": H.element_text(t, first_box(side)),
-            }
+    def fields(t: Column, h3: Column, block: Column) -> Column:
+        box = F.when(block.isNull(), H.find_open(t, ["div"])).otherwise(first_box(t, block))
+        company = F.coalesce(
+            H.first_image_alt(F.col(card)), F.when(h3.isNotNull(), H.element_text(t, box))
+        )
+        place = let(H.later_sibling(t, block), lambda side: H.element_text(t, first_box(t, side)))
+        return F.struct(
+            H.element_text(t, h3).alias("title"),
+            company.alias("company"),
+            F.lit(None).cast("string").alias("salary_text"),
+            place.alias("location"),
         )
-        .drop("__h3", "__block", "__side")
+
+    return bind(
+        df,
+        H.tokens(H.inner(F.col(card))),
+        lambda t: let(
+            H.find_open(t, ["h3"]),
+            lambda h3: let(H.parent_of(t, h3), lambda block: fields(t, h3, block)),
+        ),
     )
 
 
@@ -167,8 +170,7 @@ def parse_flat(pages: DataFrame) -> DataFrame:
 
 def parse_headed(pages: DataFrame) -> DataFrame:
     found = cards(pages, lambda href: href.startswith("/pl/job/"))
-    read = found.withColumn("toks", H.tokens(H.inner(F.col("card"))))
-    return to_listings(with_headed_fields(read), "nofluffjobs")
+    return to_listings(with_headed_fields(found), "nofluffjobs")
 
 
 def parse_blocks(pages: DataFrame) -> DataFrame:
@@ -176,8 +178,7 @@ def parse_blocks(pages: DataFrame) -> DataFrame:
     found = found.where(
         U.pathname(U.resolve(F.col("href"), F.col("base_url"))).rlike(r"\A/companies/jobs/[0-9]")
     )
-    read = found.withColumn("toks", H.tokens(H.inner(F.col("card"))))
-    return to_listings(with_block_fields(read), "bulldogjob")
+    return to_listings(with_block_fields(found), "bulldogjob")
 
 
 @dataclass(frozen=True)

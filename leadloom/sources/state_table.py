@@ -87,6 +87,14 @@ class StateTable:
             return overlay
         return base.join(overlay.select(self.key), self.key, "left_anti").select(base.columns).unionByName(overlay)
 
+    def rows_of(self, keys: DataFrame) -> DataFrame:
+        """Stored rows of the given keys.
+
+        A semi join: few keys are broadcast by their measured size, many are
+        shuffled to the table's buckets; the table itself stays in place.
+        """
+        return self.read().join(keys.select(self.key), self.key, "left_semi")
+
     def _write(self, df: DataFrame, kind: str, tag: str | None, by_bucket: bool = False) -> int:
         versions = self.versions()
         number = versions[-1][0] + 1 if versions else 1

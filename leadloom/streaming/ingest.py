@@ -35,10 +35,17 @@ def fold(
     checkpoint: str,
     name: str = "fold",
 ) -> StreamingQuery:
-    """Take in all available files; ``changes(table, batch)`` gives the changed rows."""
+    """Take in all available files.
+
+    ``changes(known, batch)`` gives the changed rows; ``known`` are the stored
+    rows of the batch's keys.
+    """
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
-        table.append_changes(changes(table.read(), batch), f"{name}-{batch_id}")
+        batch.persist()
+        known = table.rows_of(batch)
+        table.append_changes(changes(known, batch), f"{name}-{batch_id}")
+        batch.unpersist()
 
     return (
         stream.writeStream.foreachBatch(on_batch)
