@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from leadloom.bindings import cards, texts
+from leadloom.bindings import cards, discovery, states, texts
 
-_MODULES = [texts, cards]
+_MODULES = [texts, cards, discovery, states]
 
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 ORACLE = {name: sql for module in _MODULES for name, sql in module.ORACLE.items()}
