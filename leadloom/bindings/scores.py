@@ -59,8 +59,8 @@ def score_overlap(spark, d):
 
 def _cosines(spark, d):
     vectors = table(spark, d, "embeddings")
-    mine = vectors.where(c("vec_id") == 0).select(c("embedding").alias("mine")).scalar()
-    return vectors.withColumn("cos", M.cosine(c("embedding"), mine))
+    mine = vectors.where(c("vec_id") == 0).select("embedding")
+    return M.with_cosine(vectors, mine, "embedding", "cos")
 
 
 def score_cosine(spark, d):

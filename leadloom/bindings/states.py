@@ -78,16 +78,14 @@ def stored_jobs(spark, d):
     )
 
 
+def order_listing():
+    """Listing columns of an order; some equal the stored row of its lines."""
+    salary = F.when(c("o_orderpriority") == "5-LOW", c("o_orderpriority"))
+    return _listing_columns(c("o_orderkey"), F.lit("line"), salary, c("o_orderstatus"))
+
+
 def sightings(spark, d):
-    """Listings of all orders; some of them unchanged against the stored rows."""
-    return table(spark, d, "orders").select(
-        *_listing_columns(
-            c("o_orderkey"),
-            F.lit("line"),
-            F.when(c("o_orderpriority") == "5-LOW", c("o_orderpriority")),
-            c("o_orderstatus"),
-        )
-    )
+    return table(spark, d, "orders").select(*order_listing())
 
 
 def upsert_discovered(spark, d):

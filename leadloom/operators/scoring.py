@@ -47,6 +47,19 @@ def cosine(a: Column, b: Column) -> Column:
     )
 
 
+def with_cosine(rows: DataFrame, one: DataFrame, vector: str, out: str) -> DataFrame:
+    """Add the cosine of each row's vector to the single vector of ``one``.
+
+    The single vector is a scalar subquery, so nothing is joined.
+    """
+    mine = one.select(vector).scalar()
+    return (
+        rows.withColumn("__mine", mine)
+        .withColumn(out, cosine(F.col(vector), F.col("__mine")))
+        .drop("__mine")
+    )
+
+
 def lexical_scorer(profile: DataFrame, text: str = "offer_markdown") -> Scorer:
     """Score by the share of the profile's words in the offer.
 
@@ -76,11 +89,10 @@ def lexical_scorer(profile: DataFrame, text: str = "offer_markdown") -> Scorer:
 
 def embedding_scorer(profile: DataFrame, vector: str = "embedding") -> Scorer:
     """Score by cosine to the profile's vector, clamped to 0..1."""
-    mine = profile.select(vector).scalar()
 
     def score(offers: DataFrame) -> DataFrame:
         cos = F.col("__cos")
-        return offers.withColumn("__cos", cosine(F.col(vector), mine)).select(
+        return with_cosine(offers, profile, vector, "__cos").select(
             *[c for c in offers.columns if c != "error"],
             F.greatest(F.lit(0.0), F.least(F.lit(1.0), cos)).alias("score"),
             F.format_string("cosine %.4f", cos).alias("reason"),
