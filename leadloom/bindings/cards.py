@@ -111,12 +111,12 @@ def classify_fields(spark, d):
 
 def classify_tags(spark, d):
     def fields(t):
-        h1 = H.find_open(t, ["h1"])
+        h1 = H.find_open(t, "h1")
         return F.struct(
             H.element_text(t, h1).alias("title"),
-            H.element_text(t, H.find_open(t, ["li"])).alias("company"),
-            H.element_text(t, H.later_sibling(t, H.find_open(t, ["nav"]), ["div"])).alias("location"),
-            F.get(t, H.parent_of(t, h1) - 1)["name"].alias("block"),
+            H.element_text(t, H.find_open(t, "li")).alias("company"),
+            H.element_text(t, H.later_sibling(t, H.find_open(t, "nav"), ["div"])).alias("location"),
+            F.get(t["names"], H.parent_of(t, h1) - 1).alias("block"),
         )
 
     return bind(table(spark, d, "pages"), H.tokens(H.strip_silent(c("html"))), fields, ["page_id"])
@@ -128,7 +128,7 @@ def extract_listings(spark, d):
         "title", "company", "salary_text", "location", c("url").alias("href"), c("url").alias("base_url"),
         F.lit(1).alias("page_no"), c("page_id").alias("pos"),
     )
-    return B.to_listings(rows, "web")
+    return B.to_listings(B.with_address(rows), "web")
 
 
 _LISTING = ["external_id", "source", "url", "title", "company", "salary_text", "location", "page_no", "pos"]

@@ -1,8 +1,8 @@
 """Reading listing cards out of page markup with array functions.
 
-A card is cut at every ``<`` into tokens (tag name, opening / closing, text
-behind the tag).  Leaf texts, the whole text of an element, its siblings and
-its parent are then folds over that array, so a card is read in the task that
+A card is cut at its tags into two aligned arrays: the tag names and the texts
+behind them.  Leaf texts, the whole text of an element, its siblings and its
+parent are then look-ups in those arrays, so a card is read in the task that
 scanned its page, without a shuffle and without Python.  Missing end tags are
 not repaired.
 """
@@ -14,7 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leadloom.functions.let import bind, let
+from leadloom.functions.let import bind, filled, let
 from leadloom.functions.text import clean_text
 
 # Named entities decoded in texts and attributes ("&amp;" is last).
@@ -93,7 +93,7 @@ def attribute(tag: Column, name: str) -> Column:
     raw = F.regexp_extract(
         tag, rf"""(?is)\A<[^>\s]+(?:\s[^>]*?)?\s{name}\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", 1
     )
-    return F.nullif(decode_entities(F.regexp_replace(raw, r"""\A["']|["']\z""", "")), F.lit(""))
+    return filled(decode_entities(F.regexp_replace(raw, r"""\A["']|["']\z""", "")))
 
 
 def first_image_alt(html: Column) -> Column:
@@ -102,24 +102,41 @@ def first_image_alt(html: Column) -> Column:
     return clean_text(attribute(image, "alt"))
 
 
+_TAG = "<[^<>]*>"
+_TAG_NAME = "<(/?[A-Za-z][A-Za-z0-9-]*/?)?[^<>]*>"
+_CLOSED_TAG = "<([A-Za-z][A-Za-z0-9-]*)([^<>]*)/>"
+
+
 def tokens(html: Column) -> Column:
-    """``array<struct<name, closing, hollow, text>>``, one entry per tag."""
-
-    def token(chunk: Column) -> Column:
-        name = F.lower(F.regexp_extract(chunk, r"\A/?([A-Za-z][A-Za-z0-9-]*)", 1))
-        end = F.instr(chunk, ">")
-        return F.struct(
-            name.alias("name"),
-            chunk.startswith("/").alias("closing"),
-            (name.isin(VOID_TAGS) | chunk.rlike(r"\A[^>]*/>")).alias("hollow"),
-            F.when(end > 0, F.substring(chunk, end + 1, F.length(chunk))).otherwise("").alias("text"),
-        )
+    """``struct<names, texts>`` of a fragment.
+
+    ``names`` holds one entry per tag: "div", "/div" for an end tag, "div/" for
+    a tag closed in itself, "" for anything else.  ``texts`` holds the text
+    before the first tag and then the text behind each tag.
+    """
 
-    return F.transform(F.split(html, "<"), token)
+    def cut(m: Column) -> Column:
+        names = F.regexp_extract_all(m, F.lit(_TAG_NAME), F.lit(1))
+        return F.struct(F.transform(names, F.lower).alias("names"), F.split(m, _TAG).alias("texts"))
 
+    def marked(h: Column) -> Column:
+        closed = F.regexp_replace(h, _CLOSED_TAG, "<$1/$2>")
+        return F.when(F.contains(h, F.lit("/>")), closed).otherwise(h)
 
-def _opens(token: Column) -> Column:
-    return (token["name"] != "") & ~token["closing"]
+    return let(let(html, marked), cut)
+
+
+def _name(toks: Column, place: Column) -> Column:
+    return F.get(toks["names"], place - 1)
+
+
+def _move(name: Column) -> Column:
+    """How a tag changes the nesting depth."""
+    return (
+        F.when(name.startswith("/"), F.lit(-1))
+        .when((name == "") | name.endswith("/") | name.isin(VOID_TAGS), F.lit(0))
+        .otherwise(F.lit(1))
+    )
 
 
 def leaf_texts(toks: Column) -> Column:
@@ -127,25 +144,15 @@ def leaf_texts(toks: Column) -> Column:
 
     ``array<struct<tag, text>>``; empty texts and direct repeats are left out.
     """
+    names, texts = toks["names"], toks["texts"]
 
-    def leaf(token: Column, after: Column) -> Column:
-        is_leaf = (
-            _opens(token)
-            & ~token["hollow"]
-            & ~token["name"].isin(SILENT_TAGS)
-            & after["closing"]
-            & (after["name"] == token["name"])
-        )
-        return F.when(
-            is_leaf,
-            F.struct(
-                token["name"].alias("tag"),
-                clean_text(decode_entities(token["text"])).alias("text"),
-            ),
-        )
+    def leaf(name: Column, i: Column) -> Column:
+        is_leaf = (F.get(names, i + 1) == F.concat(F.lit("/"), name)) & ~name.isin(SILENT_TAGS)
+        text = clean_text(decode_entities(F.get(texts, i + 1)))
+        return F.when(is_leaf, F.struct(name.alias("tag"), text.alias("text")))
 
-    pairs = F.zip_with(toks, F.slice(toks, F.lit(2), F.size(toks)), leaf)
-    return drop_repeats(F.filter(pairs, lambda x: x["text"].isNotNull()), lambda x: x["text"])
+    found = F.filter(F.transform(names, leaf), lambda x: x["text"].isNotNull())
+    return drop_repeats(found, lambda x: x["text"])
 
 
 def with_leaf_texts(df: DataFrame, html: str, out: str = "leaves") -> DataFrame:
@@ -170,16 +177,23 @@ def drop_repeats(items: Column, value: Callable[[Column], Column] = lambda x: x)
     return let(items, kept)
 
 
-def find_open(toks: Column, names: list[str], after: Column | int = 0) -> Column:
-    """1-based place of the first opening tag among ``names`` behind place ``after``; NULL if none."""
-    after = F.lit(after) if isinstance(after, int) else after
-    places = F.filter(
-        F.transform(
-            toks, lambda t, i: F.when(_opens(t) & t["name"].isin(names) & (i + 1 > after), i + 1)
-        ),
-        lambda p: p.isNotNull(),
+def find_open(toks: Column, name: str, after: Column | None = None) -> Column:
+    """1-based place of the first opening tag ``name`` behind place ``after``; NULL if none."""
+    if after is None:
+        return _found(F.array_position(toks["names"], name))
+    tail = F.slice(toks["names"], after + 1, F.size(toks["names"]))
+    return _found(F.array_position(tail, name)) + after
+
+
+def _found(position: Column) -> Column:
+    return F.get(F.filter(F.array(position.cast("int")), lambda p: p > 0), F.lit(0))
+
+
+def _is_leaf(toks: Column, place: Column) -> Column:
+    """Whether the end tag follows right behind the tag at ``place``."""
+    return F.coalesce(
+        F.get(toks["names"], place) == F.concat(F.lit("/"), _name(toks, place)), F.lit(False)
     )
-    return F.get(places, F.lit(0))
 
 
 def close_of(toks: Column, place: Column) -> Column:
@@ -188,31 +202,39 @@ def close_of(toks: Column, place: Column) -> Column:
 
 
 def _close_of(toks: Column, place: Column) -> Column:
-    name = F.get(toks, place - 1)["name"]
-    start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("n"), F.lit(False).alias("done"))
-
-    def step(acc: Column, t: Column) -> Column:
-        move = (
-            F.when((t["name"] != name) | t["hollow"], F.lit(0))
-            .when(t["closing"], F.lit(-1))
-            .otherwise(F.lit(1))
-        )
-        depth = acc["depth"] + move
-        return F.when(acc["done"], acc).otherwise(
-            F.struct(depth.alias("depth"), (acc["n"] + 1).alias("n"), (depth <= 0).alias("done"))
+    name = _name(toks, place)
+    end = F.concat(F.lit("/"), name)
+    start = F.struct(F.lit(1).alias("depth"), F.lit(0).alias("n"))
+
+    def step(acc: Column, other: Column) -> Column:
+        move = F.when(other == name, F.lit(1)).when(other == end, F.lit(-1)).otherwise(F.lit(0))
+        return F.when(acc["depth"] <= 0, acc).otherwise(
+            F.struct((acc["depth"] + move).alias("depth"), (acc["n"] + 1).alias("n"))
         )
 
-    tail = F.slice(toks, place, F.size(toks))
-    return F.aggregate(tail, start, step, lambda acc: place + acc["n"] - 1)
+    def search(tail: Column) -> Column:
+        first_end = F.array_position(tail, end)
+        nested = F.array_position(tail, name)
+        # Without the same tag inside, the first end tag is the one.
+        return F.when(
+            (first_end > 0) & ((nested == 0) | (nested > first_end)),
+            (place + first_end).cast("int"),
+        ).otherwise(F.aggregate(tail, start, step, lambda acc: place + acc["n"]))
+
+    names = toks["names"]
+    return F.when(_is_leaf(toks, place), place + 1).otherwise(
+        let(F.slice(names, place + 1, F.size(names)), search)
+    )
 
 
 def element_text(toks: Column, place: Column) -> Column:
     """Cleaned whole text of the element opened at ``place``, children included."""
+    texts = toks["texts"]
 
     def text(p: Column) -> Column:
-        inside = F.slice(toks, p, F.greatest(_close_of(toks, p) - p, F.lit(0)))
-        joined = F.array_join(F.transform(inside, lambda t: t["text"]), "")
-        return F.when(p.isNotNull(), clean_text(decode_entities(joined)))
+        whole = F.array_join(F.slice(texts, p + 1, _close_of(toks, p) - p), "")
+        raw = F.when(_is_leaf(toks, p), F.get(texts, p)).otherwise(whole)
+        return F.when(p.isNotNull(), clean_text(decode_entities(raw)))
 
     return let(place, text)
 
@@ -221,23 +243,19 @@ def parent_of(toks: Column, place: Column) -> Column:
     """Place of the element around ``place``; NULL at the top."""
 
     def parent(p: Column) -> Column:
-        before = F.transform(
-            F.slice(toks, F.lit(1), F.greatest(p - 1, F.lit(0))),
-            lambda t, i: F.struct(
-                t["closing"].alias("closing"),
-                t["hollow"].alias("hollow"),
-                t["name"].alias("name"),
-                (i + 1).alias("place"),
-            ),
-        )
         stack = F.aggregate(
-            before,
+            F.transform(
+                F.slice(toks["names"], F.lit(1), F.greatest(p - 1, F.lit(0))),
+                lambda name, i: F.struct(_move(name).alias("move"), (i + 1).alias("place")),
+            ),
             F.array().cast("array<int>"),
-            lambda acc, t: F.when((t["name"] == "") | t["hollow"], acc)
-            .when(t["closing"], F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))))
+            lambda acc, t: F.when(t["move"] == 0, acc)
+            .when(t["move"] < 0, F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))))
             .otherwise(F.concat(acc, F.array(t["place"]))),
         )
-        return F.when(p.isNotNull(), F.try_element_at(stack, F.lit(-1)))
+        return F.when(_move(_name(toks, p - 1)) == 1, p - 1).when(
+            p.isNotNull(), F.try_element_at(stack, F.lit(-1))
+        )
 
     return let(place, parent)
 
@@ -251,14 +269,14 @@ def later_sibling(toks: Column, place: Column, names: list[str] | None = None) -
         F.lit(False).alias("found"),
     )
 
-    def step(acc: Column, t: Column) -> Column:
-        wanted = t["name"].isin(names) if names else F.lit(True)
-        hit = _opens(t) & (acc["depth"] == 0) & wanted
-        depth = acc["depth"] + (
-            F.when((t["name"] == "") | t["hollow"], F.lit(0))
-            .when(t["closing"], F.lit(-1))
-            .otherwise(F.lit(1))
-        )
+    def opens(name: Column) -> Column:
+        bare = F.rtrim(name, F.lit("/"))
+        wanted = bare.isin(names) if names else F.lit(True)
+        return (name != "") & ~name.startswith("/") & wanted
+
+    def step(acc: Column, name: Column) -> Column:
+        hit = opens(name) & (acc["depth"] == 0)
+        depth = acc["depth"] + _move(name)
         return F.when(acc["done"], acc).otherwise(
             F.struct(
                 depth.alias("depth"),
@@ -269,14 +287,8 @@ def later_sibling(toks: Column, place: Column, names: list[str] | None = None) -
         )
 
     def search(end: Column) -> Column:
-        return F.when(
-            end.isNotNull(),
-            F.aggregate(
-                F.slice(toks, end + 1, F.size(toks)),
-                start,
-                step,
-                lambda acc: F.when(acc["found"], end + acc["n"]),
-            ),
-        )
+        tail = F.slice(toks["names"], end + 1, F.size(toks["names"]))
+        folded = F.aggregate(tail, start, step, lambda acc: F.when(acc["found"], end + acc["n"]))
+        return F.when(opens(F.get(toks["names"], end)), end + 1).when(end.isNotNull(), folded)
 
     return let(close_of(toks, place), search)

@@ -13,6 +13,11 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def filled(text: Column) -> Column:
+    """``text``, or NULL when it is empty; unlike ``nullif`` it computes ``text`` once."""
+    return F.get(F.filter(F.array(text), lambda v: v != F.lit("")), F.lit(0))
+
+
 def bind(df: DataFrame, value: Column, fields: Callable[[Column], Column], keep: list[str] | None = None) -> DataFrame:
     """Add the fields of the struct ``fields(value)`` to each row.
 

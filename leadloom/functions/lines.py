@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from leadloom.functions.let import filled
+
 
 def stage_of(stage: Column, fetching: Column, queued_fetch: Column, scoring: Column, queued_score: Column) -> Column:
     """What a run is doing, from its open work."""
@@ -89,8 +91,8 @@ def match_line(score: Column, title: Column, company: Column, status: Column, sa
         title,
         company,
         F.concat(F.lit("status="), status),
-        F.concat(F.lit("salary="), F.nullif(salary, F.lit(""))),
-        F.nullif(url, F.lit("")),
+        F.concat(F.lit("salary="), filled(salary)),
+        filled(url),
     )
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from leadloom.functions.let import filled
 from leadloom.schemas import LEAD_BADGES, META_LABELS
 
 # White space as the pages' own scripting language sees it.  Java's \s is ASCII
@@ -20,7 +21,7 @@ WORD_END = r"(?![A-Za-z0-9_])"
 
 def clean_text(text: Column) -> Column:
     """Collapse white space, trim, and turn an empty result into NULL."""
-    return F.nullif(F.trim(F.regexp_replace(text, f"{SPACE}+", " ")), F.lit(""))
+    return filled(F.trim(F.regexp_replace(text, f"{SPACE}+", " ")))
 
 
 def slugify(text: Column) -> Column:

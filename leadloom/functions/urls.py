@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from leadloom.functions.let import let
+from leadloom.functions.let import filled, let
 from leadloom.functions.text import SPACE, slugify
 
 _PARTS = r"(?s)\A([A-Za-z][A-Za-z0-9+.-]*:)//([^/?#]*)([^?#]*)(\?[^#]*)?(#.*)?\z"
@@ -62,7 +62,7 @@ def normalize(url: Column) -> Column:
             F.lower(F.regexp_extract(u, _PARTS, 1)),
             F.lit("//"),
             F.lower(F.regexp_extract(u, _PARTS, 2)),
-            F.coalesce(F.nullif(path, F.lit("")), F.lit("/")),
+            F.coalesce(filled(path), F.lit("/")),
             F.regexp_extract(u, _PARTS, 4),
             F.regexp_extract(u, _PARTS, 5),
         )
@@ -88,7 +88,7 @@ def resolve(href: Column, base: Column) -> Column:
                 F.concat(F.regexp_replace(base, r"(?s)#.*\z", ""), h),
             )
             .otherwise(
-                F.concat(origin(base), F.coalesce(F.nullif(folder, F.lit("")), F.lit("/")), h)
+                F.concat(origin(base), F.coalesce(filled(folder), F.lit("/")), h)
             )
         )
 
@@ -103,7 +103,7 @@ def pathname(url: Column) -> Column:
     browsers accept.
     """
     path = F.regexp_extract(url, _PARTS, 3)
-    return encode_unsafe(F.coalesce(F.nullif(path, F.lit("")), F.lit("/")))
+    return encode_unsafe(F.coalesce(filled(path), F.lit("/")))
 
 
 def external_id(source: Column, url: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from leadloom.functions.let import filled
 from leadloom.functions.text import id_prefix, in_domain
 from leadloom.operators.listing import collapse_last, dedupe_first
 from leadloom.schemas import (
@@ -81,16 +82,12 @@ def _rich_text(name: str) -> Column:
     return joined_text(_property(name)["rich_text"])
 
 
-def _filled(value: Column) -> Column:
-    return F.nullif(value, F.lit(""))
-
-
 def _option(name: str, kind: str) -> Column:
-    return _filled(_property(name)[kind]["name"])
+    return filled(_property(name)[kind]["name"])
 
 
 def _date(name: str) -> Column:
-    return _filled(_property(name)["date"]["start"])
+    return filled(_property(name)["date"]["start"])
 
 
 def decode_pages(pages: DataFrame, status_kind: str, source_kind: str | None = None, keep: list[str] = []) -> DataFrame:
@@ -111,7 +108,7 @@ def decode_pages(pages: DataFrame, status_kind: str, source_kind: str | None = N
         F.col("id").alias("page_id"),
         external_id.alias("external_id"),
         F.coalesce(in_domain(named, SOURCES), in_domain(id_prefix(external_id), SOURCES)).alias("source"),
-        _filled(_property("URL")["url"]).alias("url"),
+        filled(_property("URL")["url"]).alias("url"),
         joined_text(_property("Name")["title"]).alias("title"),
         F.coalesce(_rich_text("Company"), F.lit("")).alias("company"),
         _rich_text("Salary").alias("salary_text"),
@@ -125,13 +122,13 @@ def decode_pages(pages: DataFrame, status_kind: str, source_kind: str | None = N
         F.coalesce(_date("Updated At"), _rich_text("Updated At"), F.col("last_edited_time"), F.lit("")).alias("updated_at"),
     )
     valid = (
-        _filled(F.col("external_id")).isNotNull()
-        & _filled(F.col("title")).isNotNull()
+        (F.col("external_id") != "")
+        & (F.col("title") != "")
         & F.col("url").isNotNull()
         & F.col("source").isNotNull()
         & F.col("status").isNotNull()
     )
-    return rows.withColumn("valid", valid)
+    return rows.withColumn("valid", F.coalesce(valid, F.lit(False)))
 
 
 def import_rows(decoded: DataFrame, order: list[str]) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from leadloom.functions import html as H
 from leadloom.functions import urls as U
-from leadloom.functions.let import bind, let
+from leadloom.functions.let import bind, filled, let
 from leadloom.functions.text import (
     has_amount,
     has_currency,
@@ -86,21 +86,19 @@ def with_headed_fields(df: DataFrame, card: str = "card") -> DataFrame:
 
     def salary(t: Column) -> Column:
         boxes = F.filter(
-            F.transform(
-                t, lambda x, i: F.when(~x["closing"] & x["name"].isin("div", "span"), i + 1)
-            ),
+            F.transform(t["names"], lambda name, i: F.when(name.isin("div", "span"), i + 1)),
             lambda p: p.isNotNull(),
         )
         amounts = F.filter(F.transform(boxes, lambda p: H.element_text(t, p)), has_amount)
-        paid = F.exists(t, lambda x: F.contains(x["text"], F.lit("PLN")))
+        paid = F.contains(F.col(card), F.lit("PLN"))
         return F.when(paid, plain_dashes(F.get(amounts, F.lit(0))))
 
     def fields(t: Column) -> Column:
-        title = strip_new_mark(H.element_text(t, H.find_open(t, ["h3"])))
-        h4 = H.find_open(t, ["h4"])
+        title = strip_new_mark(H.element_text(t, H.find_open(t, "h3")))
+        h4 = H.find_open(t, "h4")
         place = H.element_text(t, H.later_sibling(t, h4, ["div", "span"]))
         return F.struct(
-            F.nullif(title, F.lit("")).alias("title"),
+            filled(title).alias("title"),
             H.element_text(t, h4).alias("company"),
             salary(t).alias("salary_text"),
             strip_more_places(place).alias("location"),
@@ -115,11 +113,11 @@ def with_block_fields(df: DataFrame, card: str = "card") -> DataFrame:
 
     def first_box(t: Column, inside: Column) -> Column:
         return let(
-            H.find_open(t, ["div"], inside), lambda b: F.when(b < H.close_of(t, inside), b)
+            H.find_open(t, "div", inside), lambda b: F.when(b < H.close_of(t, inside), b)
         )
 
     def fields(t: Column, h3: Column, block: Column) -> Column:
-        box = F.when(block.isNull(), H.find_open(t, ["div"])).otherwise(first_box(t, block))
+        box = F.when(block.isNull(), H.find_open(t, "div")).otherwise(first_box(t, block))
         company = F.coalesce(
             H.first_image_alt(F.col(card)), F.when(h3.isNotNull(), H.element_text(t, box))
         )
@@ -135,50 +133,48 @@ def with_block_fields(df: DataFrame, card: str = "card") -> DataFrame:
         df,
         H.tokens(H.inner(F.col(card))),
         lambda t: let(
-            H.find_open(t, ["h3"]),
+            H.find_open(t, "h3"),
             lambda h3: let(H.parent_of(t, h3), lambda block: fields(t, h3, block)),
         ),
     )
 
 
-def to_listings(df: DataFrame, source: str | Column, keep_href: bool = False) -> DataFrame:
-    """Resolve the address, build the identity, and drop cards without title or company."""
-    src = F.lit(source) if isinstance(source, str) else source
-    href, base = F.col("href"), F.col("base_url")
-    url = U.resolve(href, base)
-    if keep_href:
+def with_address(df: DataFrame, keep_absolute: bool = False) -> DataFrame:
+    """Add the card's ``url`` and its ``path``, resolved against ``base_url``."""
+    href = F.col("href")
+    url = U.resolve(href, F.col("base_url"))
+    if keep_absolute:
         url = F.when(href.rlike(r"\Ahttps?://"), href).otherwise(url)
-    return (
-        df.where(F.col("title").isNotNull() & F.col("company").isNotNull())
-        .withColumn("url", url)
-        .select(
-            U.external_id(src, F.col("url")).alias("external_id"),
-            src.alias("source"),
-            "url",
-            *FIELDS,
-            "page_no",
-            "pos",
-        )
+    return bind(df, url, lambda u: F.struct(u.alias("url"), U.pathname(u).alias("path")))
+
+
+def to_listings(df: DataFrame, source: str) -> DataFrame:
+    """Give each card its identity; cards without title or company are dropped."""
+    return df.where(F.col("title").isNotNull() & F.col("company").isNotNull()).select(
+        F.concat(F.lit(f"{source}:"), F.col("path")).alias("external_id"),
+        F.lit(source).alias("source"),
+        "url",
+        *FIELDS,
+        "page_no",
+        "pos",
     )
 
 
 def parse_flat(pages: DataFrame) -> DataFrame:
     found = cards(pages, lambda href: F.contains(href, F.lit("/job-offer/")))
     read = H.with_leaf_texts(found.withColumn("card", H.inner(F.col("card"))), "card")
-    return to_listings(with_flat_fields(read), "justjoinit", keep_href=True)
+    return to_listings(with_flat_fields(with_address(read, keep_absolute=True)), "justjoinit")
 
 
 def parse_headed(pages: DataFrame) -> DataFrame:
     found = cards(pages, lambda href: href.startswith("/pl/job/"))
-    return to_listings(with_headed_fields(found), "nofluffjobs")
+    return to_listings(with_headed_fields(with_address(found)), "nofluffjobs")
 
 
 def parse_blocks(pages: DataFrame) -> DataFrame:
     found = cards(pages, lambda href: F.contains(href, F.lit("/companies/jobs/")))
-    found = found.where(
-        U.pathname(U.resolve(F.col("href"), F.col("base_url"))).rlike(r"\A/companies/jobs/[0-9]")
-    )
-    return to_listings(with_block_fields(found), "bulldogjob")
+    jobs = with_address(found).where(F.col("path").rlike(r"\A/companies/jobs/[0-9]"))
+    return to_listings(with_block_fields(jobs), "bulldogjob")
 
 
 @dataclass(frozen=True)
