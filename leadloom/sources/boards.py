@@ -140,12 +140,13 @@ def with_block_fields(df: DataFrame, card: str = "card") -> DataFrame:
 
 
 def with_address(df: DataFrame, keep_absolute: bool = False) -> DataFrame:
-    """Add the card's ``url`` and its ``path``, resolved against ``base_url``."""
+    """Set the card's ``url`` and its ``path``, resolved against ``base_url``."""
     href = F.col("href")
     url = U.resolve(href, F.col("base_url"))
     if keep_absolute:
         url = F.when(href.rlike(r"\Ahttps?://"), href).otherwise(url)
-    return bind(df, url, lambda u: F.struct(u.alias("url"), U.pathname(u).alias("path")))
+    keep = [c for c in df.columns if c != "url"]
+    return bind(df, url, lambda u: F.struct(u.alias("url"), U.pathname(u).alias("path")), keep)
 
 
 def to_listings(df: DataFrame, source: str) -> DataFrame:

@@ -1,7 +1,7 @@
 """The keyed job table as versioned parquet folders.
 
-A version is a full table or a change set (whole rows of the changed keys),
-bucketed by key.  A run writes a change set, so its cost follows what changed
+A version is a full table, bucketed by key, or a change set (whole rows of the
+changed keys).  A run writes a change set, so its cost follows what changed
 and not the size of the table; a read overlays the change sets on the last
 full table.  The table side of that overlay, and of the upsert joins, is read
 by bucket and is not shuffled.  A version counts once Spark's ``_SUCCESS``
@@ -38,6 +38,7 @@ class StateTable:
         self.key = key
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.compact_after = compact_after
+        self.columns = spark.createDataFrame([], schema).columns
 
     def versions(self) -> list[tuple[int, str, int, str | None, str]]:
         """Committed versions in order: number, kind, buckets, tag, folder."""
@@ -57,7 +58,7 @@ class StateTable:
         number = folder.rsplit("/", 1)[1].replace("-", "_")
         return f"leadloom_{zlib.crc32(self.path.encode()):08x}_{number}"
 
-    def _load(self, folder: str, buckets: int) -> DataFrame:
+    def _load_full(self, folder: str, buckets: int) -> DataFrame:
         name = self._name(folder)
         self.spark.sql(
             f"CREATE TABLE IF NOT EXISTS `{name}` ({self.schema}) USING parquet "
@@ -65,27 +66,34 @@ class StateTable:
         )
         return self.spark.table(name)
 
+    def _load_changes(self, folders: list[str]) -> DataFrame:
+        """The last change of each key, from one plain scan over all change sets.
+
+        Not a union of bucketed tables: their scan may be taken as partitioned
+        by key when it is not (seen with Spark 4.1), and repeated keys survive.
+        """
+        rows = self.spark.read.schema(self.schema).parquet(*folders)
+        if len(folders) == 1:
+            return rows
+        version = F.regexp_extract(F.col("_metadata.file_path"), r"/v(\d+)-changes-", 1)
+        numbered = rows.select("*", version.cast("long").alias("__version"))
+        return collapse_last(numbered, [self.key], ["__version"]).drop("__version")
+
     def read(self) -> DataFrame:
         """The current table; empty with the fixed schema when nothing was written."""
         versions = self.versions()
         fulls = [v for v in versions if v[1] == "full"]
-        if fulls:
-            base = self._load(fulls[-1][4], fulls[-1][2])
-        else:
-            base = self.spark.createDataFrame([], self.schema)
-        changes = [v for v in versions if v[1] == "changes" and (not fulls or v[0] > fulls[-1][0])]
+        changes = [v[4] for v in versions if v[1] == "changes" and (not fulls or v[0] > fulls[-1][0])]
+        if not fulls and not changes:
+            return self.spark.createDataFrame([], self.schema)
+        if not fulls:
+            return self._load_changes(changes)
+        base = self._load_full(fulls[-1][4], fulls[-1][2])
         if not changes:
             return base
-        parts = [self._load(v[4], v[2]).withColumn("__version", F.lit(v[0])) for v in changes]
-        overlay = parts[0]
-        for part in parts[1:]:
-            overlay = overlay.unionByName(part)
-        if len(parts) > 1:
-            overlay = collapse_last(overlay, [self.key], ["__version"])
-        overlay = overlay.drop("__version")
-        if not fulls:
-            return overlay
-        return base.join(overlay.select(self.key), self.key, "left_anti").select(base.columns).unionByName(overlay)
+        overlay = self._load_changes(changes)
+        kept = base.join(overlay.select(self.key), self.key, "left_anti").select(base.columns)
+        return kept.unionByName(overlay)
 
     def rows_of(self, keys: DataFrame) -> DataFrame:
         """Stored rows of the given keys.
@@ -95,13 +103,18 @@ class StateTable:
         """
         return self.read().join(keys.select(self.key), self.key, "left_semi")
 
-    def _write(self, df: DataFrame, kind: str, tag: str | None, by_bucket: bool = False) -> int:
+    def _folder(self, kind: str, tag: str | None = None) -> tuple[int, int, str]:
+        """Number, buckets and folder of the next version."""
         versions = self.versions()
         number = versions[-1][0] + 1 if versions else 1
         buckets = versions[-1][2] if versions else self.buckets
-        folder = f"{self.path}/v{number:08d}-{kind}-b{buckets}" + (f"-t{tag}" if tag else "")
-        columns = self.spark.createDataFrame([], self.schema).columns
-        rows = df.select(*columns)
+        name = f"v{number:08d}-{kind}-b{buckets}" + (f"-t{tag}" if tag else "")
+        return number, buckets, f"{self.path}/{name}"
+
+    def write_full(self, df: DataFrame, by_bucket: bool = False) -> int:
+        """Write the whole table as the next version, in buckets by key."""
+        number, buckets, folder = self._folder("full")
+        rows = df.select(*self.columns)
         if not by_bucket:
             rows = rows.repartition(buckets, self.key)
         (
@@ -113,10 +126,6 @@ class StateTable:
         )
         return number
 
-    def write_full(self, df: DataFrame) -> int:
-        """Write the whole table as the next version."""
-        return self._write(df, "full", None)
-
     def append_changes(self, df: DataFrame, tag: str | None = None) -> int | None:
         """Write the changed rows as the next version.
 
@@ -125,9 +134,9 @@ class StateTable:
         """
         if tag and any(v[3] == tag for v in self.versions()):
             return None
-        number = self._write(df, "changes", tag)
-        versions = self.versions()
-        last_full = max([v[0] for v in versions if v[1] == "full"], default=0)
+        number, _, folder = self._folder("changes", tag)
+        df.select(*self.columns).write.mode("overwrite").parquet(folder)
+        last_full = max([v[0] for v in self.versions() if v[1] == "full"], default=0)
         if number - last_full >= self.compact_after:
             number = self.compact()
         return number
@@ -137,7 +146,7 @@ class StateTable:
 
         The full table is read by bucket, so its rows are written without a shuffle.
         """
-        return self._write(self.read(), "full", None, by_bucket=True)
+        return self.write_full(self.read(), by_bucket=True)
 
     def count(self) -> int:
         return self.read().count()
