@@ -253,7 +253,7 @@ def parent_of(toks: Column, place: Column) -> Column:
             .when(t["move"] < 0, F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))))
             .otherwise(F.concat(acc, F.array(t["place"]))),
         )
-        return F.when(_move(_name(toks, p - 1)) == 1, p - 1).when(
+        return F.when((p > 1) & (_move(_name(toks, p - 1)) == 1), p - 1).when(
             p.isNotNull(), F.try_element_at(stack, F.lit(-1))
         )
 
