@@ -30,8 +30,8 @@ def slugify(spark, d):
 def strip_suffix(spark, d):
     return table(spark, d, "part").select(
         "p_partkey",
-        T.strip_more_places(F.concat(c("p_type"), F.lit(" + "), c("p_brand"), F.lit("  +"), c("p_size"), F.lit(" more"))).alias("place"),
-        T.strip_new_mark(F.concat(c("p_name"), F.when(c("p_size") > 25, F.lit("  NOWA")).otherwise(" NOWA 2"))).alias("title"),
+        T.strip_more_places(T.clean_text(F.concat(c("p_type"), F.lit(" + "), c("p_brand"), F.lit("  +"), c("p_size"), F.lit(" more")))).alias("place"),
+        T.strip_new_mark(T.clean_text(F.concat(c("p_name"), F.when(c("p_size") > 25, F.lit("  NOWA")).otherwise(" NOWA 2")))).alias("title"),
     )
 
 

@@ -53,12 +53,10 @@ def decode_entities(text: Column) -> Column:
             t = F.replace(t, F.lit(entity), F.lit(char))
         return t
 
-    return let(
-        text,
-        lambda t: F.when(F.contains(t, F.lit("&#")), named(numeric(t)))
-        .when(F.contains(t, F.lit("&")), named(t))
-        .otherwise(t),
-    )
+    def decoded(t: Column) -> Column:
+        return named(F.when(F.contains(t, F.lit("&#")), numeric(t)).otherwise(t))
+
+    return let(text, lambda t: F.when(F.contains(t, F.lit("&")), decoded(t)).otherwise(t))
 
 
 def _code_point(ref: Column) -> Column:
@@ -112,12 +110,13 @@ def tokens(html: Column) -> Column:
 
     ``names`` holds one entry per tag: "div", "/div" for an end tag, "div/" for
     a tag closed in itself, "" for anything else.  ``texts`` holds the text
-    before the first tag and then the text behind each tag.
+    before the first tag and then the text behind each tag, entities decoded.
     """
 
     def cut(m: Column) -> Column:
         names = F.regexp_extract_all(m, F.lit(_TAG_NAME), F.lit(1))
-        return F.struct(F.transform(names, F.lower).alias("names"), F.split(m, _TAG).alias("texts"))
+        texts = F.transform(F.split(m, _TAG), decode_entities)
+        return F.struct(F.transform(names, F.lower).alias("names"), texts.alias("texts"))
 
     def marked(h: Column) -> Column:
         closed = F.regexp_replace(h, _CLOSED_TAG, "<$1/$2>")
@@ -148,7 +147,7 @@ def leaf_texts(toks: Column) -> Column:
 
     def leaf(name: Column, i: Column) -> Column:
         is_leaf = (F.get(names, i + 1) == F.concat(F.lit("/"), name)) & ~name.isin(SILENT_TAGS)
-        text = clean_text(decode_entities(F.get(texts, i + 1)))
+        text = clean_text(F.get(texts, i + 1))
         return F.when(is_leaf, F.struct(name.alias("tag"), text.alias("text")))
 
     found = F.filter(F.transform(names, leaf), lambda x: x["text"].isNotNull())
@@ -234,7 +233,7 @@ def element_text(toks: Column, place: Column) -> Column:
     def text(p: Column) -> Column:
         whole = F.array_join(F.slice(texts, p + 1, _close_of(toks, p) - p), "")
         raw = F.when(_is_leaf(toks, p), F.get(texts, p)).otherwise(whole)
-        return F.when(p.isNotNull(), clean_text(decode_entities(raw)))
+        return F.when(p.isNotNull(), clean_text(raw))
 
     return let(place, text)
 

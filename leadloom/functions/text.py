@@ -34,13 +34,13 @@ def plain_dashes(text: Column) -> Column:
 
 
 def strip_more_places(location: Column) -> Column:
-    """Clean a place name and drop a "+N ..." tail."""
-    return F.regexp_replace(clean_text(location), r"(?s) *\+[0-9].*\z", "")
+    """Drop the "+N ..." tail of a cleaned place name."""
+    return F.regexp_replace(location, r"(?s) *\+[0-9].*\z", "")
 
 
 def strip_new_mark(title: Column) -> Column:
-    """Clean a title and drop the trailing "NOWA" mark."""
-    return F.regexp_replace(clean_text(title), r" +NOWA\z", "")
+    """Drop the trailing "NOWA" mark of a cleaned title."""
+    return F.regexp_replace(title, r" +NOWA\z", "")
 
 
 def strip_scheme(url: Column) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from leadloom.functions import html as H
 from leadloom.functions import urls as U
-from leadloom.functions.let import bind, filled, let
+from leadloom.functions.let import bind, let
 from leadloom.functions.text import (
     has_amount,
     has_currency,
@@ -98,7 +98,7 @@ def with_headed_fields(df: DataFrame, card: str = "card") -> DataFrame:
         h4 = H.find_open(t, "h4")
         place = H.element_text(t, H.later_sibling(t, h4, ["div", "span"]))
         return F.struct(
-            filled(title).alias("title"),
+            title.alias("title"),
             H.element_text(t, h4).alias("company"),
             salary(t).alias("salary_text"),
             strip_more_places(place).alias("location"),

@@ -13,8 +13,8 @@ def test_slugify(values):
 
 
 def test_places_and_titles(values):
-    assert values(T.strip_more_places, "Poznań  +3 more", "+2", None, "A +b") == ["Poznań", "", None, "A +b"]
-    assert values(T.strip_new_mark, "Dev  NOWA ", "NOWA", "Dev NOWA x") == ["Dev", "NOWA", "Dev NOWA x"]
+    assert values(lambda v: T.strip_more_places(T.clean_text(v)), "Poznań  +3 more", "+2", None, "A +b") == ["Poznań", "", None, "A +b"]
+    assert values(lambda v: T.strip_new_mark(T.clean_text(v)), "Dev  NOWA ", "NOWA", "Dev NOWA x") == ["Dev", "NOWA", "Dev NOWA x"]
 
 
 def test_currency_salary(values):
