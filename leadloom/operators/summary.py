@@ -93,9 +93,13 @@ def with_progress_line(snapshot: DataFrame, stage: Column | None = None) -> Data
     return snapshot.withColumns({"stage": name, "line": line})
 
 
-def list_jobs(jobs: DataFrame) -> DataFrame:
-    """The whole table, latest change first."""
-    return jobs.orderBy(F.desc("updated_at"))
+def list_jobs(jobs: DataFrame, key: str = "external_id") -> DataFrame:
+    """The whole table, latest change first.
+
+    A run stamps all its rows with one time; the key as second sort column lets
+    the sort split them over many ranges.
+    """
+    return jobs.orderBy(F.desc("updated_at"), F.asc(key))
 
 
 def top_matches(jobs: DataFrame, limit: int = TOP_MATCHES, key: str = "external_id") -> DataFrame:

@@ -19,13 +19,14 @@ def visited(pages: DataFrame, config: SourceConfig, boards: dict[str, Board] = B
     as every page taken holds at least one listing.
     """
     board = boards[config.source]
-    last = max(config.max_listings, 1) if board.paged else 1
+    final = max(config.max_listings, 1) if board.paged else 1
     number = F.col("page_no")
+    last = ~F.col("html").rlike(board.more) if board.more else F.lit(False)
     return pages.where(
         (F.col("source") == config.source)
-        & number.between(1, last)
+        & number.between(1, final)
         & (F.col("url") == board.search_url(config, number))
-    ).withColumn("base_url", F.lit(config.base_url))
+    ).withColumns({"base_url": F.lit(config.base_url), "last": last})
 
 
 def parse_pages(pages: DataFrame, chosen: list[SourceConfig], boards: dict[str, Board] = BOARDS) -> DataFrame:
@@ -40,21 +41,20 @@ def parse_pages(pages: DataFrame, chosen: list[SourceConfig], boards: dict[str,
 def page_counts(
     pages: DataFrame, rows: DataFrame, chosen: list[SourceConfig], boards: dict[str, Board] = BOARDS
 ) -> DataFrame:
-    """One row per visited page: listings on it, whether it is the last, and the source's cap."""
-    parts = []
-    for c in chosen:
-        more = boards[c.source].more
-        last = ~F.col("html").rlike(more) if more else F.lit(False)
-        parts.append(
-            visited(pages, c, boards).select(
-                "source", "page_no", last.alias("last"), F.lit(c.max_listings).alias("cap")
-            )
-        )
-    n = rows.groupBy("source", "page_no").agg(F.count(F.lit(1)).alias("n"))
-    return (
-        L.union_sources(parts)
-        .join(n, ["source", "page_no"], "left")
-        .withColumn("n", F.coalesce("n", F.lit(0)))
+    """One row per visited page: listings on it, whether it is the last, and the source's cap.
+
+    The page texts are not read again: only their numbers and addresses are,
+    to find the pages without listings, which end a crawl whatever their mark.
+    """
+    seen = L.union_sources(
+        [
+            visited(pages, c, boards).select("source", "page_no", F.lit(c.max_listings).alias("cap"))
+            for c in chosen
+        ]
+    )
+    n = rows.groupBy("source", "page_no").agg(F.count(F.lit(1)).alias("n"), F.max("last").alias("last"))
+    return seen.join(n, ["source", "page_no"], "left").withColumns(
+        {"n": F.coalesce("n", F.lit(0)), "last": F.coalesce("last", F.lit(False))}
     )
 
 
@@ -80,7 +80,7 @@ def discover(
     kept = L.page_prefix(counts, "cap", last="last")
     if strict:
         _check_landed(counts, kept, chosen, boards)
-    capped = L.cap_rows(rows, kept, "cap").drop("rank")
+    capped = L.cap_rows(rows, kept, "cap").drop("rank", "last")
     first = L.dedupe_first(capped, ["external_id"], ["source_rank", "page_no", "pos"])
     return first.drop("source_rank")
 

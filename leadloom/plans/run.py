@@ -60,7 +60,7 @@ def process_listings(
     outcomes = stage(score_offers(offer_join(work, offers), scorer, threshold), "outcomes")
     updates = outcomes.drop("error", "fetched")
     table.append_changes(
-        S.apply_updates(table.read(), updates, now, how="inner"), tag and f"{tag}-done"
+        S.apply_updates(table.rows_of(updates), updates, now, how="inner"), tag and f"{tag}-done"
     )
     processed = outcomes.select(
         "external_id",

@@ -150,7 +150,10 @@ def with_address(df: DataFrame, keep_absolute: bool = False) -> DataFrame:
 
 
 def to_listings(df: DataFrame, source: str) -> DataFrame:
-    """Give each card its identity; cards without title or company are dropped."""
+    """Give each card its identity; cards without title or company are dropped.
+
+    A page's ``last`` mark, where set, stays with its listings.
+    """
     return df.where(F.col("title").isNotNull() & F.col("company").isNotNull()).select(
         F.concat(F.lit(f"{source}:"), F.col("path")).alias("external_id"),
         F.lit(source).alias("source"),
@@ -158,6 +161,7 @@ def to_listings(df: DataFrame, source: str) -> DataFrame:
         *FIELDS,
         "page_no",
         "pos",
+        *[c for c in df.columns if c == "last"],
     )
 
 

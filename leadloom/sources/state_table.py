@@ -79,29 +79,42 @@ class StateTable:
         numbered = rows.select("*", version.cast("long").alias("__version"))
         return collapse_last(numbered, [self.key], ["__version"]).drop("__version")
 
-    def read(self) -> DataFrame:
-        """The current table; empty with the fixed schema when nothing was written."""
+    def _parts(self) -> tuple[DataFrame | None, DataFrame | None]:
+        """The last full table and the changes since, None where there is none."""
         versions = self.versions()
         fulls = [v for v in versions if v[1] == "full"]
         changes = [v[4] for v in versions if v[1] == "changes" and (not fulls or v[0] > fulls[-1][0])]
-        if not fulls and not changes:
+        base = self._load_full(fulls[-1][4], fulls[-1][2]) if fulls else None
+        return base, self._load_changes(changes) if changes else None
+
+    def _overlaid(self, base: DataFrame | None, overlay: DataFrame | None, full: DataFrame | None) -> DataFrame:
+        if base is None and overlay is None:
             return self.spark.createDataFrame([], self.schema)
-        if not fulls:
-            return self._load_changes(changes)
-        base = self._load_full(fulls[-1][4], fulls[-1][2])
-        if not changes:
-            return base
-        overlay = self._load_changes(changes)
-        kept = base.join(overlay.select(self.key), self.key, "left_anti").select(base.columns)
+        if base is None or overlay is None:
+            return base if overlay is None else overlay
+        kept = base.join(full.select(self.key), self.key, "left_anti").select(base.columns)
         return kept.unionByName(overlay)
 
+    def read(self) -> DataFrame:
+        """The current table; empty with the fixed schema when nothing was written."""
+        base, overlay = self._parts()
+        return self._overlaid(base, overlay, overlay)
+
     def rows_of(self, keys: DataFrame) -> DataFrame:
         """Stored rows of the given keys.
 
-        A semi join: few keys are broadcast by their measured size, many are
-        shuffled to the table's buckets; the table itself stays in place.
+        The semi join happens below the overlay: few keys are broadcast by
+        their measured size, many are shuffled to the table's buckets, and the
+        table itself stays in place.  What a run joins afterwards is no larger
+        than the rows it touches.
         """
-        return self.read().join(keys.select(self.key), self.key, "left_semi")
+        wanted = keys.select(self.key)
+        base, overlay = self._parts()
+        return self._overlaid(
+            None if base is None else base.join(wanted, self.key, "left_semi"),
+            None if overlay is None else overlay.join(wanted, self.key, "left_semi"),
+            overlay,
+        )
 
     def _folder(self, kind: str, tag: str | None = None) -> tuple[int, int, str]:
         """Number, buckets and folder of the next version."""
