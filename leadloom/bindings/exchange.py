@@ -218,8 +218,8 @@ _SENT = f"""(SELECT external_id, action, CASE WHEN action = 'update' AND match_s
 
 ORACLE = {
     "page_catalog": """
-        SELECT unnest(['Name', 'External ID', 'URL', 'Match Score']) AS name, unnest(['title', 'rich_text', 'url', 'number']) AS type
-          FROM (SELECT 1 FROM orders LIMIT 1)
+        SELECT 'Name' AS name, 'title' AS type FROM orders UNION SELECT 'External ID', 'rich_text' FROM orders
+        UNION SELECT 'URL', 'url' FROM orders UNION SELECT 'Match Score', 'number' FROM orders
         UNION SELECT 'Status', 'status' FROM orders WHERE o_orderpriority <> '5-LOW'
         UNION SELECT 'Source', 'select' FROM orders WHERE o_orderstatus <> 'O'
         UNION SELECT 'Company', 'rich_text' FROM orders WHERE o_orderpriority = '2-HIGH'

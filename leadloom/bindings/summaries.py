@@ -41,9 +41,6 @@ def done_line(spark, d):
     )
 
 
-_STEPS = ["fetching", "scoring", "queued_fetch", "queued_score", "matched"]
-
-
 def _work(spark, d):
     """Each event is a listing in some step; the user is the company."""
     status = (
@@ -64,7 +61,7 @@ def progress_snapshot(spark, d):
 
 
 def progress_line(spark, d):
-    """One snapshot per minute of the day would be live; here one per user."""
+    """One snapshot and its line per user."""
     snapshot = R.progress_snapshot(_work(spark, d), by=["user_id"], order=["external_id"])
     return R.with_progress_line(snapshot).select("user_id", "stage", "line")
 
@@ -108,7 +105,7 @@ def report_topk(spark, d):
 
 
 def report_lines(spark, d):
-    """A line for every job; the binary value decides ties of the second decimal."""
+    """A line for every job; scores are cut to two decimals first, so none is a rounding tie."""
     return R.report_lines(_jobs(spark, d).withColumn("match_score", F.floor(c("match_score") * 100) / 100))
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,6 +27,11 @@ def build_session(app: str = "leadloom", master: str | None = None, **conf: str)
     return builder.getOrCreate()
 
 
+@cache
+def _local_base() -> str:
+    return tempfile.mkdtemp(prefix="leadloom-")
+
+
 def work_folder(spark: SparkSession, purpose: str) -> str:
     """A fresh folder below the shared folder named in ``spark.checkpoint.dir``.
 
@@ -36,8 +42,7 @@ def work_folder(spark: SparkSession, purpose: str) -> str:
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
-        base = tempfile.mkdtemp(prefix="leadloom-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        base = _local_base()
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
