@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from leadloom.bindings.states import NOW, SEEN_SQL, STORED_SQL, sightings, stored_jobs
 from leadloom.bindings.tables import table
+from leadloom.functions import lines
 from leadloom.operators import external as X
 from leadloom.operators import summary as R
 from leadloom.schemas import PAGE_BATCH
@@ -166,6 +167,13 @@ def sync_summary(spark, d):
     return R.sync_summary(_sent(spark, d))
 
 
+def sync_line(spark, d):
+    s = sync_summary(spark, d)
+    return s.select(
+        lines.sync_progress_line(c("total"), c("total"), c("created"), c("updated"), c("skipped"), c("failed")).alias("line")
+    )
+
+
 def sync_errors(spark, d):
     return R.error_rows(_sent(spark, d))
 
@@ -181,6 +189,7 @@ QUERIES = {
     "sync_plan": sync_plan,
     "sync_changeset": sync_changeset,
     "sync_summary": sync_summary,
+    "sync_line": sync_line,
     "sync_errors": sync_errors,
 }
 
@@ -216,6 +225,11 @@ _PLANNED = f"""(SELECT p.*, page_id, CASE WHEN page_id IS NULL THEN 'create' WHE
 
 _SENT = f"""(SELECT external_id, action, CASE WHEN action = 'update' AND match_score IS NULL THEN 'validation failed' END AS error FROM {_PLANNED})"""
 
+_SYNC_SUMMARY = f"""
+        SELECT count(*)::BIGINT AS total, count(*) FILTER (WHERE error IS NULL AND action = 'create')::BIGINT AS created,
+          count(*) FILTER (WHERE error IS NULL AND action = 'update')::BIGINT AS updated,
+          count(*) FILTER (WHERE error IS NULL AND action = 'skip')::BIGINT AS skipped, count(error)::BIGINT AS failed FROM {_SENT}"""
+
 ORACLE = {
     "page_catalog": """
         SELECT 'Name' AS name, 'title' AS type FROM orders UNION SELECT 'External ID', 'rich_text' FROM orders
@@ -243,9 +257,9 @@ ORACLE = {
     "sync_plan": f"SELECT external_id, page_id, action FROM {_PLANNED}",
     "sync_changeset": f"""
         SELECT action, page_id, external_id, md5(properties_json) AS digest FROM {_PLANNED} WHERE action <> 'skip'""",
-    "sync_summary": f"""
-        SELECT count(*)::BIGINT AS total, count(*) FILTER (WHERE error IS NULL AND action = 'create')::BIGINT AS created,
-          count(*) FILTER (WHERE error IS NULL AND action = 'update')::BIGINT AS updated,
-          count(*) FILTER (WHERE error IS NULL AND action = 'skip')::BIGINT AS skipped, count(error)::BIGINT AS failed FROM {_SENT}""",
+    "sync_summary": _SYNC_SUMMARY,
+    "sync_line": f"""
+        SELECT 'syncing | processed ' || total || '/' || total || ' | created ' || created || ' | updated ' || updated
+          || ' | skipped ' || skipped || ' | failed ' || failed AS line FROM ({_SYNC_SUMMARY})""",
     "sync_errors": f"SELECT external_id, external_id || ': ' || error AS error FROM {_SENT} WHERE error IS NOT NULL",
 }

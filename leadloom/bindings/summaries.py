@@ -93,7 +93,7 @@ def _jobs(spark, d):
         F.concat(F.lit("Order "), c("o_orderkey")).alias("title"),
         F.concat(F.lit("Customer "), c("o_custkey")).alias("company"),
         F.when(c("o_orderstatus") == "F", "matched").when(c("o_orderstatus") == "O", "rejected").otherwise("error").alias("status"),
-        F.when(c("o_totalprice") > 1000, F.round(c("o_totalprice") / 1000000, 4)).alias("match_score"),
+        F.when(c("o_totalprice") > 1000, c("o_totalprice") / 1000000).alias("match_score"),
         F.when(c("o_orderpriority") != "5-LOW", F.regexp_replace("o_orderpriority", "4-NOT SPECIFIED", "")).alias("salary_text"),
         F.concat(F.lit("https://orders.example.com/"), c("o_orderkey")).alias("url"),
         F.date_format("o_orderdate", "yyyy-MM-dd").alias("updated_at"),
@@ -148,7 +148,7 @@ _SNAPSHOT = f"""count(*)::BIGINT AS discovered, {_COUNTS}, count(*) FILTER (WHER
 
 _JOBS = """(SELECT o_orderkey AS external_id, 'Order ' || o_orderkey AS title, 'Customer ' || o_custkey AS company,
     CASE o_orderstatus WHEN 'F' THEN 'matched' WHEN 'O' THEN 'rejected' ELSE 'error' END AS status,
-    CASE WHEN o_totalprice > 1000 THEN round(o_totalprice / 1000000, 4) END AS match_score,
+    CASE WHEN o_totalprice > 1000 THEN o_totalprice / 1000000 END AS match_score,
     CASE WHEN o_orderpriority <> '5-LOW' THEN replace(o_orderpriority, '4-NOT SPECIFIED', '') END AS salary_text,
     'https://orders.example.com/' || o_orderkey AS url, strftime(o_orderdate, '%Y-%m-%d') AS updated_at FROM orders)"""
 

@@ -16,7 +16,12 @@ from pyspark.sql.streaming.listener import StreamingQueryListener
 
 from leadloom.operators import state as S
 from leadloom.operators.listing import collapse_last, dedupe_first
+from leadloom.operators.summary import run_summary
+from leadloom.plans.discover import discover
+from leadloom.plans.run import ScorerFactory, process_listings
+from leadloom.schemas import RunConfig
 from leadloom.session import stage
+from leadloom.sources.boards import BOARDS, Board
 from leadloom.sources.state_table import StateTable
 
 
@@ -91,27 +96,36 @@ def last_status(key: str, order: list[str]) -> Callable[[DataFrame, DataFrame],
     return changes
 
 
-def process_stream(
-    stream: DataFrame,
+def run_stream(
+    pages: DataFrame,
+    config: RunConfig,
     table: StateTable,
-    process: Callable[[DataFrame, str], DataFrame],
+    offers: Callable[[], DataFrame],
+    load_profile: Callable[[], DataFrame],
+    make_scorer: ScorerFactory,
+    now: Callable[[], str],
     checkpoint: str,
-    on_outcomes: Callable[[DataFrame, int], None] | None = None,
+    on_summary: Callable[[int, dict], None] | None = None,
+    boards: dict[str, Board] = BOARDS,
 ) -> StreamingQuery:
-    """Incremental runs: each micro-batch of listings goes through ``process(batch, tag)``.
+    """Incremental runs: each micro-batch of landed pages is one run.
 
-    ``process`` is the batch job bound to the table, e.g. ``process_listings``.
+    The pages of one crawl must land together, as pagination is followed within
+    a micro-batch.  ``offers`` and ``now`` are called per batch.
     """
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
-        order = [c for c in ("source_rank", "page_no", "pos") if c in batch.columns]
-        listings = stage(dedupe_first(batch, ["external_id"], order), "found")
-        outcomes = process(listings, f"run-{batch_id}")
-        if on_outcomes:
-            on_outcomes(outcomes, batch_id)
+        batch.persist()
+        listings = stage(discover(batch, config, boards=boards), "found")
+        outcomes = process_listings(
+            listings, table, offers(), load_profile, make_scorer, config.match_threshold, now(), f"run-{batch_id}"
+        )
+        if on_summary:
+            on_summary(batch_id, run_summary(outcomes, table.read()).first().asDict())
+        batch.unpersist()
 
     return (
-        stream.writeStream.foreachBatch(on_batch)
+        pages.writeStream.foreachBatch(on_batch)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()

@@ -47,8 +47,9 @@ def compare(df, con, sql: str) -> list[str]:
     if len(mine) != len(want):
         problems.append(f"rows {len(mine)} vs {len(want)}")
     if mine != want:
-        only_mine = [r for r in mine if r not in set(want)][:3]
-        only_want = [r for r in want if r not in set(mine)][:3]
+        both = set(mine) & set(want)
+        only_mine = [r for r in mine if r not in both][:3]
+        only_want = [r for r in want if r not in both][:3]
         problems.append(f"values differ\n   spark {columns} {str(only_mine)[:1500]}\n   sql   {str(only_want)[:1500]}")
     return problems
 

@@ -1,6 +1,10 @@
-from pyspark.sql import functions as F
+from dataclasses import replace
 
+from boards_data import BLOCK_1, BLOCK_2, BLOCK_URL
+
+from leadloom.operators.scoring import lexical_scorer
 from leadloom.operators.state import latest_status
+from leadloom.schemas import OFFERS, PAGES, default_config
 from leadloom.session import work_folder
 from leadloom.sources.state_table import StateTable
 from leadloom.streaming import ingest
@@ -52,23 +56,27 @@ def test_replayed_batch_is_written_once(spark, tmp_path):
     assert len(table.versions()) == 1
 
 
-def test_runs_per_batch(spark, tmp_path):
-    schema = "external_id string, page_no int, pos int"
-    batches = []
-    table = StateTable(spark, work_folder(spark, "t"), "external_id string, page_no int, pos int")
+def test_each_landing_is_a_run(spark, tmp_path):
+    one = replace(default_config(), sources=default_config().sources[2:], match_threshold=0.5)
 
-    def process(listings, tag):
-        table.append_changes(listings, tag)
-        return listings.select("external_id", F.lit("matched").alias("outcome"))
+    def land(n, *pages):
+        rows = [("bulldogjob", i, BLOCK_URL + (f"/page,{i}" if i > 1 else ""), html) for i, html in enumerate(pages, 1)]
+        spark.createDataFrame(rows, PAGES).coalesce(1).write.parquet(f"{tmp_path}/landing{n}")
 
-    rows = [("a", 1, 1), ("a", 1, 0), ("b", 2, 0)]
-    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/in")
-    stream = ingest.file_stream(spark, f"{tmp_path}/in", schema)
-    ingest.process_stream(
-        stream, table, process, work_folder(spark, "cp"), lambda out, n: batches.append((n, out.count()))
+    land(0, BLOCK_1, "")
+    land(1, BLOCK_1.replace("Opole", "Nysa"), BLOCK_2, "")
+    offers = spark.createDataFrame(
+        [("http://bulldogjob.com/companies/jobs/11-glazier", "glass", None), ("bulldogjob.com/companies/jobs/12-cook", "soup", None)], OFFERS
+    )
+    table, summaries = StateTable(spark, work_folder(spark, "jobs")), []
+    stream = ingest.file_stream(spark, f"{tmp_path}/*", PAGES, files_per_batch=1)
+    ingest.run_stream(
+        stream, one, table, lambda: offers, lambda: spark.createDataFrame([("glass",)], "profile string"), lexical_scorer,
+        lambda: "2024", work_folder(spark, "cp"), lambda n, s: summaries.append((n, tuple(s.values()))),
     ).awaitTermination()
-    assert batches == [(0, 2)]
-    assert {r["external_id"]: r["pos"] for r in table.read().collect()} == {"a": 0, "b": 0}
+    assert summaries == [(0, (2, 0, 2, 1, 1, 0, 2)), (1, (3, 2, 0, 0, 0, 1, 3))]
+    rows = {r["external_id"].split("-")[-1]: (r["status"], r["location"]) for r in table.read().collect()}
+    assert rows == {"glazier": ("matched", "Nysa"), "cook": ("rejected", None), "miner": ("error", "Zabrze")}
 
 
 def test_progress_listener(spark, tmp_path):
