@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from leadloom.bindings.tables import table
 from leadloom.functions import html as H
-from leadloom.functions import urls as U
 from leadloom.functions.let import bind
 from leadloom.sources import boards as B
 from leadloom.sources.pages import required_html
@@ -177,6 +176,7 @@ _LEAVES_SQL = r"""
   leaves AS (SELECT page_id, url, tag, text, row_number() OVER (PARTITION BY page_id ORDER BY i) AS i FROM filled
       WHERE before IS NULL OR before <> text)""" % _CLEAN.format("regexp_extract(e, '(?s)^<[^>]*>([^<]*)<', 1)")
 
+# Salary and label patterns, as the boards' texts are read.
 _SALARY = r"(regexp_matches({0}, '(?i)\b(PLN|USD|EUR|CHF)\b') OR regexp_matches({0}, '(?i)Undisclosed Salary'))"
 _LABEL = r"""({0} IN ('Super offer', '1-click Apply', 'New', 'Remote', 'Hybrid', 'Office', 'B2B', 'Permanent', 'Internship',
   'Mandate contract', 'Specific-task contract', 'Full-time', 'Part-time', 'Practice / Internship', 'Freelance', 'Junior', 'Mid',

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from leadloom.bindings.states import NOW, SEEN_SQL, STORED_SQL, sightings, stored_jobs
+from leadloom.bindings.states import STORED_SQL, stored_jobs
 from leadloom.bindings.tables import table
 from leadloom.functions import lines
 from leadloom.operators import external as X
@@ -146,7 +146,7 @@ def external_index(spark, d):
 def sync_changeset(spark, d):
     """The change set as written for the sender, read back."""
     path = work_folder(spark, "changes")
-    write_changes(X.change_set(_plan(spark, d), KINDS), path)
+    write_changes(X.change_set(_plan(spark, d), KINDS).where(c("action") != "skip"), path)
     schema = "page_id string, external_id string, properties_json string, action string"
     return spark.read.schema(schema).json(path).select("action", "page_id", "external_id", F.md5("properties_json").alias("digest"))
 
@@ -158,9 +158,9 @@ def _sent(spark, d):
         if action == "update" and '"number":null' in properties:
             raise ValueError("validation failed")
 
-    plan = _plan(spark, d)
+    plan = X.change_set(_plan(spark, d), KINDS)
     skipped = plan.where(c("action") == "skip").select("external_id", "action", F.lit(None).cast("string").alias("error"))
-    return skipped.unionByName(send_changes(X.change_set(plan, KINDS), send))
+    return skipped.unionByName(send_changes(plan.where(c("action") != "skip"), send))
 
 
 def sync_summary(spark, d):

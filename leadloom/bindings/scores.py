@@ -33,7 +33,7 @@ def offer_join(spark, d):
     landed = labels.select(
         F.concat(F.lit("http://offers.example.com/"), c("doc_id")).alias("url"),
         F.when(c("toxic") == 0, F.concat(F.lit("quality "), c("quality"))).alias("offer_markdown"),
-        F.when(c("toxic") == 1, F.lit("Reader request failed with 451")).alias("error"),
+        F.when(c("toxic") == 1, F.lit("offer request failed with 451")).alias("error"),
         F.lit(1).alias("landed_no"),
     )
     again = labels.where(c("quality") == 1).select(
@@ -151,7 +151,7 @@ ORACLE = {
     "offer_join": """
         SELECT doc_id, 'https://offers.example.com/' || doc_id AS url,
           CASE WHEN quality = 1 THEN 'quality 1, read again' WHEN toxic = 0 THEN 'quality ' || quality END AS offer_markdown,
-          CASE WHEN quality = 1 THEN NULL WHEN toxic = 1 THEN 'Reader request failed with 451' WHEN quality IS NULL THEN 'no offer text' END AS error
+          CASE WHEN quality = 1 THEN NULL WHEN toxic = 1 THEN 'offer request failed with 451' WHEN quality IS NULL THEN 'no offer text' END AS error
         FROM documents LEFT JOIN labels USING (doc_id)""",
     "scorer_input": f"""
         SELECT doc_id, length(t)::BIGINT AS n_chars, md5(t) AS digest FROM (SELECT doc_id,

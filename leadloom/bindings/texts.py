@@ -118,6 +118,12 @@ def resolve_url(spark, d):
     return found.select("page_id", "pos", href.alias("href"), U.resolve(href, c("url")).alias("url"))
 
 
+# The salary patterns, as the boards' texts are read.
+CURRENCY = r"(?i)\b(PLN|USD|EUR|CHF)\b"
+UNDISCLOSED = "(?i)Undisclosed Salary"
+AMOUNT_RANGE = r"\b\d[\d\s]*(?:-|–)\s*\d[\d\s]*\s+PLN\b"
+AMOUNT = r"\b\d[\d\s]*\s+PLN\b"
+
 QUERIES = {
     "clean_text": clean_text,
     "slugify": slugify,
@@ -142,16 +148,14 @@ ORACLE = {
     "strip_suffix": r"""
         SELECT p_partkey, p_type || ' + ' || p_brand AS place,
                CASE WHEN p_size > 25 THEN p_name ELSE p_name || ' NOWA 2' END AS title FROM part""",
-    "salary_flag": r"""
-        SELECT o_orderkey, coalesce(regexp_matches(t, '(?i)\b(PLN|USD|EUR|CHF)\b')
-               OR regexp_matches(t, '(?i)Undisclosed Salary'), false) AS is_salary
+    "salary_flag": f"""
+        SELECT o_orderkey, coalesce(regexp_matches(t, '{CURRENCY}') OR regexp_matches(t, '{UNDISCLOSED}'), false) AS is_salary
         FROM (SELECT o_orderkey, CAST(CAST(trunc(o_totalprice) AS BIGINT) AS VARCHAR) || ' ' || CASE
             WHEN o_orderstatus = 'F' THEN 'pln/month' WHEN o_orderstatus = 'O' THEN 'EURO'
             WHEN o_orderpriority = '5-LOW' THEN 'undisclosed  salary'
             WHEN o_orderpriority = '2-HIGH' THEN 'Undisclosed Salary' ELSE o_orderpriority END AS t FROM orders)""",
-    "salary_range": r"""
-        SELECT o_orderkey,
-          regexp_matches(t, '\b\d[\d\s]*(?:-|–)\s*\d[\d\s]*\s+PLN\b') OR regexp_matches(t, '\b\d[\d\s]*\s+PLN\b') AS is_salary,
+    "salary_range": f"""
+        SELECT o_orderkey, regexp_matches(t, '{AMOUNT_RANGE}') OR regexp_matches(t, '{AMOUNT}') AS is_salary,
           replace(t, '–', '-') AS salary_text
         FROM (SELECT o_orderkey, CASE
             WHEN o_orderstatus = 'F' THEN low || ' – ' || o_custkey || ' 000 PLN'

@@ -215,7 +215,6 @@ def sync_plan(jobs: DataFrame, index: DataFrame, key: str = "external_id", versi
 
 
 def change_set(plan: DataFrame, kinds: dict[str, str], key: str = "external_id") -> DataFrame:
-    """The pages to create or update: ``action, page_id, external_id, properties_json``."""
-    return plan.where(F.col("action") != "skip").select(
-        "action", "page_id", key, build_properties(kinds).alias("properties_json")
-    )
+    """``action, page_id, external_id, properties_json``; rows to skip have no properties."""
+    properties = F.when(F.col("action") != "skip", build_properties(kinds))
+    return plan.select("action", "page_id", key, properties.alias("properties_json"))

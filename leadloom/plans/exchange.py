@@ -26,19 +26,16 @@ def sync(
     Changes go to ``send`` row by row, or to ``out`` as a change-set folder.
     """
     kinds = X.property_kinds(catalog)
-    plan = X.sync_plan(jobs.drop("offer_markdown"), index)
-    changes = X.change_set(plan, kinds)
-    skipped = plan.where(F.col("action") == "skip").select(
-        "external_id", "action", F.lit(None).cast("string").alias("error")
-    )
+    # The plan is written once: the sender, the change set and the counters read it.
+    plan = stage(X.change_set(X.sync_plan(jobs.drop("offer_markdown"), index), kinds), "plan")
+    no_error = F.lit(None).cast("string").alias("error")
+    changes = plan.where(F.col("action") != "skip")
     if send is None:
-        staged = stage(changes, "changes")
         if out:
-            write_changes(staged, out)
-        done = staged.select("external_id", "action", F.lit(None).cast("string").alias("error"))
-    else:
-        done = stage(send_changes(changes, send, parallelism), "sent")
-    return skipped.unionByName(done)
+            write_changes(changes, out)
+        return plan.select("external_id", "action", no_error)
+    skipped = plan.where(F.col("action") == "skip").select("external_id", "action", no_error)
+    return skipped.unionByName(stage(send_changes(changes, send, parallelism), "sent"))
 
 
 def import_pages(pages: DataFrame, catalog: DataFrame, table: StateTable) -> DataFrame:
@@ -47,7 +44,9 @@ def import_pages(pages: DataFrame, catalog: DataFrame, table: StateTable) -> Dat
     ``pages`` carry ``batch_no`` and ``pos``; a later page of a key wins.
     """
     kinds = X.property_kinds(catalog)
-    decoded = X.decode_pages(pages, kinds["Status"], kinds.get("Source"), keep=["batch_no", "pos"])
+    decoded = stage(
+        X.decode_pages(pages, kinds["Status"], kinds.get("Source"), keep=["batch_no", "pos"]), "decoded"
+    )
     table.append_changes(X.import_rows(decoded, ["batch_no", "pos"]))
     return R.import_summary(decoded)
 

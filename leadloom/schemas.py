@@ -19,8 +19,6 @@ JOBS = (
 
 OFFERS = "url string, offer_markdown string, error string"
 
-MATCHES = "external_id string, score double, reason string, summary string, error string"
-
 PROPERTY = (
     "type string, title array<struct<plain_text:string>>, rich_text array<struct<plain_text:string>>, "
     "url string, number double, select struct<name:string>, status struct<name:string>, "
@@ -38,8 +36,6 @@ PAGE_BATCH = f"results array<{EXTERNAL_PAGE}>, has_more boolean, next_cursor str
 
 CATALOG = "name string, type string"
 
-EXTERNAL_INDEX = "external_id string, page_id string, synced_updated_at string"
-
 JOB_COLUMNS = [part.split()[0] for part in JOBS.split(", ")]
 
 # The columns a new sighting of a listing refreshes.
@@ -121,7 +117,6 @@ class SourceConfig:
 class RunConfig:
     sources: tuple[SourceConfig, ...]
     match_threshold: float = MATCH_THRESHOLD
-    score_parallelism: int | None = None
 
 
 def default_config() -> RunConfig:

@@ -27,7 +27,7 @@ def _scorer(scores):
         value = scores[offer]
         if value is None:
             raise RuntimeError("score failed")
-        return {"score": value, "reason": f"Scored {value}", "summary": f"Summary {value}"}
+        return {"score": value, "reason": f"because {value}", "summary": f"about {value}"}
 
     return lambda profile: python_scorer(score_one, profile.first()["profile"])
 
@@ -50,7 +50,7 @@ def test_terminal_rows_are_skipped(spark):
     prior = [stored("a", "matched"), stored("b", "rejected")]
     _, summary, rows = _run(spark, ["a", "b", "c"], prior, {"c": 0.2})
     assert summary == (3, 2, 1, 0, 1, 0, 3)
-    assert (rows["s:/a"]["updated_at"], rows["s:/c"]["status"], rows["s:/c"]["match_reason"]) == ("2024-01-01", "rejected", "Scored 0.2")
+    assert (rows["s:/a"]["updated_at"], rows["s:/c"]["status"], rows["s:/c"]["match_reason"]) == ("2024-01-01", "rejected", "because 0.2")
 
 
 def test_profile_is_not_read_without_work(spark):

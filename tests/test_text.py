@@ -65,12 +65,12 @@ def test_progress_lines(spark):
 
 
 def test_other_lines(spark):
-    n = [F.lit(i) for i in (4, 10, 1, 2, 1, 0)]
+    n = [F.lit(i) for i in (5, 12, 2, 0, 3, 1)]
     row = spark.range(1).select(
         lines.sync_progress_line(*n).alias("sync"),
-        lines.start_line(F.lit(25)).alias("start"),
+        lines.start_line(F.lit(31)).alias("start"),
         lines.match_line(F.lit(None).cast("double"), F.lit("T"), F.lit("C"), F.lit("matched"), F.lit(""), F.lit("u")).alias("m"),
     ).first()
-    assert row["sync"] == "syncing | processed 4/10 | created 1 | updated 2 | skipped 1 | failed 0"
-    assert row["start"] == "Found 25 listings to process"
+    assert row["sync"] == "syncing | processed 5/12 | created 2 | updated 0 | skipped 3 | failed 1"
+    assert row["start"] == "Found 31 listings to process"
     assert row["m"] == "0.00 | T | C | status=matched | u"
