@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from leadloom.bindings.tables import table
-from leadloom.llm import pieces, rules
+from leadloom.llm import chat, mixing, pieces, rules, secrets, toxicity, urltree
 
 
 def tokenizer_path() -> str:
@@ -14,14 +14,43 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def op1_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mix(table(spark, folder, "documents"))
+
+
+def op2_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.classify(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+def op4_chat(spark: SparkSession, folder: str) -> DataFrame:
+    return chat.digest(chat.perspectives(table(spark, folder, "conversations")))
+
+
 def op5_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return pieces.digest(table(spark, folder, "documents"), pieces.load(tokenizer_path()))
 
 
+def op7_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return secrets.digest(secrets.find(docs, secrets.fit(docs)))
+
+
+def op8_urls(spark: SparkSession, folder: str) -> DataFrame:
+    return urltree.judge(table(spark, folder, "pages"))
+
+
 def op10_rules(spark: SparkSession, folder: str) -> DataFrame:
     return rules.judge(table(spark, folder, "documents"))
 
 
-QUERIES = {"op5_pieces": op5_pieces, "op10_rules": op10_rules}
+QUERIES = {
+    "op1_mixing": op1_mixing,
+    "op2_toxicity": op2_toxicity,
+    "op4_chat": op4_chat,
+    "op5_pieces": op5_pieces,
+    "op7_secrets": op7_secrets,
+    "op8_urls": op8_urls,
+    "op10_rules": op10_rules,
+}
 
-ORACLE: dict[str, str] = {}
+ORACLE = {"op1_mixing": mixing.ORACLE_SQL, "op4_chat": chat.ORACLE_SQL}

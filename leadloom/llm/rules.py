@@ -70,7 +70,7 @@ def distance(p: Column, q: Column) -> Column:
     """Jensen-Shannon distance of two histograms of counts; null if one of them is empty."""
 
     def shares(h: Column) -> Column:
-        return let(F.aggregate(h, F.lit(0.0), lambda a, b: a + b), lambda total: F.transform(h, lambda x: x / total))
+        return let(F.aggregate(h, F.lit(0.0), lambda a, b: a + b), lambda total: F.transform(h, lambda x: F.try_divide(x, total)))
 
     def part(x: Column, y: Column) -> Column:
         return F.when(x > 0, x * F.log2(2 * x / (x + y))).otherwise(F.lit(0.0))
