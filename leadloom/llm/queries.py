@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from leadloom.bindings.tables import table
-from leadloom.llm import chat, mixing, pieces, rules, secrets, toxicity, urltree
+from leadloom.llm import chat, minhash, mixing, pieces, repeats, rules, secrets, toxicity, urltree
 
 
 def tokenizer_path() -> str:
@@ -22,6 +22,10 @@ def op2_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.classify(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+def op3_repeats(spark: SparkSession, folder: str) -> DataFrame:
+    return repeats.digest(repeats.cut_repeats(table(spark, folder, "documents")))
+
+
 def op4_chat(spark: SparkSession, folder: str) -> DataFrame:
     return chat.digest(chat.perspectives(table(spark, folder, "conversations")))
 
@@ -39,6 +43,10 @@ def op8_urls(spark: SparkSession, folder: str) -> DataFrame:
     return urltree.judge(table(spark, folder, "pages"))
 
 
+def op9_minhash(spark: SparkSession, folder: str) -> DataFrame:
+    return minhash.classes(table(spark, folder, "documents"))
+
+
 def op10_rules(spark: SparkSession, folder: str) -> DataFrame:
     return rules.judge(table(spark, folder, "documents"))
 
@@ -46,11 +54,13 @@ def op10_rules(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_toxicity": op2_toxicity,
+    "op3_repeats": op3_repeats,
     "op4_chat": op4_chat,
     "op5_pieces": op5_pieces,
     "op7_secrets": op7_secrets,
     "op8_urls": op8_urls,
+    "op9_minhash": op9_minhash,
     "op10_rules": op10_rules,
 }
 
-ORACLE = {"op1_mixing": mixing.ORACLE_SQL, "op4_chat": chat.ORACLE_SQL}
+ORACLE = {"op1_mixing": mixing.ORACLE_SQL, "op3_repeats": repeats.ORACLE_SQL, "op4_chat": chat.ORACLE_SQL}
