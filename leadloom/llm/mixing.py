@@ -62,16 +62,22 @@ def rates(docs: DataFrame, weights: dict[str, float] | None = None, exponent: fl
 
 
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, exponent: float = 0.7, epochs: float = 1.0, seed: str = "mix") -> DataFrame:
-    """The documents, replicated to the target shares and shuffled; ``copy`` counts from 1."""
-    names = docs.columns
+    """The documents, replicated to the target shares and shuffled.
+
+    A last column, ``copy`` (with underscores after it if there is such a column
+    already), counts the copies from 1.
+    """
+    names, number = docs.columns, "copy"
+    while number in names:
+        number += "_"
     table = bounded(rates(docs, weights, exponent, epochs), Staged(docs.sparkSession, "mix"), MAX_SOURCES)
     table = table.select(F.col("source").alias("__source"), F.col("table").alias("__table"))
     key = F.coalesce(F.col("doc_id").cast("string"), F.md5(F.coalesce(F.col("text"), F.lit(""))))
     rows = docs.join(table, F.col("source").eqNullSafe(F.col("__source")))
     at = uniform(F.lit(seed), key)
     rows = rows.withColumn("__at", at).withColumn("__n", F.size(F.filter("__table", lambda below: below <= F.col("__at"))))
-    copies = rows.where("__n > 0").select(*(F.col(f"`{n}`") for n in names), F.explode(F.sequence(F.lit(1), F.col("__n"))).alias("copy"))
-    order = F.xxhash64(F.lit(seed), key, F.col("copy"))
+    copies = rows.where("__n > 0").select(*(F.col(f"`{n}`") for n in names), F.explode(F.sequence(F.lit(1), F.col("__n"))).alias(number))
+    order = F.xxhash64(F.lit(seed), key, F.col(number))
     return copies.withColumn("__order", order).repartition("__order").sortWithinPartitions("__order").drop("__order")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from leadloom.bindings.tables import table
-from leadloom.llm import chat, minhash, mixing, pieces, repeats, rules, secrets, toxicity, urltree
+from leadloom.llm import chat, minhash, mixing, pieces, repeats, rules, secrets, toxicity, urltree, vectors
 
 
 def tokenizer_path() -> str:
@@ -34,6 +34,10 @@ def op5_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return pieces.digest(table(spark, folder, "documents"), pieces.load(tokenizer_path()))
 
 
+def op6_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    return vectors.classes(table(spark, folder, "embeddings"))
+
+
 def op7_secrets(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     return secrets.digest(secrets.find(docs, secrets.fit(docs)))
@@ -57,6 +61,7 @@ QUERIES = {
     "op3_repeats": op3_repeats,
     "op4_chat": op4_chat,
     "op5_pieces": op5_pieces,
+    "op6_vectors": op6_vectors,
     "op7_secrets": op7_secrets,
     "op8_urls": op8_urls,
     "op9_minhash": op9_minhash,
