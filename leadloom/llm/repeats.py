@@ -135,7 +135,8 @@ def cut_repeats(docs: DataFrame) -> DataFrame:
     rows = take(docs, "doc_id", "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
     places = anchors(rows)
-    twice = places.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
+    # written first: a join of two plain shuffles can have its hot anchors split
+    twice, _ = staged.write(places.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"))
     repeated, _ = staged.write(places.join(twice, "anchor", "left_semi").groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors")))
     packed = _pack(rows)
     firsts = _windows(packed, repeated).groupBy("window", "anchor").agg(F.min(F.struct("doc_id", "place")).alias("first"))
