@@ -27,6 +27,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -37,9 +38,9 @@ from pyspark.sql import functions as F
 from leadloom.llm.shared import slices, take
 
 #: Labelled texts that are sampled, toxic and ordinary, and those of them that set the threshold.
-SAMPLE_ROWS = {1: 3000, 0: 9000}
-THRESHOLD_ROWS = 1500
-SAMPLE_CHARS = 20_000
+SAMPLE_ROWS = {1: 2000, 0: 6000}
+THRESHOLD_ROWS = 1000
+SAMPLE_CHARS = 10_000
 PREDICT_FROM = 0.7
 
 WINDOW = re.compile(r"[^\W\d_]{1,64}")
@@ -135,7 +136,8 @@ def dictionaries(texts: list[tuple[str, int]]) -> tuple[bytes, bytes]:
     counts: tuple[Counter, Counter] = (Counter(), Counter())
     totals = [0, 0]
     contexts = defaultdict(set)
-    cut = [(windows(t), label) for t, label in dict(texts).items()]
+    once: dict[str, str] = {}  # one object for each word
+    cut = [([once.setdefault(w, w) for w in windows(t)], label) for t, label in dict(texts).items()]
     for words, label in cut:
         counts[label].update(set(words))
         totals[label] += 1
@@ -145,12 +147,11 @@ def dictionaries(texts: list[tuple[str, int]]) -> tuple[bytes, bytes]:
     share = totals[1] / max(1, sum(totals))
     telling = {w for w, c in contexts.items() if len(w) > 2 and _surplus(min(len(c), counts[1][w]), counts[0][w], share) >= MIN_SURPLUS}
     toxic = [_wide(w) for words, label in cut if label for w in words if w in telling]
-    ordinary, step = [], 8
-    for words, label in cut:
-        if not label:
-            ordinary += [_wide(" ".join(words[k : k + step])) for k in range(0, len(words), step)]
-    keep = max(1, len(ordinary) // ORDINARY_SAMPLES)
-    return _train(toxic, TOXIC_BYTES), _train(ordinary[::keep], ORDINARY_BYTES)
+    step = 8
+    keep = max(1, sum(len(words) for words, label in cut if not label) // (step * ORDINARY_SAMPLES))
+    chunks = (words[k : k + step] for words, label in cut if not label for k in range(0, len(words), step))
+    ordinary = [_wide(" ".join(c)) for c in islice(chunks, 0, None, keep)]
+    return _train(toxic, TOXIC_BYTES), _train(ordinary, ORDINARY_BYTES)
 
 
 def threshold(margins: np.ndarray, labels: np.ndarray) -> float:
