@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leadloom.llm.components import components
-from leadloom.llm.shared import Staged, slices, take
+from leadloom.llm.shared import Staged, in_arrow, slices, take
 
 SHINGLE = 5
 BANDS, ROWS = 32, 6
@@ -117,7 +117,7 @@ def sketches(docs: DataFrame) -> DataFrame:
             columns = [part.column(0), pa.array([s.size for s in sets], pa.int64()), pa.array(same, pa.string()), pa.array(keys, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "same", "bands"])
 
-    return take(docs, "doc_id", "text").mapInArrow(run, schema)
+    return in_arrow(take(docs, "doc_id", "text"), run, schema)
 
 
 def sets_of(docs: DataFrame) -> DataFrame:
@@ -128,7 +128,7 @@ def sets_of(docs: DataFrame) -> DataFrame:
             sets = [s.view(np.int64) for s in shingle_sets(part.column("text").to_pylist())]
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], ["id", "shingles"])
 
-    return take(docs, "doc_id", "text").mapInArrow(run, schema)
+    return in_arrow(take(docs, "doc_id", "text"), run, schema)
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:

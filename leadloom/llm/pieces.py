@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leadloom.llm.shared import SLICE_BYTES, slices, take
+from leadloom.llm.shared import SLICE_BYTES, in_arrow, slices, take
 
 MARK = "▁"
 NONE = np.int32(2**31 - 1)
@@ -312,7 +312,7 @@ def encode(df: DataFrame, vocabulary: Vocabulary, key: str = "doc_id", text: str
             ids, starts = encoder.encode([t or "" for t in part.column(text).to_pylist()])
             yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(ids))], [key, "ids"])
 
-    return take(df, key, text).mapInArrow(run, schema)
+    return in_arrow(take(df, key, text), run, schema)
 
 
 def decode(df: DataFrame, vocabulary: Vocabulary, key: str = "doc_id", ids: str = "ids") -> DataFrame:
@@ -327,7 +327,7 @@ def decode(df: DataFrame, vocabulary: Vocabulary, key: str = "doc_id", ids: str
             texts = decoder.decode(np.asarray(lists.values)[starts[0] : starts[-1]], starts - starts[0])
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string())], [key, ids, "decoded"])
 
-    return take(df, key, ids).mapInArrow(run, schema)
+    return in_arrow(take(df, key, ids), run, schema)
 
 
 def digest(df: DataFrame, vocabulary: Vocabulary) -> DataFrame:

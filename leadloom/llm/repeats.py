@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leadloom.llm.minhash import runs, word_hashes
-from leadloom.llm.shared import SLICE_BYTES, Staged, slices, take
+from leadloom.llm.shared import SLICE_BYTES, Staged, in_arrow, slices, take
 
 WINDOW, SEED = 20, 6
 _RANDOM = np.random.Generator(np.random.PCG64(3))
@@ -75,7 +75,7 @@ def _pack(docs: DataFrame) -> DataFrame:
             columns = [part.column(0), pa.array([squeeze.compress(d) for d in data], pa.binary()), pa.array([len(d) for d in data], pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "packed", "n_bytes"])
 
-    return take(docs, "doc_id", "text").where("doc_id is not null").mapInArrow(run, schema)
+    return in_arrow(take(docs, "doc_id", "text").where("doc_id is not null"), run, schema)
 
 
 def _unpacked(batches):
@@ -100,7 +100,7 @@ def anchors(docs: DataFrame) -> DataFrame:
             ids = part.column(0).take(pa.array(cut.owner[cut.opens]))
             yield pa.RecordBatch.from_arrays([pa.array(cut.anchor[cut.opens]), ids], ["anchor", "doc_id"])
 
-    return take(docs, "doc_id", "text").where("doc_id is not null").mapInArrow(run, schema)
+    return in_arrow(take(docs, "doc_id", "text").where("doc_id is not null"), run, schema)
 
 
 def _named(cut: Cut, wanted: list[list[int] | None]) -> np.ndarray:
@@ -126,7 +126,7 @@ def _windows(packed: DataFrame, repeated: DataFrame) -> DataFrame:
             columns = [pa.array(cut.window[named]), pa.array(cut.anchor[named].astype(np.int32)), ids, pa.array(cut.place[named].astype(np.int32))]
             yield pa.RecordBatch.from_arrays(columns, ["window", "anchor", "doc_id", "place"])
 
-    return packed.join(repeated, "doc_id").mapInArrow(run, f"window long, anchor int, doc_id {kind}, place int")
+    return in_arrow(packed.join(repeated, "doc_id"), run, f"window long, anchor int, doc_id {kind}, place int")
 
 
 def cut_repeats(docs: DataFrame) -> DataFrame:
@@ -171,7 +171,7 @@ def cut_repeats(docs: DataFrame) -> DataFrame:
             columns = [part.column("doc_id"), pa.array(cut.sizes.astype(np.int64)), pa.array(out, spans), pa.array(kept, pa.string())]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_words", "repeats", "kept"])
 
-    found = packed.join(marks, "doc_id", "left").mapInArrow(run, schema)
+    found = in_arrow(packed.join(marks, "doc_id", "left"), run, schema)
     words = F.array_remove(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), "")
     nameless = rows.where("doc_id is null").select(
         "doc_id", F.size(words).cast("long").alias("n_words"), F.array().cast("array<struct<start:int,end:int>>").alias("repeats"), F.array_join(words, " ").alias("kept")

@@ -67,7 +67,7 @@ def repeat_words(words: Column, n: int = WINDOW) -> Column:
 
 
 def distance(p: Column, q: Column) -> Column:
-    """Jensen-Shannon distance of two histograms of counts; null if one of them is empty."""
+    """Jensen-Shannon distance of two histograms of counts; 0 if one of them is empty."""
 
     def shares(h: Column) -> Column:
         return let(F.aggregate(h, F.lit(0.0), lambda a, b: a + b), lambda total: F.transform(h, lambda x: F.try_divide(x, total)))

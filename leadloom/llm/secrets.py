@@ -23,7 +23,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leadloom.llm.shared import slices, take, uniform
+from leadloom.llm.shared import in_arrow, slices, take, uniform
 
 # The base patterns, in the order of their kinds, and their least lengths.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -122,7 +122,7 @@ def find(docs: DataFrame, model: Model) -> DataFrame:
             found = [[{"kind": KINDS[k], "start": s, "end": e} for s, k, e in scan_text(t, gauge, model.novelty)] for t in part.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, kind)], ["doc_id", "spans"])
 
-    return take(docs, "doc_id", "text").mapInArrow(run, schema)
+    return in_arrow(take(docs, "doc_id", "text"), run, schema)
 
 
 def digest(found: DataFrame) -> DataFrame:
@@ -159,5 +159,5 @@ def redact(docs: DataFrame, model: Model, mark: str = "[secret]") -> DataFrame:
             columns = [pa.array(texts, part.schema.field("text").type) if n == "text" else part.column(i) for i, n in enumerate(names)]
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    cleaned = docs.mapInArrow(run, docs.schema)
+    cleaned = in_arrow(docs, run, docs.schema)
     return cleaned.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in names else cleaned

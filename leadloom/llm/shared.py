@@ -11,6 +11,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from leadloom.session import work_folder
 
@@ -20,7 +21,8 @@ SPACE = r"[\x20\x09-\x0D]+"
 WORDS = re.compile(WORD)
 
 #: Texts that one Python step holds at a time.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 2 << 20
+BATCH_ROWS = 500
 
 
 def take(df: DataFrame, *names: str) -> DataFrame:
@@ -54,13 +56,9 @@ def sha256(text: str) -> str:
     return hashlib.sha256(text.encode()).hexdigest()
 
 
-def map_rows(df: DataFrame, text: str, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
-    """Apply ``fn`` to bounded slices of the rows, inside each task."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, text):
-            yield fn(part)
-
+def in_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
+    """``mapInArrow`` with batches of ``BATCH_ROWS`` rows: the default of 10,000 long texts would not fit a small executor."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     return df.mapInArrow(run, schema)
 
 

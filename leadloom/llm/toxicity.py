@@ -35,7 +35,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leadloom.llm.shared import slices, take
+from leadloom.llm.shared import in_arrow, slices, take
 
 #: Labelled texts that are sampled, toxic and ordinary, and those of them that set the threshold.
 SAMPLE_ROWS = {1: 2000, 0: 6000}
@@ -224,7 +224,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     lift = math.log(PREDICT_FROM / (1 - PREDICT_FROM))
     logit = STEEPNESS * (F.col("margin") - model.threshold) + lift
-    return take(docs, "doc_id", "text").mapInArrow(run, schema).withColumn("score", 1 / (1 + F.exp(-logit)))
+    return in_arrow(take(docs, "doc_id", "text"), run, schema).withColumn("score", 1 / (1 + F.exp(-logit)))
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -246,4 +246,4 @@ def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
             calm = [scorer.text_margin(t) < model.threshold for t in part.column("text").to_pylist()]
             yield part.filter(pa.array(calm))
 
-    return docs.mapInArrow(run, docs.schema)
+    return in_arrow(docs, run, docs.schema)

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leadloom.llm.components import components
-from leadloom.llm.shared import Staged, take
+from leadloom.llm.shared import Staged, in_arrow, take
 
 SIMILAR = 0.9
 PROBES = 12
@@ -125,7 +125,7 @@ def units(vectors: DataFrame, width: int) -> DataFrame:
                 same = [xxhash.xxh3_128_hexdigest(np.array(v, np.float64).tobytes()) if g else None for v, g in zip(part.column("embedding").to_pylist(), good, strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(same, pa.string()), pa.array(data, pa.binary())], ["vec_id", "same", "unit"])
 
-    return take(vectors, "vec_id", "embedding").mapInArrow(run, f"vec_id {kind}, same string, unit binary")
+    return in_arrow(take(vectors, "vec_id", "embedding"), run, f"vec_id {kind}, same string, unit binary")
 
 
 def indexed(rows: DataFrame, model: Model) -> DataFrame:
@@ -145,7 +145,7 @@ def indexed(rows: DataFrame, model: Model) -> DataFrame:
                 ]
                 yield pa.RecordBatch.from_arrays(columns, ["id", "weight", "unit", "probes", "codes", "error"])
 
-    return rows.select("id", "weight", "unit").mapInArrow(run, f"id {kind}, weight long, unit binary, probes array<int>, codes binary, error double")
+    return in_arrow(rows.select("id", "weight", "unit"), run, f"id {kind}, weight long, unit binary, probes array<int>, codes binary, error double")
 
 
 def _block(model: Model, ask: pd.DataFrame, have: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
