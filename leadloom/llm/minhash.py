@@ -6,12 +6,15 @@
    of ``ROWS`` bins give the buckets.
 2. Documents with equal sets are one class, with its least id as representative.
    Only representatives go on.
-3. Buckets are worked on in stars.  In each round a bucket's centre, the member
-   that shares most buckets, is compared with all other members on their full
-   sets, and leaves the bucket.  Buckets whose members are all in one component
-   are done.  So the number of pairs grows with the members, not their square.
-4. What is left after ``STAR_ROUNDS`` rounds, members of different components in
-   one bucket that no centre has joined, is compared exactly, each such pair once.
+3. Buckets are worked on in stars, whose centre is the member that shares most
+   buckets.  First each document is compared, on the full sets, with the one
+   centre that shares most; that joins most groups.  Then, in ``STAR_ROUNDS``
+   rounds, each centre is compared with the members of other components and
+   leaves its bucket.  Buckets whose members are all in one component are done.
+   So the number of pairs grows with the members, not their square.
+4. Members of different components that are left in one bucket are compared
+   exactly, each such pair once, unless it cannot be similar: a pair has at most
+   as many shingles in common as either has that occur in another document left.
 
 At a similarity of 0.85 a pair shares no bucket with a chance below one in a
 million; there is no cap on members or candidates.
@@ -23,6 +26,8 @@ document in links.  An empty table gives an empty table.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -142,9 +147,9 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _stars(members: DataFrame) -> DataFrame:
-    """``bucket``, ``id``, ``centre`` and the two sizes: each member of a bucket with its centre."""
+    """Each member of a bucket with its centre, the centre's size and how much it shares."""
     centres = members.groupBy("bucket").agg(F.max(F.struct("shared", -F.col("id"), "n")).alias("top"))
-    centres = centres.select("bucket", (-F.col("top.col2")).alias("centre"), F.col("top.n").alias("centre_n"))
+    centres = centres.select("bucket", (-F.col("top.col2")).alias("centre"), F.col("top.n").alias("centre_n"), F.col("top.shared").alias("centre_shared"))
     return members.join(centres, "bucket")
 
 
@@ -154,41 +159,62 @@ def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.where(fits & (F.col("id") != F.col("centre"))).select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct()
 
 
+def _hubs(members: DataFrame) -> DataFrame:
+    """Each id with the one centre, of all its buckets, that shares most."""
+    best = _stars(members).where("id <> centre").groupBy("id", "n").agg(F.max(F.struct("centre_shared", -F.col("centre"), "centre_n")).alias("top"))
+    return _ordered(best.select("id", "n", (-F.col("top.col2")).alias("centre"), F.col("top.centre_n").alias("centre_n")))
+
+
+def _open(members: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """The members of buckets that still hold several components, with their component."""
+    members = members.select("bucket", "id", "n", "shared")
+    if labels is not None:
+        members = members.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    else:
+        members = members.withColumn("component", F.col("id"))
+    several = members.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("bucket")
+    return members.join(several, "bucket")
+
+
+def _rest(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """All pairs of different components in a bucket that can be similar."""
+    left = sets.join(members.select("id").distinct(), "id").select("id", F.explode("shingles").alias("shingle"))
+    met = left.groupBy("shingle").agg(F.count("*").alias("times")).where("times > 1").select("shingle")
+    common = left.join(met, "shingle").groupBy("id").agg(F.count("*").alias("common"))
+    members = members.join(common, "id")
+    other = members.select("bucket", F.col("id").alias("centre"), F.col("n").alias("centre_n"), F.col("component").alias("centre_component"), F.col("common").alias("centre_common"))
+    most = F.least("common", "centre_common")
+    can = OF * most >= SIMILAR * (F.col("n") + F.col("centre_n") - most)
+    return _ordered(members.join(other, "bucket").where("id < centre and component <> centre_component").where(can))
+
+
 def links(members: DataFrame, sets: DataFrame, staged: Staged) -> DataFrame | None:
     """``node`` and ``component`` of all ids that are linked; ``members`` has bucket, id, n and shared."""
-    tested = found = labels = None
-    for rounds in range(STAR_ROUNDS + 1):
-        if labels is not None:
-            members = members.drop("component").join(labels.withColumnRenamed("node", "id"), "id", "left")
-            members = members.withColumn("component", F.coalesce("component", "id"))
-            open_ = members.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("bucket")
-            members = members.join(open_, "bucket")
-        elif rounds:
-            members = members.withColumn("component", F.col("id"))
-        if rounds:
-            members, _ = staged.write(members)
-            if members.isEmpty():
-                break
-        if rounds < STAR_ROUNDS:
-            stars = _stars(members)
-            if rounds:
-                own = stars.where("id = centre").select("bucket", F.col("component").alias("centre_component"))
-                apart = stars.join(own, "bucket").where("component <> centre_component")
-            else:
-                apart = stars
-            pairs = _ordered(apart)
-            members = stars.where("id <> centre").select("bucket", "id", "n", "shared")
-        else:
-            other = members.select("bucket", F.col("id").alias("centre"), F.col("n").alias("centre_n"), F.col("component").alias("centre_component"))
-            pairs = _ordered(members.join(other, "bucket").where("id < centre and component <> centre_component"))
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
+    tested, found, labels = [], [], None
+
+    def test(pairs: DataFrame) -> None:
+        nonlocal labels
+        for old in tested:
+            pairs = pairs.join(old, ["a", "b"], "left_anti")
         pairs, _ = staged.write(pairs)
-        tested = pairs if tested is None else tested.unionByName(pairs)
+        tested.append(pairs)
         more, _ = staged.write(confirmed(pairs, sets))
         if not more.isEmpty():
-            found = more if found is None else found.unionByName(more)
-            labels = components(found, staged)
+            found.append(more)
+            labels = components(reduce(DataFrame.unionByName, found), staged)
+
+    test(_hubs(members))
+    for _ in range(STAR_ROUNDS):
+        members, _ = staged.write(_open(members, labels))
+        if members.isEmpty():
+            return labels
+        stars = _stars(members)
+        own = stars.where("id = centre").select("bucket", F.col("component").alias("centre_component"))
+        test(_ordered(stars.join(own, "bucket").where("component <> centre_component")))
+        members = stars.where("id <> centre")
+    members, _ = staged.write(_open(members, labels))
+    if not members.isEmpty():
+        test(_rest(members, sets))
     return labels
 
 

@@ -23,7 +23,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leadloom.llm.shared import in_arrow, slices, take, uniform
+from leadloom.llm.shared import in_arrow, sample, slices, take, uniform
 
 # The base patterns, in the order of their kinds, and their least lengths.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -105,10 +105,9 @@ def fit_texts(texts: list[str]) -> Model:
 
 
 def fit(docs: DataFrame) -> Model:
-    at = F.greatest(F.lit(1), (uniform(F.lit("at"), F.col("doc_id").cast("string")) * F.greatest(F.lit(0), F.length("text") - SAMPLE_CHARS)).cast("int") + 1)
-    order = F.md5(F.col("doc_id").cast("string"))
-    windows = take(docs, "doc_id", "text").where("text is not null").select(order.alias("o"), F.substring("text", at, F.lit(SAMPLE_CHARS)).alias("w"))
-    return fit_texts([r.w for r in windows.orderBy("o", "w").limit(SAMPLE_ROWS).collect()])
+    at = (uniform(F.lit("at"), F.col("doc_id").cast("string")) * F.greatest(F.lit(0), F.length("text") - SAMPLE_CHARS)).cast("int") + 1
+    picked = sample(take(docs, "doc_id", "text").where("text is not null and doc_id is not null"), "doc_id", SAMPLE_ROWS)
+    return fit_texts([r.w for r in picked.select(F.substring("text", at, F.lit(SAMPLE_CHARS)).alias("w")).collect()])
 
 
 def find(docs: DataFrame, model: Model) -> DataFrame:

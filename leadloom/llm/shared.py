@@ -89,3 +89,10 @@ def bounded(df: DataFrame, staged: Staged, rows: int) -> DataFrame:
     """``df``, written once, with a broadcast hint only if it has at most ``rows`` rows."""
     written, _ = staged.write(df)
     return F.broadcast(written) if written.limit(rows + 1).count() <= rows else written
+
+
+def sample(rows: DataFrame, key: str, size: int) -> DataFrame:
+    """About ``size`` rows, at most twice as many, chosen by a hash of ``key``; what tasks return stays in proportion to ``size``."""
+    total = max(1, rows.count())
+    at = uniform(F.lit("sample"), F.col(key).cast("string"))
+    return rows.where(at < min(1.0, 1.5 * size / total)).orderBy(at, key).limit(2 * size)

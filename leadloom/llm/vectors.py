@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leadloom.llm.components import components
-from leadloom.llm.shared import Staged, in_arrow, take
+from leadloom.llm.shared import Staged, in_arrow, sample, take
 
 SIMILAR = 0.9
 PROBES = 12
@@ -227,8 +227,8 @@ def classes(vectors: DataFrame) -> DataFrame:
     result = rows.select("vec_id", F.when(F.col("vec_id").isNotNull(), F.col("same")).alias("same")).join(alike.select("same", "id", "weight"), "same", "left")
     if n > 1:
         lists = max(1, min(MAX_LISTS, n // LIST_LENGTH))
-        sample = alike.orderBy(F.md5(F.col("id").cast("string"))).limit(max(MIN_SAMPLE, lists * SAMPLE_PER_LIST)).select("unit").collect()
-        model = fit_rows(np.frombuffer(b"".join(r["unit"] for r in sample), np.float64).reshape(len(sample), width), lists)
+        picked = sample(alike, "id", max(MIN_SAMPLE, lists * SAMPLE_PER_LIST)).select("unit").collect()
+        model = fit_rows(np.frombuffer(b"".join(r["unit"] for r in picked), np.float64).reshape(len(picked), width), lists)
         index, _ = staged.write(indexed(alike, model))
         found, _ = staged.write(links(index, model))
         counts = found.groupBy("id").agg(F.sum("n").alias("others"))
