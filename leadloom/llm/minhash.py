@@ -12,9 +12,9 @@
    rounds, each centre is compared with the members of other components and
    leaves its bucket.  Buckets whose members are all in one component are done.
    So the number of pairs grows with the members, not their square.
-4. Members of different components that are left in one bucket are compared
-   exactly, each such pair once, unless it cannot be similar: a pair has at most
-   as many shingles in common as either has that occur in another document left.
+4. What is left, members of buckets that still hold several components, is
+   compared exactly by prefix filtering: similar sets share one of the rarest
+   shingles of each, and what follows its first place must suffice for the rest.
 
 At a similarity of 0.85 a pair shares no bucket with a chance below one in a
 million; there is no cap on members or candidates.
@@ -35,13 +35,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leadloom.llm.components import components
-from leadloom.llm.shared import Staged, in_arrow, slices, take
+from leadloom.llm.shared import Staged, in_arrow, pack, slices, take, unpacked
 
 SHINGLE = 5
 BANDS, ROWS = 32, 6
 BINS = BANDS * ROWS
 SIMILAR, OF = 85, 100
-STAR_ROUNDS = 3
+STAR_ROUNDS = 2
 
 _RANDOM = np.random.Generator(np.random.PCG64(9))
 _WORD_FACTORS = _RANDOM.integers(1, 2**63, SHINGLE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -125,15 +125,16 @@ def sketches(docs: DataFrame) -> DataFrame:
     return in_arrow(take(docs, "doc_id", "text"), run, schema)
 
 
-def sets_of(docs: DataFrame) -> DataFrame:
-    schema = f"id {docs.schema['doc_id'].dataType.simpleString()}, shingles array<long>"
+def sets_of(packed: DataFrame) -> DataFrame:
+    """``id`` and its sorted ``shingles`` of packed texts."""
+    schema = f"id {packed.schema['doc_id'].dataType.simpleString()}, shingles array<long>"
 
     def run(batches):
-        for part in slices(batches, "text"):
-            sets = [s.view(np.int64) for s in shingle_sets(part.column("text").to_pylist())]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], ["id", "shingles"])
+        for part, texts in unpacked(batches):
+            sets = [s.view(np.int64) for s in shingle_sets(texts)]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sets, pa.list_(pa.int64()))], ["id", "shingles"])
 
-    return in_arrow(take(docs, "doc_id", "text"), run, schema)
+    return in_arrow(packed, run, schema)
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -177,27 +178,32 @@ def _open(members: DataFrame, labels: DataFrame | None) -> DataFrame:
 
 
 def _rest(members: DataFrame, sets: DataFrame) -> DataFrame:
-    """All pairs of different components in a bucket that can be similar."""
-    left = sets.join(members.select("id").distinct(), "id").select("id", F.explode("shingles").alias("shingle"))
-    met = left.groupBy("shingle").agg(F.count("*").alias("times")).where("times > 1").select("shingle")
-    common = left.join(met, "shingle").groupBy("id").agg(F.count("*").alias("common"))
-    members = members.join(common, "id")
-    other = members.select("bucket", F.col("id").alias("centre"), F.col("n").alias("centre_n"), F.col("component").alias("centre_component"), F.col("common").alias("centre_common"))
-    most = F.least("common", "centre_common")
-    can = OF * most >= SIMILAR * (F.col("n") + F.col("centre_n") - most)
-    return _ordered(members.join(other, "bucket").where("id < centre and component <> centre_component").where(can))
+    """All pairs of different components among the members that can be similar.
+
+    Shingles are ranked from the rarest on.  Similar sets have at least 0.85 n
+    shingles in common, so they meet within the first 0.15 n + 1 of each; at
+    their first common shingle, what is not before it must hold all common ones.
+    """
+    ids = members.select("id", "n", "component").distinct()
+    each = sets.join(ids.select("id"), "id", "left_semi").select("id", F.explode("shingles").alias("shingle"))
+    met = each.groupBy("shingle").agg(F.count("*").alias("times")).where("times > 1")
+    ranked = each.join(met, "shingle").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("times", "shingle"))).alias("ranked"))
+    alone = F.col("n") - F.size("ranked")  # these come first and meet nothing
+    prefix = F.col("n") - F.floor((SIMILAR * F.col("n") + OF - 1) / OF) + 1
+    head = F.slice("ranked", F.lit(1), F.greatest(F.lit(0), prefix - alone).cast("int"))
+    heads = ids.join(ranked, "id").select("id", "n", "component", alone.alias("alone"), F.posexplode(head).alias("place", "at"))
+    heads = heads.select("id", "n", "component", (F.col("n") - F.col("alone") - F.col("place")).alias("rest"), F.col("at.shingle").alias("shingle"))
+    other = heads.select("shingle", F.col("id").alias("centre"), F.col("n").alias("centre_n"), F.col("component").alias("centre_component"), F.col("rest").alias("centre_rest"))
+    can = (OF + SIMILAR) * F.least("rest", "centre_rest") >= SIMILAR * (F.col("n") + F.col("centre_n"))
+    return _ordered(heads.join(other, "shingle").where("id < centre and component <> centre_component").where(can))
 
 
 def links(members: DataFrame, sets: DataFrame, staged: Staged) -> DataFrame | None:
     """``node`` and ``component`` of all ids that are linked; ``members`` has bucket, id, n and shared."""
-    tested, found, labels = [], [], None
+    found, labels = [], None
 
     def test(pairs: DataFrame) -> None:
         nonlocal labels
-        for old in tested:
-            pairs = pairs.join(old, ["a", "b"], "left_anti")
-        pairs, _ = staged.write(pairs)
-        tested.append(pairs)
         more, _ = staged.write(confirmed(pairs, sets))
         if not more.isEmpty():
             found.append(more)
@@ -232,7 +238,7 @@ def classes(docs: DataFrame) -> DataFrame:
     shared = members.groupBy("id").agg(F.sum("size").alias("shared"))
     members, _ = staged.write(members.select("bucket", "id", "n").join(shared, "id"))
     wanted = members.select(F.col("id").alias("doc_id")).distinct()
-    sets, _ = staged.write(sets_of(take(docs, "doc_id", "text").join(wanted, "doc_id", "left_semi")).dropDuplicates(["id"]))
+    sets, _ = staged.write(sets_of(pack(docs).join(wanted, "doc_id", "left_semi")).dropDuplicates(["id"]))
     labels = links(members, sets, staged)
     result = rows.select("doc_id", "n_shingles", "same").join(alike, "same", "left")
     if labels is None:

@@ -27,12 +27,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leadloom.llm.minhash import runs, word_hashes
-from leadloom.llm.shared import SLICE_BYTES, Staged, in_arrow, slices, take
+from leadloom.llm.shared import Staged, in_arrow, pack, slices, take, unpacked
 
 WINDOW, SEED = 20, 6
 _RANDOM = np.random.Generator(np.random.PCG64(3))
@@ -64,32 +63,6 @@ class Cut:
         self.owner, self.place = owner[inside], place[inside]
 
 
-def _pack(docs: DataFrame) -> DataFrame:
-    """``doc_id`` and the compressed ``text`` of documents that have an id."""
-    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, packed binary, n_bytes long"
-
-    def run(batches):
-        squeeze = zstandard.ZstdCompressor(level=3)
-        for part in slices(batches, "text"):
-            data = [(t or "").encode() for t in part.column("text").to_pylist()]
-            columns = [part.column(0), pa.array([squeeze.compress(d) for d in data], pa.binary()), pa.array([len(d) for d in data], pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "packed", "n_bytes"])
-
-    return in_arrow(take(docs, "doc_id", "text").where("doc_id is not null"), run, schema)
-
-
-def _unpacked(batches):
-    """Batches in slices of bounded unpacked size, each with its texts."""
-    expand = zstandard.ZstdDecompressor()
-    for batch in batches:
-        sizes = batch.column("n_bytes").to_numpy()
-        group = np.cumsum(sizes) // SLICE_BYTES
-        edges = np.flatnonzero(np.diff(group, prepend=-1, append=-1)) if len(sizes) else []
-        for a, b in zip(edges[:-1], edges[1:], strict=True):
-            part = batch.slice(a, b - a)
-            yield part, [expand.decompress(d).decode() if d else "" for d in part.column("packed").to_pylist()]
-
-
 def anchors(docs: DataFrame) -> DataFrame:
     """``anchor`` and ``doc_id`` of every place that windows name."""
     schema = f"anchor long, doc_id {docs.schema['doc_id'].dataType.simpleString()}"
@@ -119,7 +92,7 @@ def _windows(packed: DataFrame, repeated: DataFrame) -> DataFrame:
     kind = packed.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
-        for part, texts in _unpacked(batches):
+        for part, texts in unpacked(batches):
             cut = Cut(texts)
             named = np.flatnonzero(_named(cut, part.column("anchors").to_pylist()))
             ids = part.column("doc_id").take(pa.array(cut.owner[named]))
@@ -138,7 +111,7 @@ def cut_repeats(docs: DataFrame) -> DataFrame:
     # written first: a join of two plain shuffles can have its hot anchors split
     twice, _ = staged.write(places.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"))
     repeated, _ = staged.write(places.join(twice, "anchor", "left_semi").groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors")))
-    packed = _pack(rows)
+    packed = pack(rows)
     firsts = _windows(packed, repeated).groupBy("window", "anchor").agg(F.min(F.struct("doc_id", "place")).alias("first"))
     firsts, _ = staged.write(firsts.select("first.*").groupBy("doc_id").agg(F.collect_set("place").alias("firsts")))
     marks = repeated.join(firsts, "doc_id", "left")
@@ -146,7 +119,7 @@ def cut_repeats(docs: DataFrame) -> DataFrame:
     spans = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
     def run(batches):
-        for part, texts in _unpacked(batches):
+        for part, texts in unpacked(batches):
             cut = Cut(texts)
             again = _named(cut, part.column("anchors").to_pylist())
             edges = np.searchsorted(cut.owner, np.arange(len(texts) + 1))
