@@ -114,7 +114,7 @@ def landed_pages(spark, d):
 
 
 def crawl_listings(spark, d):
-    return discover(landed_pages(spark, d), crawl_config())
+    return discover(landed_pages(spark, d), crawl_config(), strict=False)
 
 
 QUERIES = {

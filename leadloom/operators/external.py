@@ -46,14 +46,15 @@ def catalog_violations(catalog: DataFrame) -> DataFrame:
 
 
 def property_kinds(catalog: DataFrame) -> dict[str, str]:
-    """Type of each known property; raises on the first violation.
+    """Type of each known property; raises on the first violation in declared order, the required ones first.
 
     At most one row per expected property reaches the driver.
     """
-    bad = catalog_violations(catalog).orderBy("name").select("message").take(1)
+    known = list(REQUIRED_PROPERTIES) + list(OPTIONAL_PROPERTIES)
+    declared = F.array_position(F.array(*(F.lit(n) for n in known)), F.col("name"))
+    bad = catalog_violations(catalog).orderBy(declared).select("message").take(1)
     if bad:
         raise ValueError(bad[0]["message"])
-    known = list(REQUIRED_PROPERTIES) + list(OPTIONAL_PROPERTIES)
     return {r["name"]: r["type"] for r in catalog.where(F.col("name").isin(known)).dropDuplicates(["name"]).collect()}
 
 

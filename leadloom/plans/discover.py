@@ -29,6 +29,14 @@ def visited(pages: DataFrame, config: SourceConfig, boards: dict[str, Board] = B
     ).withColumns({"base_url": F.lit(config.base_url), "last": last})
 
 
+def latest_landing(pages: DataFrame) -> DataFrame:
+    """The last landing of each address, where pages carry ``landed_at``; it need not be one run's."""
+    if "landed_at" not in pages.columns:
+        return pages
+    newest = pages.groupBy("url").agg(F.max("landed_at").alias("landed_at"))
+    return pages.join(newest, ["url", "landed_at"], "left_semi").drop("landed_at")
+
+
 def parse_pages(pages: DataFrame, chosen: list[SourceConfig], boards: dict[str, Board] = BOARDS) -> DataFrame:
     """Listings of all visited pages, repeats on a page collapsed."""
     parts = [boards[c.source].parse(visited(pages, c, boards)) for c in chosen]
@@ -51,7 +59,7 @@ def page_counts(
             visited(pages, c, boards).select("source", "page_no", F.lit(c.max_listings).alias("cap"))
             for c in chosen
         ]
-    )
+    ).distinct()  # a page landed twice is one page
     n = rows.groupBy("source", "page_no").agg(F.count(F.lit(1)).alias("n"), F.max("last").alias("last"))
     return seen.join(n, ["source", "page_no"], "left").withColumns(
         {"n": F.coalesce("n", F.lit(0)), "last": F.coalesce("last", F.lit(False))}
@@ -62,19 +70,21 @@ def discover(
     pages: DataFrame,
     config: RunConfig,
     source: str | None = None,
-    strict: bool = False,
+    strict: bool = True,
     boards: dict[str, Board] = BOARDS,
 ) -> DataFrame:
     """Listings of a run, unique by key, the first source, page and card winning.
 
     Order of steps: collapse repeats on a page, follow the pages of a source,
     cap per source, union, dedupe.  The parsed rows are written once, since
-    both the page counts and the result read them.  Strict mode fails when a
-    source's next page was never landed.
+    both the page counts and the result read them.  Of an address landed more
+    than once the last landing counts.  A source whose next page was never
+    landed fails the run; ``strict=False`` takes what there is instead.
     """
     chosen = select_sources(config, source)
     if not chosen:
         return pages.sparkSession.createDataFrame([], LISTINGS)
+    pages = latest_landing(pages)
     rows = stage(parse_pages(pages, chosen, boards), "listings")
     counts = stage(page_counts(pages, rows, chosen, boards), "pages")
     kept = L.page_prefix(counts, "cap", last="last")

@@ -80,7 +80,7 @@ def run(
     make_scorer: ScorerFactory,
     now: str,
     source: str | None = None,
-    strict: bool = False,
+    strict: bool = True,
     boards: dict[str, Board] = BOARDS,
     progress: Progress | None = None,
 ) -> DataFrame:

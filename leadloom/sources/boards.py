@@ -90,8 +90,7 @@ def with_headed_fields(df: DataFrame, card: str = "card") -> DataFrame:
             lambda p: p.isNotNull(),
         )
         amounts = F.filter(F.transform(boxes, lambda p: H.element_text(t, p)), has_amount)
-        paid = F.contains(F.col(card), F.lit("PLN"))
-        return F.when(paid, plain_dashes(F.get(amounts, F.lit(0))))
+        return plain_dashes(F.get(amounts, F.lit(0)))
 
     def fields(t: Column) -> Column:
         title = strip_new_mark(H.element_text(t, H.find_open(t, "h3")))

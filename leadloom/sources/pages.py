@@ -48,17 +48,19 @@ def scan_pages(frontier: DataFrame, pages: DataFrame, strict: bool = False) -> D
 def offer_join(listings: DataFrame, offers: DataFrame, order: list[str] | None = None) -> DataFrame:
     """Add the offer text by address without scheme.
 
-    ``error`` is set where no text was landed.  With ``order`` the last landing
-    of an address counts; without it the offers must be unique by address.
+    ``error`` is set where no text was landed.  The last landing of an address
+    counts: by ``order``, else by ``landed_at`` where there is one, and of equal
+    ones always the same.
     """
+    order = order or (["landed_at"] if "landed_at" in offers.columns else [])
+    by = {f"__by{i}": F.col(c) for i, c in enumerate([*order, "offer_markdown", "error"])}
     texts = offers.select(
         strip_scheme(F.col("url")).alias("__address"),
         "offer_markdown",
         F.col("error").alias("__error"),
-        *(order or []),
+        *(c.alias(n) for n, c in by.items()),
     )
-    if order:
-        texts = collapse_last(texts, ["__address"], order).drop(*order)
+    texts = collapse_last(texts, ["__address"], list(by)).drop(*by)
     joined = listings.withColumn("__address", strip_scheme(F.col("url"))).join(texts, "__address", "left")
     failed = F.col("__error").isNotNull() | F.col("offer_markdown").isNull()
     return joined.select(

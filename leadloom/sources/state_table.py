@@ -30,7 +30,7 @@ class StateTable:
         schema: str = JOBS,
         key: str = "external_id",
         buckets: int | None = None,
-        compact_after: int = 20,
+        compact_after: int | None = None,
     ):
         self.spark = spark
         self.path = path.rstrip("/")
@@ -150,7 +150,7 @@ class StateTable:
         number, _, folder = self._folder("changes", tag)
         df.select(*self.columns).write.mode("overwrite").parquet(folder)
         last_full = max([v[0] for v in self.versions() if v[1] == "full"], default=0)
-        if number - last_full >= self.compact_after:
+        if self.compact_after and number - last_full >= self.compact_after:
             number = self.compact()
         return number
 

@@ -1,12 +1,15 @@
 """Streams of landed files folded into tables.
 
 Keys are unbounded, so what was seen lives in a state table and not in the
-state store.  Each micro-batch writes one change set under a tag made of its
-batch id; a replayed batch finds its tag and writes nothing.
+state store.  Each micro-batch writes one change set under a tag made of the
+stream's own id and the batch id; a replayed batch finds its tag and writes
+nothing.  The id is kept with the checkpoint, so streams never share tags, and
+one whose checkpoint was lost starts over under a new id.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -33,6 +36,15 @@ def file_stream(spark: SparkSession, path: str, schema, fmt: str = "parquet", fi
     return reader.load(path)
 
 
+def stream_id(spark: SparkSession, checkpoint: str) -> str:
+    """The id of the stream that keeps its progress in ``checkpoint``."""
+    place = f"{checkpoint.rstrip('/')}/stream-id"
+    path = spark._jvm.org.apache.hadoop.fs.Path(place)
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        spark.createDataFrame([(uuid.uuid4().hex,)], "value string").coalesce(1).write.text(place)
+    return spark.read.text(place).first()["value"]
+
+
 def fold(
     stream: DataFrame,
     table: StateTable,
@@ -46,11 +58,15 @@ def fold(
     rows of the batch's keys.
     """
 
+    own = stream_id(stream.sparkSession, checkpoint)
+
     def on_batch(batch: DataFrame, batch_id: int) -> None:
         batch.persist()
-        known = table.rows_of(batch)
-        table.append_changes(changes(known, batch), f"{name}-{batch_id}")
-        batch.unpersist()
+        try:
+            known = table.rows_of(batch)
+            table.append_changes(changes(known, batch), f"{name}-{own}-{batch_id}")
+        finally:
+            batch.unpersist()
 
     return (
         stream.writeStream.foreachBatch(on_batch)
@@ -107,6 +123,7 @@ def run_stream(
     checkpoint: str,
     on_summary: Callable[[int, dict], None] | None = None,
     boards: dict[str, Board] = BOARDS,
+    strict: bool = True,
 ) -> StreamingQuery:
     """Incremental runs: each micro-batch of landed pages is one run.
 
@@ -114,15 +131,16 @@ def run_stream(
     a micro-batch.  ``offers`` and ``now`` are called per batch.
     """
 
+    own = stream_id(pages.sparkSession, checkpoint)
+
     def on_batch(batch: DataFrame, batch_id: int) -> None:
-        batch.persist()
-        listings = stage(discover(batch, config, boards=boards), "found")
+        listings = stage(discover(batch, config, strict=strict, boards=boards), "found")
+        tag = f"run-{own}-{batch_id}"
         outcomes = process_listings(
-            listings, table, offers(), load_profile, make_scorer, config.match_threshold, now(), f"run-{batch_id}"
+            listings, table, offers(), load_profile, make_scorer, config.match_threshold, now(), tag
         )
         if on_summary:
             on_summary(batch_id, run_summary(outcomes, table.read()).first().asDict())
-        batch.unpersist()
 
     return (
         pages.writeStream.foreachBatch(on_batch)

@@ -104,3 +104,12 @@ def test_earlier_source_wins_across_boards(spark):
     }
     assert found["nofluffjobs:/pl/job/smith-zory"] == "Smith"
     assert len(found) == 3
+
+
+def test_repeated_landings_change_nothing(spark):
+    once = {r["external_id"] for r in discover(_pages(spark), _config()).collect()}
+    pages = _pages(spark)
+    assert {r["external_id"] for r in discover(pages.unionByName(pages), _config()).collect()} == once
+    old = pages.withColumns({"html": F.lit("<p>old</p>"), "landed_at": F.lit(1)})
+    again = old.unionByName(pages.withColumn("landed_at", F.lit(2)))
+    assert {r["external_id"] for r in discover(again, _config()).collect()} == once

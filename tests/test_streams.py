@@ -51,9 +51,22 @@ def test_replayed_batch_is_written_once(spark, tmp_path):
     _land(spark, tmp_path, 0, [("a", "x", 1, 1)])
     changes = ingest.last_status("k", ["ts", "seq"])
     _drain(spark, tmp_path, table, changes, work_folder(spark, "cp"))
-    # A lost checkpoint replays batch 0.
-    _drain(spark, tmp_path, table, changes, work_folder(spark, "cp"))
+    # A replayed batch has the id of its stream.
+    table.append_changes(table.read(), table.versions()[-1][3])
     assert len(table.versions()) == 1
+    # A lost checkpoint starts over: nothing is lost, nothing doubled.
+    _land(spark, tmp_path, 1, [("b", "y", 1, 1)])
+    got = _drain(spark, tmp_path, table, changes, work_folder(spark, "cp"))
+    assert {k: r["status"] for k, r in got.items()} == {"a": "x", "b": "y"}
+
+
+def test_two_streams_into_one_table(spark, tmp_path):
+    table = StateTable(spark, work_folder(spark, "t"), EVENTS, "k")
+    changes = ingest.last_status("k", ["ts", "seq"])
+    for n in range(2):
+        _land(spark, tmp_path / f"in{n}", 0, [(f"k{n}{i}", "x", 1, i) for i in range(5)])
+        got = _drain(spark, tmp_path / f"in{n}", table, changes, work_folder(spark, "cp"))
+    assert len(got) == 10
 
 
 def test_each_landing_is_a_run(spark, tmp_path):
