@@ -9,9 +9,10 @@ from leadloom.bindings.tables import table
 from leadloom.functions import lines
 from leadloom.operators import external as X
 from leadloom.operators import summary as R
+from leadloom.plans.exchange import sync
 from leadloom.schemas import PAGE_BATCH
 from leadloom.session import work_folder
-from leadloom.sources.external_pages import explode_batches, send_changes, write_changes
+from leadloom.sources.external_pages import explode_batches
 
 c = F.col
 
@@ -143,10 +144,14 @@ def external_index(spark, d):
     return X.external_index(external_pages(spark, d), ["batch_no", "pos"])
 
 
+def _catalog(spark):
+    return spark.createDataFrame(list(KINDS.items()), "name string, type string")
+
+
 def sync_changeset(spark, d):
-    """The change set as written for the sender, read back."""
+    """The change set as a sync writes it for a sender, read back."""
     path = work_folder(spark, "changes")
-    write_changes(X.change_set(_plan(spark, d), KINDS).where(c("action") != "skip"), path)
+    sync(stored_jobs(spark, d), _index(spark, d), _catalog(spark), out=path)
     schema = "page_id string, external_id string, properties_json string, action string"
     return spark.read.schema(schema).json(path).select("action", "page_id", "external_id", F.md5("properties_json").alias("digest"))
 
@@ -158,9 +163,7 @@ def _sent(spark, d):
         if action == "update" and '"number":null' in properties:
             raise ValueError("validation failed")
 
-    plan = X.change_set(_plan(spark, d), KINDS)
-    skipped = plan.where(c("action") == "skip").select("external_id", "action", F.lit(None).cast("string").alias("error"))
-    return skipped.unionByName(send_changes(plan.where(c("action") != "skip"), send))
+    return sync(stored_jobs(spark, d), _index(spark, d), _catalog(spark), send)
 
 
 def sync_summary(spark, d):

@@ -45,7 +45,7 @@ def upsert_discovered(
 
     ``updated_at`` moves only when a tracked column differs, NULL counting as a
     value.  All other columns of a known row stay.  With ``how="right_outer"``
-    only the rows of incoming keys come back (a change set).
+    only incoming rows that are new or differ come back (a change set).
     """
     new = incoming.select(key, *[F.col(c).alias(f"__new_{c}") for c in tracked], F.lit(True).alias("__in"))
     both = state.withColumn("__known", F.lit(True)).join(new, key, how)
@@ -54,6 +54,8 @@ def upsert_discovered(
     same = F.lit(True)
     for c in tracked:
         same = same & F.col(c).eqNullSafe(F.col(f"__new_{c}"))
+    if how == "right_outer":
+        both = both.where(inserted | ~same)
     values: dict[str, Column] = {c: F.when(seen, F.col(f"__new_{c}")).otherwise(F.col(c)) for c in tracked}
     values["status"] = F.when(inserted, F.lit("discovered")).otherwise(F.col("status"))
     values["created_at"] = F.when(inserted, F.lit(now)).otherwise(F.col("created_at"))

@@ -10,8 +10,8 @@ file is there.  One writer at a time.
 
 from __future__ import annotations
 
+import hashlib
 import re
-import zlib
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -56,13 +56,14 @@ class StateTable:
 
     def _name(self, folder: str) -> str:
         number = folder.rsplit("/", 1)[1].replace("-", "_")
-        return f"leadloom_{zlib.crc32(self.path.encode()):08x}_{number}"
+        return f"leadloom_{hashlib.sha256(self.path.encode()).hexdigest()}_{number}"
 
     def _load_full(self, folder: str, buckets: int) -> DataFrame:
         name = self._name(folder)
+        location = folder.replace("\\", "\\\\").replace("'", "\\'")
         self.spark.sql(
             f"CREATE TABLE IF NOT EXISTS `{name}` ({self.schema}) USING parquet "
-            f"CLUSTERED BY ({self.key}) SORTED BY ({self.key}) INTO {buckets} BUCKETS LOCATION '{folder}'"
+            f"CLUSTERED BY ({self.key}) SORTED BY ({self.key}) INTO {buckets} BUCKETS LOCATION '{location}'"
         )
         return self.spark.table(name)
 
@@ -116,17 +117,17 @@ class StateTable:
             overlay,
         )
 
-    def _folder(self, kind: str, tag: str | None = None) -> tuple[int, int, str]:
-        """Number, buckets and folder of the next version."""
+    def _folder(self, kind: str, tag: str | None = None, buckets: int | None = None) -> tuple[int, int, str]:
+        """Number, buckets (as before unless given) and folder of the next version."""
         versions = self.versions()
         number = versions[-1][0] + 1 if versions else 1
-        buckets = versions[-1][2] if versions else self.buckets
+        buckets = buckets or (versions[-1][2] if versions else self.buckets)
         name = f"v{number:08d}-{kind}-b{buckets}" + (f"-t{tag}" if tag else "")
         return number, buckets, f"{self.path}/{name}"
 
-    def write_full(self, df: DataFrame, by_bucket: bool = False) -> int:
+    def write_full(self, df: DataFrame, by_bucket: bool = False, buckets: int | None = None) -> int:
         """Write the whole table as the next version, in buckets by key."""
-        number, buckets, folder = self._folder("full")
+        number, buckets, folder = self._folder("full", buckets=buckets)
         rows = df.select(*self.columns)
         if not by_bucket:
             rows = rows.repartition(buckets, self.key)
@@ -154,12 +155,19 @@ class StateTable:
             number = self.compact()
         return number
 
-    def compact(self) -> int:
+    def compact(self, buckets: int | None = None) -> int:
         """Fold all change sets into a new full table.
 
-        The full table is read by bucket, so its rows are written without a shuffle.
+        The full table is read by bucket and the changes are dealt by bucket, so
+        its rows are written without a shuffle and a bucket gets two files at
+        most.  Another number of ``buckets`` shuffles the whole table once.
         """
-        return self.write_full(self.read(), by_bucket=True)
+        base, overlay = self._parts()
+        held = self.versions()[-1][2] if base is not None else None
+        aligned = held is not None and buckets in (None, held)
+        if aligned and overlay is not None:
+            overlay = overlay.repartition(held, self.key)
+        return self.write_full(self._overlaid(base, overlay, overlay), by_bucket=aligned, buckets=buckets)
 
     def count(self) -> int:
         return self.read().count()

@@ -111,3 +111,26 @@ def test_the_stored_table_is_not_shuffled(spark):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert "Bucketed: true" in plan and plan.count("Exchange hashpartitioning") == 1
+
+
+def test_a_change_set_holds_changes_only(spark):
+    table = StateTable(spark, work_folder(spark, "t'quoted"), buckets=4)
+    rows = listings(spark, *[listing(i) for i in range(20)])
+    table.append_changes(S.upsert_discovered(table.rows_of(rows), rows, T1, how="right_outer"))
+    assert S.upsert_discovered(table.rows_of(rows), rows, T2, how="right_outer").count() == 0
+    some = listings(spark, listing(1, salary="9 PLN"), listing(2), listing(99))
+    assert sorted(by_id(S.upsert_discovered(table.rows_of(some), some, T2, how="right_outer"))) == ["s:/1", "s:/99"]
+
+
+def test_compaction_by_bucket_and_into_other_buckets(spark):
+    table = StateTable(spark, work_folder(spark, "t'quoted"), buckets=3)
+    table.append_changes(S.upsert_discovered(table.read(), listings(spark, *[listing(i) for i in range(60)]), T1))
+    table.compact()
+    change = listings(spark, *[listing(i, "New Co") for i in range(30, 90)])
+    table.append_changes(S.upsert_discovered(table.rows_of(change), change, T2, how="right_outer").repartition(7))
+    table.compact()
+    number, kind, buckets, _, folder = table.versions()[-1]
+    assert (kind, buckets) == ("full", 3) and len(spark.read.parquet(folder).inputFiles()) <= 6
+    table.compact(buckets=5)
+    assert table.versions()[-1][1:3] == ("full", 5) and table.count() == 90
+    assert sum(r["company"] == "New Co" for r in table.read().collect()) == 60
