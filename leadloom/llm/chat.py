@@ -6,9 +6,11 @@ ranges the speaker is trained on: own turns, with their end marks.
 
 The system is no speaker; its turns stay system turns.  A conversation is cut
 into parts of ``PART`` turn numbers, so one of any length is never gathered in
-one row; offsets are within a part.  Equal rows are one turn; turns of the same
-number follow by role and text.  A null role speaks as ``unknown``, a null text
-is empty, a null turn comes first, rows without conversation form one.
+one row.  Should more than ``MOST`` turns share a part (rows without conversation
+or turn number), a hash deals them to pieces of about that many.  Offsets are
+within a piece.  Equal rows are one turn; turns of the same number follow by role
+and text.  A null role speaks as ``unknown``, a null text is empty, a null turn
+comes first, rows without conversation form one.
 """
 
 from __future__ import annotations
@@ -17,9 +19,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leadloom.functions.let import let
-from leadloom.llm.shared import take
+from leadloom.llm.shared import take, uniform
 
-PART = 256
+PART, MOST = 256, 4096
 SYSTEM = "system"
 END = "<|end|>\n"
 
@@ -29,17 +31,20 @@ def _plain(text: Column) -> Column:
     return F.replace(text, F.lit("<|"), F.lit("< |"))
 
 
-def perspectives(turns: DataFrame, part: int = PART) -> DataFrame:
-    """``conv_id``, ``speaker``, ``part``, ``n_turns``, ``text``, ``mask`` (array of start and end)."""
+def perspectives(turns: DataFrame, part: int = PART, most: int = MOST) -> DataFrame:
+    """``conv_id``, ``speaker``, ``part``, ``piece``, ``n_turns``, ``text``, ``mask`` (array of start and end)."""
     rows = take(turns, "conv_id", "turn", "role", "text").select(
         "conv_id",
         "turn",
         F.coalesce("role", F.lit("unknown")).alias("role"),
         F.coalesce("text", F.lit("")).alias("text"),
     )
-    rows = rows.distinct()
-    number = F.floor(F.coalesce(F.col("turn"), F.lit(0)) / part).alias("part")
-    parts = rows.groupBy("conv_id", number).agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
+    rows = rows.distinct().withColumn("part", F.floor(F.coalesce(F.col("turn"), F.lit(0)) / part))
+    crowded = rows.groupBy("conv_id", "part").agg(F.count("*").alias("n")).where(F.col("n") > most)
+    crowded = crowded.select(F.col("conv_id").alias("__conv"), F.col("part").alias("__part"), F.ceil(F.col("n") / most).alias("__pieces"))
+    dealt = rows.join(crowded, F.col("conv_id").eqNullSafe(F.col("__conv")) & (F.col("part") == F.col("__part")), "left")
+    piece = F.floor(uniform(F.col("turn").cast("string"), F.col("role"), F.col("text")) * F.col("__pieces"))
+    parts = dealt.groupBy("conv_id", "part", F.coalesce(piece, F.lit(0)).alias("piece")).agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
     speakers = rows.where(F.col("role") != SYSTEM).select(F.col("conv_id").alias("__conv"), F.col("role").alias("speaker")).distinct()
     both = parts.join(speakers, F.col("conv_id").eqNullSafe(F.col("__conv")))
 
@@ -66,8 +71,8 @@ def perspectives(turns: DataFrame, part: int = PART) -> DataFrame:
         )
 
     made = let(F.transform("turns", rendered), whole)
-    return both.select("conv_id", "speaker", "part", F.size("turns").cast("long").alias("n_turns"), made.alias("made")).select(
-        "conv_id", "speaker", "part", "n_turns", "made.text", "made.mask"
+    return both.select("conv_id", "speaker", "part", "piece", F.size("turns").cast("long").alias("n_turns"), made.alias("made")).select(
+        "conv_id", "speaker", "part", "piece", "n_turns", "made.text", "made.mask"
     )
 
 
@@ -75,27 +80,31 @@ def digest(made: DataFrame) -> DataFrame:
     """The mask as text, and how many characters it covers."""
     spans = F.transform("mask", lambda s: F.concat_ws("-", s["start"], s["end"]))
     covered = F.aggregate("mask", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
-    return made.select("conv_id", "speaker", "part", "n_turns", "text", F.array_join(spans, ",").alias("mask"), covered.alias("n_trained"))
+    return made.select("conv_id", "speaker", "part", "piece", "n_turns", "text", F.array_join(spans, ",").alias("mask"), covered.alias("n_trained"))
 
 
 ORACLE_SQL = """
 WITH turns AS (
     SELECT DISTINCT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text FROM conversations
+), counted AS (
+    SELECT *, CAST(floor(coalesce(turn, 0) / 256) AS BIGINT) AS part, count(*) OVER (PARTITION BY conv_id, floor(coalesce(turn, 0) / 256)) AS n FROM turns
+), dealt AS (
+    SELECT *, CASE WHEN n > 4096 THEN CAST(floor(CAST('0x' || substr(md5(concat_ws('|', turn, role, text)), 1, 13) AS BIGINT) / pow(2, 52) * ceil(n / 4096)) AS BIGINT) ELSE 0 END AS piece FROM counted
 ), speakers AS (
     SELECT DISTINCT conv_id, role AS speaker FROM turns WHERE role <> 'system'
 ), rendered AS (
-    SELECT t.conv_id, s.speaker, CAST(floor(t.turn / 256) AS BIGINT) AS part, t.turn, t.role, t.text, t.role = s.speaker AS own,
+    SELECT t.conv_id, s.speaker, t.part, t.piece, t.turn, t.role, t.text, t.role = s.speaker AS own,
            CASE WHEN t.role = s.speaker THEN '<|assistant|>' || chr(10)
                 WHEN t.role = 'system' THEN '<|system|>' || chr(10)
                 ELSE '<|user name="' || replace(replace(t.role, '<|', '< |'), '"', '''') || '"|>' || chr(10) END AS header,
            replace(t.text, '<|', '< |') || '<|end|>' || chr(10) AS body
-    FROM turns t JOIN speakers s ON s.conv_id = t.conv_id
+    FROM dealt t JOIN speakers s ON s.conv_id = t.conv_id
 ), placed AS (
-    SELECT *, sum(length(header) + length(body)) OVER (PARTITION BY conv_id, speaker, part ORDER BY turn, role, text) AS stop FROM rendered
+    SELECT *, sum(length(header) + length(body)) OVER (PARTITION BY conv_id, speaker, part, piece ORDER BY turn, role, text) AS stop FROM rendered
 )
-SELECT conv_id, speaker, part, count(*) AS n_turns,
+SELECT conv_id, speaker, part, CAST(piece AS BIGINT) AS piece, count(*) AS n_turns,
        string_agg(header || body, '' ORDER BY turn, role, text) AS text,
        coalesce(string_agg(CASE WHEN own THEN CAST(stop - length(body) AS VARCHAR) || '-' || CAST(stop AS VARCHAR) END, ',' ORDER BY turn, role, text), '') AS mask,
        CAST(sum(CASE WHEN own THEN length(body) ELSE 0 END) AS BIGINT) AS n_trained
-FROM placed GROUP BY conv_id, speaker, part
+FROM placed GROUP BY conv_id, speaker, part, piece
 """

@@ -292,6 +292,15 @@ def test_chat(spark):
     assert out[1, 'a"n', 1].mask == []
 
 
+def test_chat_of_very_many_turns_without_number(spark):
+    rows = [(None, None, "bob", f"t{i}") for i in range(100)] + [(7, i, "bob", "q") for i in range(12)]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    out = chat.perspectives(turns, most=12).collect()
+    lost = [r for r in out if r.conv_id is None]
+    assert len(lost) > 5 and sorted(t for r in lost for t in re.findall(r"t[0-9]+", r.text.replace("assistant", ""))) == sorted(f"t{i}" for i in range(100))
+    assert all(r.n_turns == len(r.mask) < 40 for r in lost) and [r.piece for r in out if r.conv_id == 7] == [0]
+
+
 def test_urls(spark):
     urls = ["HTTP://Sub.Example.NET:80?x", "https://a.example.net/en/1", "http://b.net/x", "no scheme", None, "", "x://Org/fr/2#q", "http://xexample.com/de/1", "http://example.com/de"]
     got = rows_of(urltree.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")), "page_id")
