@@ -2,8 +2,8 @@
 
 1. A document's set is its distinct word shingles, as 64-bit hashes.  One
    permutation deals them into ``BINS`` bins; an empty bin copies the bin that
-   comes first in an order of its own (optimal densification).  ``BANDS`` bands
-   of ``ROWS`` bins give the buckets.
+   comes first in an order of its own (optimal densification).  Bands of bins
+   give the buckets; ``BANDS`` has their number and rows for each similarity.
 2. Documents with equal sets are one class, with its least id as representative.
    Only representatives go on.
 3. Buckets are worked on in stars, whose centre is the member that shares most
@@ -16,8 +16,9 @@
    compared exactly by prefix filtering: similar sets share one of the rarest
    shingles of each, and what follows its first place must suffice for the rest.
 
-At a similarity of 0.85 a pair shares no bucket with a chance below one in a
-million; there is no cap on members or candidates.
+``op9_minhash`` links from a similarity of 0.85 on, the stage of the pipeline from
+0.8 on.  At either a pair shares no bucket with a chance below one in a million;
+there is no cap on members or candidates.
 
 Null and empty texts have the empty set and are linked with nothing.  Documents
 without an id are kept and linked with nothing.  Rows of the same id are one
@@ -38,14 +39,15 @@ from leadloom.llm.components import components
 from leadloom.llm.shared import Staged, in_arrow, pack, slices, take, unpacked
 
 SHINGLE = 5
-BANDS, ROWS = 32, 6
-BINS = BANDS * ROWS
-SIMILAR, OF = 85, 100
+BINS = 192
+SIMILAR, STAGE_SIMILAR, OF = 85, 80, 100
+#: Bands and rows: (1 - 0.85^6)^32 is 6e-8 and (1 - 0.8^5)^38 is 3e-7; 32 x 6 would miss 6e-5 at 0.8.
+BANDS = {SIMILAR: (32, 6), STAGE_SIMILAR: (38, 5)}
 STAR_ROUNDS = 2
 
 _RANDOM = np.random.Generator(np.random.PCG64(9))
 _WORD_FACTORS = _RANDOM.integers(1, 2**63, SHINGLE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BAND_FACTORS = _RANDOM.integers(1, 2**63, ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_BAND_FACTORS = _RANDOM.integers(1, 2**63, 6, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ORDERS = _RANDOM.random((BINS, BINS))
 
 
@@ -105,12 +107,13 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     return out
 
 
-def bands(sign: np.ndarray) -> np.ndarray:
-    grid = sign.reshape(BANDS, ROWS)
-    return mixed((grid * _BAND_FACTORS).sum(axis=1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64))
+def bands(sign: np.ndarray, similar: int = SIMILAR) -> np.ndarray:
+    n, rows = BANDS[similar]
+    grid = sign[: n * rows].reshape(n, rows)
+    return mixed((grid * _BAND_FACTORS[:rows]).sum(axis=1, dtype=np.uint64) + np.arange(n, dtype=np.uint64))
 
 
-def sketches(docs: DataFrame) -> DataFrame:
+def sketches(docs: DataFrame, similar: int = SIMILAR) -> DataFrame:
     """``doc_id``, ``n_shingles``, ``same`` (a digest of the set, null if empty) and its ``bands``."""
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_shingles long, same string, bands array<long>"
 
@@ -118,7 +121,7 @@ def sketches(docs: DataFrame) -> DataFrame:
         for part in slices(batches, "text"):
             sets = shingle_sets(part.column("text").to_pylist())
             same = [xxhash.xxh3_128_hexdigest(s.tobytes()) if s.size else None for s in sets]
-            keys = [bands(signature(s)).view(np.int64) if s.size else [] for s in sets]
+            keys = [bands(signature(s), similar).view(np.int64) if s.size else [] for s in sets]
             columns = [part.column(0), pa.array([s.size for s in sets], pa.int64()), pa.array(same, pa.string()), pa.array(keys, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "same", "bands"])
 
@@ -137,14 +140,14 @@ def sets_of(packed: DataFrame) -> DataFrame:
     return in_arrow(packed, run, schema)
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def confirmed(pairs: DataFrame, sets: DataFrame, similar: int = SIMILAR) -> DataFrame:
     """The pairs (a, b) that are similar on their full sets."""
     left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa"))
     right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb"))
     both = pairs.join(left, "a").join(right, "b")
     common = F.size(F.array_intersect("sa", "sb"))
     counted = both.select("a", "b", common.alias("common"), (F.size("sa") + F.size("sb") - common).alias("all"))
-    return counted.where(OF * F.col("common") >= SIMILAR * F.col("all")).select("a", "b")
+    return counted.where(OF * F.col("common") >= similar * F.col("all")).select("a", "b")
 
 
 def _stars(members: DataFrame) -> DataFrame:
@@ -154,16 +157,16 @@ def _stars(members: DataFrame) -> DataFrame:
     return members.join(centres, "bucket")
 
 
-def _ordered(pairs: DataFrame) -> DataFrame:
+def _ordered(pairs: DataFrame, similar: int) -> DataFrame:
     """Pairs whose sizes allow the similarity, the lesser id first, once each."""
-    fits = OF * F.least("n", "centre_n") >= SIMILAR * F.greatest("n", "centre_n")
+    fits = OF * F.least("n", "centre_n") >= similar * F.greatest("n", "centre_n")
     return pairs.where(fits & (F.col("id") != F.col("centre"))).select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct()
 
 
-def _hubs(members: DataFrame) -> DataFrame:
+def _hubs(members: DataFrame, similar: int) -> DataFrame:
     """Each id with the one centre, of all its buckets, that shares most."""
     best = _stars(members).where("id <> centre").groupBy("id", "n").agg(F.max(F.struct("centre_shared", -F.col("centre"), "centre_n")).alias("top"))
-    return _ordered(best.select("id", "n", (-F.col("top.col2")).alias("centre"), F.col("top.centre_n").alias("centre_n")))
+    return _ordered(best.select("id", "n", (-F.col("top.col2")).alias("centre"), F.col("top.centre_n").alias("centre_n")), similar)
 
 
 def _open(members: DataFrame, labels: DataFrame | None) -> DataFrame:
@@ -177,11 +180,11 @@ def _open(members: DataFrame, labels: DataFrame | None) -> DataFrame:
     return members.join(several, "bucket")
 
 
-def _rest(members: DataFrame, sets: DataFrame) -> DataFrame:
+def _rest(members: DataFrame, sets: DataFrame, similar: int) -> DataFrame:
     """All pairs of different components among the members that can be similar.
 
-    Shingles are ranked from the rarest on.  Similar sets have at least 0.85 n
-    shingles in common, so they meet within the first 0.15 n + 1 of each; at
+    Shingles are ranked from the rarest on.  Sets of similarity s have at least
+    s n shingles in common, so they meet within the first (1 - s) n + 1 of each; at
     their first common shingle, what is not before it must hold all common ones.
     """
     ids = members.select("id", "n", "component").distinct()
@@ -189,45 +192,45 @@ def _rest(members: DataFrame, sets: DataFrame) -> DataFrame:
     met = each.groupBy("shingle").agg(F.count("*").alias("times")).where("times > 1")
     ranked = each.join(met, "shingle").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("times", "shingle"))).alias("ranked"))
     alone = F.col("n") - F.size("ranked")  # these come first and meet nothing
-    prefix = F.col("n") - F.floor((SIMILAR * F.col("n") + OF - 1) / OF) + 1
+    prefix = F.col("n") - F.floor((similar * F.col("n") + OF - 1) / OF) + 1
     head = F.slice("ranked", F.lit(1), F.greatest(F.lit(0), prefix - alone).cast("int"))
     heads = ids.join(ranked, "id").select("id", "n", "component", alone.alias("alone"), F.posexplode(head).alias("place", "at"))
     heads = heads.select("id", "n", "component", (F.col("n") - F.col("alone") - F.col("place")).alias("rest"), F.col("at.shingle").alias("shingle"))
     other = heads.select("shingle", F.col("id").alias("centre"), F.col("n").alias("centre_n"), F.col("component").alias("centre_component"), F.col("rest").alias("centre_rest"))
-    can = (OF + SIMILAR) * F.least("rest", "centre_rest") >= SIMILAR * (F.col("n") + F.col("centre_n"))
-    return _ordered(heads.join(other, "shingle").where("id < centre and component <> centre_component").where(can))
+    can = (OF + similar) * F.least("rest", "centre_rest") >= similar * (F.col("n") + F.col("centre_n"))
+    return _ordered(heads.join(other, "shingle").where("id < centre and component <> centre_component").where(can), similar)
 
 
-def links(members: DataFrame, sets: DataFrame, staged: Staged) -> DataFrame | None:
+def links(members: DataFrame, sets: DataFrame, staged: Staged, similar: int = SIMILAR) -> DataFrame | None:
     """``node`` and ``component`` of all ids that are linked; ``members`` has bucket, id, n and shared."""
     found, labels = [], None
 
     def test(pairs: DataFrame) -> None:
         nonlocal labels
-        more, _ = staged.write(confirmed(pairs, sets))
+        more, _ = staged.write(confirmed(pairs, sets, similar))
         if not more.isEmpty():
             found.append(more)
             labels = components(reduce(DataFrame.unionByName, found), staged)
 
-    test(_hubs(members))
+    test(_hubs(members, similar))
     for _ in range(STAR_ROUNDS):
         members, _ = staged.write(_open(members, labels))
         if members.isEmpty():
             return labels
         stars = _stars(members)
         own = stars.where("id = centre").select("bucket", F.col("component").alias("centre_component"))
-        test(_ordered(stars.join(own, "bucket").where("component <> centre_component")))
+        test(_ordered(stars.join(own, "bucket").where("component <> centre_component"), similar))
         members = stars.where("id <> centre")
     members, _ = staged.write(_open(members, labels))
     if not members.isEmpty():
-        test(_rest(members, sets))
+        test(_rest(members, sets, similar))
     return labels
 
 
-def classes(docs: DataFrame) -> DataFrame:
-    """``doc_id``, ``n_shingles``, ``component_id`` and ``kept`` of each document."""
+def classes(docs: DataFrame, similar: int = SIMILAR) -> DataFrame:
+    """``doc_id``, ``n_shingles``, ``component_id`` and ``kept`` of each document; linked from ``similar`` of 100 on."""
     staged = Staged(docs.sparkSession, "minhash")
-    rows, _ = staged.write(sketches(docs))
+    rows, _ = staged.write(sketches(docs, similar))
     named = rows.where("doc_id is not null and same is not null")
     alike = named.groupBy("same").agg(F.min("doc_id").alias("first"))
     # one row per set; a set's bands are the same in every copy
@@ -239,7 +242,7 @@ def classes(docs: DataFrame) -> DataFrame:
     members, _ = staged.write(members.select("bucket", "id", "n").join(shared, "id"))
     wanted = members.select(F.col("id").alias("doc_id")).distinct()
     sets, _ = staged.write(sets_of(pack(docs).join(wanted, "doc_id", "left_semi")).dropDuplicates(["id"]))
-    labels = links(members, sets, staged)
+    labels = links(members, sets, staged, similar)
     result = rows.select("doc_id", "n_shingles", "same").join(alike, "same", "left")
     if labels is None:
         component = F.coalesce("first", "doc_id")
@@ -250,7 +253,7 @@ def classes(docs: DataFrame) -> DataFrame:
     return result.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def without_copies(docs: DataFrame) -> DataFrame:
+def without_copies(docs: DataFrame, similar: int = STAGE_SIMILAR) -> DataFrame:
     """One document of each group, with all its columns; of rows with one id, all or none."""
-    gone = classes(docs).where("not kept").select("doc_id").distinct()
+    gone = classes(docs, similar).where("not kept").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -48,7 +48,7 @@ def op8_urls(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op9_minhash(spark: SparkSession, folder: str) -> DataFrame:
-    return minhash.classes(table(spark, folder, "documents"))
+    return minhash.classes(table(spark, folder, "documents"), similar=85)
 
 
 def op10_rules(spark: SparkSession, folder: str) -> DataFrame:

@@ -143,6 +143,18 @@ def test_minhash(spark, odd):
     assert kept.columns == table(spark, odd).columns and kept.where("doc_id = 204").count() == 0 and kept.where("doc_id is null").count() == 1
 
 
+def test_the_stage_drops_copies_between_80_and_85(spark):
+    import corpus_pipeline
+
+    words = [f"w{k}" for k in range(55)]
+    changed = [*words[:27], "new", *words[28:]]
+    docs = table(spark, [(1, " ".join(words), "en", "s"), (2, " ".join(changed), "en", "s"), (3, "a b c d e f g", "en", "s")])
+    a, b = shingles(" ".join(words)), shingles(" ".join(changed))
+    assert 0.81 < len(a & b) / len(a | b) < 0.83
+    assert {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()} == {1, 3}
+    assert {r.component_id for r in minhash.classes(docs).collect()} == {1, 2, 3}
+
+
 def test_signatures_agree_as_often_as_sets_do():
     rng = np.random.default_rng(1)
     agree = []
