@@ -1,7 +1,10 @@
 """Secret scans: fixed patterns, and strings that are new to a primed compressor.
 
-Three patterns give the base spans.  Beyond them, a string that follows a
-sensitive word is measured: its marginal bytes are what it adds to the compressed
+Three patterns give the base spans.  Beyond them, every string with a sensitive
+word within ``CONTEXT`` characters before its start or behind its end is measured,
+and so are the strings that follow such a one with next to nothing between (the
+lines of a key).  A string that base spans cover as a whole is not measured; one
+they cover in part is.  Its marginal bytes are what it adds to the compressed
 size of the text around it, under a zstandard dictionary of the corpus's own
 identifiers and words.  A string that hardly compresses there is reported as
 ``novel``.  What counts as hardly is set on ordinary strings of the same sample.
@@ -32,10 +35,11 @@ HEX = re.compile(r"[0-9a-f]{16,}")  # a run is matched whole, so this is every r
 KINDS = ("assign", "access", "hex", "novel")
 MIN_ASSIGN, MIN_ACCESS = 12, 18
 
-#: Words that make what follows them sensitive, and the strings that are measured.
+#: Words that make what is near them sensitive, the strings that are measured, and what may part the lines of one.
 SENSITIVE = re.compile(r"(?:pass(?:word|wd|phrase|code)|secret|token|api_?key|access_?key|private_?key|credential|bearer|authorization|signature)", re.I | re.A)
 STRING = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
-REACH, AROUND = 48, 256
+BETWEEN = re.compile(r"""[\s"'\\,;]{0,16}""")
+CONTEXT, AROUND = 256, 256
 DICTIONARY_BYTES = 16384
 SAMPLE_ROWS, SAMPLE_CHARS = 1000, 4096
 LEAST_NOVELTY, ORDINARY_QUANTILE = 0.6, 0.999
@@ -74,19 +78,44 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
+def candidates(text: str) -> list[tuple[int, int]]:
+    """(start, end) of the strings that are near a sensitive word or go on from one that is."""
+    words = [(m.start(), m.end()) for m in SENSITIVE.finditer(text)]
+    found, k, last = [], 0, None
+    for m in STRING.finditer(text) if words else ():
+        start, end = m.span()
+        while k < len(words) and words[k][1] + CONTEXT < start:
+            k += 1  # words and strings both come in order
+        near = k < len(words) and words[k][0] <= end + CONTEXT
+        if near or (last is not None and start - last <= 16 and BETWEEN.fullmatch(text, last, start)):
+            found.append((start, end))
+            last = end
+    return found
+
+
 def novel_spans(text: str, base: list[tuple[int, int, int]], gauge: Gauge, least: float) -> list[tuple[int, int, int]]:
-    found, done = [], 0
-    for word in SENSITIVE.finditer(text):
-        for m in STRING.finditer(text, max(done, word.end()), word.end() + REACH):
-            end = STRING.match(text, m.start()).end()  # the whole string, also beyond the reach
-            done = end
-            if any(s < end and m.start() < e for s, _, e in base):
-                continue
-            if gauge.novelty(text, m.start(), end) >= least:
-                found.append((m.start(), 3, end))
+    covered, k, found = _joined(base), 0, []
+    for start, end in candidates(text):
+        while k < len(covered) and covered[k][1] < end:
+            k += 1
+        if k < len(covered) and covered[k][0] <= start:
+            continue
+        if gauge.novelty(text, start, end) >= least:
+            found.append((start, 3, end))
     return found
 
 
+def _joined(base: list[tuple[int, int, int]]) -> list[list[int]]:
+    """What the spans, ordered by start, cover together."""
+    out: list[list[int]] = []
+    for start, _, end in base:
+        if out and start <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], end)
+        else:
+            out.append([start, end])
+    return out
+
+
 def scan_text(text: str | None, gauge: Gauge, least: float) -> list[tuple[int, int, int]]:
     base = base_spans(text or "")
     return sorted(base + novel_spans(text or "", base, gauge, least))

@@ -239,6 +239,31 @@ def test_secret_spans():
     assert secrets.scan_text(None, gauge, 0.6) == [] and secrets.scan_text("secret " + "z" * 60, gauge, 0.6) == []
 
 
+def test_secrets_far_from_their_word_and_partly_covered():
+    gauge, rng = secrets.Gauge(b""), random.Random(3)
+    key = lambda n: base64.b64encode(rng.randbytes(n)).decode().replace("=", "")
+    body = [key(48) for _ in range(25)]
+    header = '"private_key": "-----BEGIN RSA PRIVATE KEY-----\\n'
+    before, behind, far = key(30), key(30), key(30)
+    run = f"{key(15)}Q{'0123456789abcdef' * 2}Q{key(15)}"
+    for text, want in (
+        (header + "\n".join(body) + "\n-----END", body),
+        (f"use {before} as the token", [before]),
+        (f"token {'. ' * 40} {behind}", [behind]),
+        (f"token {'. ' * 200} {far}", []),
+        (f"my secret: is {run} now", [run]),
+    ):
+        found = [text[s:e] for s, k, e in secrets.scan_text(text, gauge, 0.6) if secrets.KINDS[k] == "novel"]
+        assert [w for w in want if not any(w in f for f in found)] == [] and len(found) <= len(want) + text.count("BEGIN")
+
+
+def test_redaction_of_a_key_around_a_hexadecimal_run(spark):
+    rng = random.Random(5)
+    key = f"{base64.b64encode(rng.randbytes(18)).decode()}Q{'09af3b7c' * 2}Q{base64.b64encode(rng.randbytes(18)).decode()}"
+    docs = table(spark, [(1, f"the credential is {key} here", "en", "s")])
+    assert secrets.redact(docs, secrets.Model(b"", 0.6)).first().text == "the credential is [secret] here"
+
+
 def test_secret_digest_and_redaction(spark, odd):
     hexes = "f" * 20
     docs = table(spark, [*odd, (600, f"é password={hexes} x", "en", "s")])
