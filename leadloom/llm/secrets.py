@@ -7,20 +7,21 @@ lines of a key).  A string that base spans cover as a whole is not measured; one
 they cover in part is.  Its marginal bytes are what it adds to the compressed
 size of the text around it, under a zstandard dictionary of the corpus's own
 identifiers and words.  A string that hardly compresses there is reported as
-``novel``.  What counts as hardly is set on ordinary strings of the same sample.
+``novel``.  What counts as hardly is set on the ordinary strings, long lower-case
+ones that are not measured as candidates, of all texts.
 
-The dictionary is trained on a bounded sample (``SAMPLE_ROWS`` windows of
+Only the dictionary is trained on a bounded sample (``SAMPLE_ROWS`` windows of
 ``SAMPLE_CHARS`` characters, chosen by a hash of the id); every text is scanned as
-a whole.  Null texts have no spans.  Repeated rows are scanned one by one.
+a whole, and so are the ordinary strings.  Null texts have no spans.  Repeated rows are scanned one by one.
 Offsets are code points, ends are exclusive.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from dataclasses import dataclass
 
-import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
@@ -38,11 +39,14 @@ MIN_ASSIGN, MIN_ACCESS = 12, 18
 #: Words that make what is near them sensitive, the strings that are measured, and what may part the lines of one.
 SENSITIVE = re.compile(r"(?:pass(?:word|wd|phrase|code)|secret|token|api_?key|access_?key|private_?key|credential|bearer|authorization|signature)", re.I | re.A)
 STRING = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+ORDINARY = re.compile(r"[a-z_]{16,}")
 BETWEEN = re.compile(r"""[\s"'\\,;]{0,16}""")
 CONTEXT, AROUND = 256, 256
 DICTIONARY_BYTES = 16384
 SAMPLE_ROWS, SAMPLE_CHARS = 1000, 4096
 LEAST_NOVELTY, ORDINARY_QUANTILE = 0.6, 0.999
+#: Steps of novelty a unit in the histogram of ordinary strings.
+STEPS = 1000
 IDENTIFIERS = (
     "self this null none true false return const static public private import export function class value "
     "config settings client server request response header session user name path file data index count string "
@@ -121,22 +125,54 @@ def scan_text(text: str | None, gauge: Gauge, least: float) -> list[tuple[int, i
     return sorted(base + novel_spans(text or "", base, gauge, least))
 
 
-def fit_texts(texts: list[str]) -> Model:
+def ordinary(text: str) -> list[tuple[int, int]]:
+    """(start, end) of the long lower-case strings that are no part of a candidate."""
+    near, k, found = candidates(text), 0, []
+    for m in ORDINARY.finditer(text):
+        while k < len(near) and near[k][1] <= m.start():
+            k += 1
+        if k == len(near) or near[k][0] >= m.end():
+            found.append(m.span())
+    return found
+
+
+def trained(texts: list[str]) -> bytes:
     samples = [t.encode() for t in texts if t] + [IDENTIFIERS.encode()] * 8
     try:
-        dictionary = zstandard.train_dictionary(DICTIONARY_BYTES, samples, k=128, d=8).as_bytes()
+        return zstandard.train_dictionary(DICTIONARY_BYTES, samples, k=128, d=8).as_bytes()
     except zstandard.ZstdError:
-        dictionary = b" ".join(samples)[-DICTIONARY_BYTES:]
-    gauge, seen = Gauge(dictionary), []
-    for t in texts:
-        seen += [gauge.novelty(t, m.start(), m.end()) for m in re.finditer(r"[a-z_]{16,}", t or "")][:20]
-    return Model(dictionary, max(LEAST_NOVELTY, float(np.quantile(seen, ORDINARY_QUANTILE))) if seen else LEAST_NOVELTY)
+        return b" ".join(samples)[-DICTIONARY_BYTES:]
+
+
+def novelties(docs: DataFrame, dictionary: bytes) -> DataFrame:
+    """``step`` and ``n``: how many ordinary strings of all whole texts have a novelty of so many ``STEPS``."""
+
+    def run(batches):
+        gauge, times = Gauge(dictionary), Counter()
+        for part in slices(batches, "text"):
+            for t in part.column("text").to_pylist():
+                times.update(int(gauge.novelty(t, a, b) * STEPS // 1) for a, b in ordinary(t))
+        columns = [pa.array(times.keys(), pa.int64()), pa.array(times.values(), pa.int64())]
+        yield pa.RecordBatch.from_arrays(columns, ["step", "n"])
+
+    return in_arrow(take(docs, "text").where("text is not null"), run, "step long, n long").groupBy("step").agg(F.sum("n").alias("n"))
+
+
+def threshold(steps: list[tuple[int, int]]) -> float:
+    """The least novelty of a secret: the upper end of the step that holds the quantile."""
+    above = (1 - ORDINARY_QUANTILE) * sum(n for _, n in steps)
+    for step, n in sorted(steps, reverse=True):
+        above -= n
+        if above < 0:
+            return max(LEAST_NOVELTY, (step + 1) / STEPS)
+    return LEAST_NOVELTY
 
 
 def fit(docs: DataFrame) -> Model:
     at = (uniform(F.lit("at"), F.col("doc_id").cast("string")) * F.greatest(F.lit(0), F.length("text") - SAMPLE_CHARS)).cast("int") + 1
     picked = sample(take(docs, "doc_id", "text").where("text is not null and doc_id is not null"), "doc_id", SAMPLE_ROWS)
-    return fit_texts([r.w for r in picked.select(F.substring("text", at, F.lit(SAMPLE_CHARS)).alias("w")).collect()])
+    dictionary = trained([r.w for r in picked.select(F.substring("text", at, F.lit(SAMPLE_CHARS)).alias("w")).collect()])
+    return Model(dictionary, threshold([(r.step, r.n) for r in novelties(docs, dictionary).collect()]))
 
 
 def find(docs: DataFrame, model: Model) -> DataFrame:

@@ -275,6 +275,18 @@ def test_secret_digest_and_redaction(spark, odd):
     assert cleaned[600].text == "é [secret] x" and cleaned[600].n_chars == 12 and cleaned[200].text is None
 
 
+def test_the_novelty_threshold_comes_from_all_ordinary_strings(spark):
+    rng = random.Random(8)
+    odd_ones = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=32)) for _ in range(3)]
+    text = " ".join(odd_ones + ["configuration_settings"] * 5000)
+    docs = table(spark, [(1, text, "en", "s"), (2, f"{odd_ones[0]} secret", "en", "s"), (3, None, "en", "s")])
+    model = secrets.fit(docs)
+    assert model.novelty == secrets.LEAST_NOVELTY
+    assert sum(r.n for r in secrets.novelties(docs, model.dictionary).collect()) == 5003
+    assert model == secrets.fit(docs.repartition(5))
+    assert secrets.threshold([(100, 9000), (850, 20)]) == 0.851 and secrets.threshold([]) == secrets.LEAST_NOVELTY
+
+
 def test_toxicity(spark):
     rng = random.Random(6)
     bad = ["grumfoul", "zaskwit", "plorvex"]
