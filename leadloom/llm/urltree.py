@@ -12,7 +12,9 @@ template their path belongs to, learnt from the URLs that rules have labelled:
    smoothed towards that of its parent, from 1/2 at the top.  Templates whose
    purity is at most ``MAX_BAD_PURITY`` are rejected.
 
-Paths deeper than ``DEPTH`` share a last segment.  A null URL, or one without
+Paths keep all their segments.  A path that is the only one left in its branch has
+one child on each further level, which keeps its name, so it is done at once; the
+others take as many rounds as they have segments.  A null URL, or one without
 ``://``, has empty host and path; no rule fits it and it is allowed.  Repeated
 URLs count as often as they come.  DataFrame functions only.
 """
@@ -32,7 +34,6 @@ RULES = (
     ("org", "/fr/", "allow"),
 )
 
-DEPTH = 5
 RARE_SHARE, RARE_COUNT = 0.01, 3
 SIGNIFICANT = 3.0
 SMOOTHING = 10.0
@@ -63,24 +64,26 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return rule, verdict
 
 
-def shapes(path: Column, depth: int = DEPTH) -> Column:
-    """Segments with digits and long hexadecimal runs generalised; what is deeper than ``depth`` becomes ``**``."""
-    segments = F.transform(
+def shapes(path: Column) -> Column:
+    """All segments, with digits and long hexadecimal runs generalised."""
+    return F.transform(
         F.split(F.regexp_replace(path, "^/", ""), "/"),
         lambda s: F.regexp_replace(F.regexp_replace(s, "(?<![0-9A-Za-z])[0-9a-f-]{16,}(?![0-9A-Za-z])", "{h}"), "[0-9]+", "{n}"),
     )
-    return F.when(F.size(segments) <= depth, segments).otherwise(F.concat(F.slice(segments, 1, depth - 1), F.array(F.lit("**"))))
 
 
-def templates(counts: DataFrame, staged: Staged, depth: int = DEPTH) -> DataFrame:
+def templates(counts: DataFrame, staged: Staged) -> DataFrame:
     """Adds ``template`` (array) to counts per host and shapes; works on the counts alone, one level after the other."""
     sums = ("n", "bad", "good")
     rows = counts.withColumn("template", F.array().cast("array<string>"))
-    last = None
-    for level in range(depth):
+    schema, done, last = rows.schema, f"{staged.base}/done", None
+    deepest = counts.agg(F.max(F.size("shapes"))).first()[0]
+    if deepest is None:
+        return rows
+    for level in range(deepest):
         rows = rows.withColumn("segment", F.get("shapes", F.lit(level)))
-        children = rows.where("segment is not null").groupBy("host", "template", "segment").agg(*(F.sum(c).alias(c) for c in sums))
-        parents = children.groupBy("host", "template").agg(*(F.sum(c).alias(f"all_{c}") for c in sums), F.count("*").alias("children"))
+        children = rows.groupBy("host", "template", "segment").agg(*(F.sum(c).alias(c) for c in sums), F.count("*").alias("paths"))
+        parents = children.groupBy("host", "template").agg(*(F.sum(c).alias(f"all_{c}") for c in (*sums, "paths")), F.count("*").alias("children"))
         both = children.join(parents, ["host", "template"])
 
         def differs(label: str) -> Column:
@@ -93,14 +96,18 @@ def templates(counts: DataFrame, staged: Staged, depth: int = DEPTH) -> DataFram
 
         common = (F.col("n") >= RARE_COUNT) & (F.col("n") >= RARE_SHARE * F.col("all_n"))
         own = (F.col("children") == 1) | F.coalesce(common & (differs("bad") | differs("good")), F.lit(False))
-        named = both.select("host", "template", "segment", F.when(own, F.col("segment")).otherwise(F.lit("*")).alias("name"))
-        rows = rows.join(named, ["host", "template", "segment"], "left")
-        grown = F.when(F.col("name").isNull(), F.col("template")).otherwise(F.concat("template", F.array("name")))
+        named = both.select("host", "template", "segment", F.when(own, F.col("segment")).otherwise(F.lit("*")).alias("name"), (F.col("all_paths") == 1).alias("alone"))
+        rows = rows.join(named, ["host", "template", "segment"])
+        grown = F.when(F.col("alone"), F.concat("template", F.slice("shapes", level + 1, F.size("shapes")))).otherwise(F.concat("template", F.array("name")))
         rows, path = staged.write(rows.select("host", "shapes", *sums, grown.alias("template")))
+        whole = F.size("template") == F.size("shapes")
+        rows.where(whole).write.mode("append").parquet(done)
         if last:
             staged.drop(last)
-        last = path
-    return rows
+        rows, last = rows.where(~whole), path
+        if rows.isEmpty():
+            break
+    return counts.sparkSession.read.schema(schema).parquet(done)
 
 
 def purities(rows: DataFrame) -> DataFrame:

@@ -372,6 +372,18 @@ def test_templates_learn_from_rules(spark):
     assert got[1005].verdict == got[3001].verdict == "allow"
 
 
+def test_deep_paths_keep_all_segments(spark):
+    bad = [(i, f"http://h.org/a/b/c/d/bad/{i}.html") for i in range(300)] + [(500 + i, f"http://h.org/a/b/c/d/e/f/g/h/i/j/bad/{i}.html") for i in range(300)]
+    good = [(1000 + i, f"http://h.org/a/b/c/d/good/{i}.html") for i in range(300)] + [(1500 + i, f"http://h.org/a/b/c/d/e/f/g/h/i/j/good/{i}.html") for i in range(300)]
+    alone = [(2000, "http://h.org/a/b/c/d/k/l/m/n/o"), (2001, "http://z.org/" + "/".join(map(chr, range(97, 109))))]
+    tops = ("/a/b/c/d/", "/a/b/c/d/e/f/g/h/i/j/")
+    rules = [("h.org", f"{t}bad/{d}", "block") for t in tops for d in range(1, 9)] + [("h.org", f"{t}good/{d}", "allow") for t in tops for d in range(1, 9)]
+    got = rows_of(urltree.judge(spark.createDataFrame(bad + good + alone, "page_id long, url string"), rules=rules), "page_id")
+    unruled = [i for i in got if got[i].rule is None]
+    assert len(unruled) > 40
+    assert {i for i in unruled if got[i].verdict == "block"} == {i for i in unruled if i < 1000}
+
+
 # --- empty tables
 
 
