@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from leadloom.llm.shared import Staged, bounded, uniform
 
-#: Beyond this mean number of copies a target is taken for a mistake.
+#: Beyond this mean number of copies an explicit weight is taken for a mistake.
 MAX_RATE = 1000.0
 #: Sources up to which the rates are broadcast (a few hundred bytes each).
 MAX_SOURCES = 10_000
@@ -56,7 +56,8 @@ def rates(docs: DataFrame, weights: dict[str, float] | None = None, exponent: fl
     total = sizes.agg(F.sum("size").alias("all_size"), F.sum("weight").alias("all_weight"))
     share = F.coalesce(F.try_divide("weight", "all_weight"), F.lit(0.0))
     rate = F.when(F.col("size") > 0, F.lit(epochs) * share * F.col("all_size") / F.col("size")).otherwise(F.lit(1.0))
-    rate = F.when(rate > MAX_RATE, F.raise_error(F.lit(f"a source would be repeated more than {MAX_RATE:.0f} times"))).otherwise(rate)
+    if weights is not None:
+        rate = F.when(rate > MAX_RATE, F.raise_error(F.lit(f"a source would be repeated more than {MAX_RATE:.0f} times"))).otherwise(rate)
     # one row of two sums beside each source
     return sizes.join(F.broadcast(total)).select("source", rate.alias("rate")).withColumn("table", poisson_table(F.col("rate")))
 

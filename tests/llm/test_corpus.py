@@ -322,6 +322,15 @@ def test_mixing(spark):
     assert same(out) == same(mixing.mix(docs.repartition(7), weights={"big": 1, "small": 1}, seed="a"))
 
 
+def test_default_rates_may_be_large_and_explicit_ones_may_not(spark):
+    docs = table(spark, [(1, "x", "en", None), (2, "ab cd " * 20_000, "en", "big")])
+    rate = {r.source: r.rate for r in mixing.rates(docs, exponent=0.3).select("source", "rate").collect()}
+    n = {r.source: r["count"] for r in mixing.mix(docs, exponent=0.3).groupBy("source").count().collect()}
+    assert rate[None] > 2 * mixing.MAX_RATE and abs(n[None] - rate[None]) < 6 * rate[None] ** 0.5
+    with pytest.raises(Exception, match="repeated more than 1000 times"):
+        mixing.rates(table(spark, [(1, "x", "en", "a"), (2, "y" * 10_000, "en", "b")]), weights={"a": 1}).collect()
+
+
 def test_poisson_table(spark):
     from pyspark.sql import functions as F
 
