@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from leadloom.bindings.tables import table
-from leadloom.llm import chat, minhash, mixing, pieces, repeats, rules, secrets, toxicity, urltree, vectors
+from leadloom.llm import chat, minhash, mixing, pieces, quality, repeats, rules, secrets, toxicity, urltree, vectors, whitening
 
 
 def tokenizer_path() -> str:
@@ -55,6 +55,14 @@ def op10_rules(spark: SparkSession, folder: str) -> DataFrame:
     return rules.judge(table(spark, folder, "documents"))
 
 
+def op12_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.digest(table(spark, folder, "embeddings"))
+
+
+def op13_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.classify(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_toxicity": op2_toxicity,
@@ -66,6 +74,8 @@ QUERIES = {
     "op8_urls": op8_urls,
     "op9_minhash": op9_minhash,
     "op10_rules": op10_rules,
+    "op12_whitening": op12_whitening,
+    "op13_quality": op13_quality,
 }
 
 ORACLE = {"op1_mixing": mixing.ORACLE_SQL, "op3_repeats": repeats.ORACLE_SQL, "op4_chat": chat.ORACLE_SQL}
