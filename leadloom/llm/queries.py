@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from leadloom.bindings.tables import table
-from leadloom.llm import chat, minhash, mixing, pieces, quality, repeats, rules, secrets, toxicity, urltree, vectors, whitening
+from leadloom.llm import chat, minhash, mixing, pieces, quality, repair, repeats, rules, secrets, toxicity, urltree, vectors, whitening
 
 
 def tokenizer_path() -> str:
@@ -55,6 +55,10 @@ def op10_rules(spark: SparkSession, folder: str) -> DataFrame:
     return rules.judge(table(spark, folder, "documents"))
 
 
+def op11_repair(spark: SparkSession, folder: str) -> DataFrame:
+    return repair.digest(repair.repair(repair.damaged(table(spark, folder, "conversations")), copies="copies"))
+
+
 def op12_whitening(spark: SparkSession, folder: str) -> DataFrame:
     return whitening.digest(table(spark, folder, "embeddings"))
 
@@ -74,8 +78,9 @@ QUERIES = {
     "op8_urls": op8_urls,
     "op9_minhash": op9_minhash,
     "op10_rules": op10_rules,
+    "op11_repair": op11_repair,
     "op12_whitening": op12_whitening,
     "op13_quality": op13_quality,
 }
 
-ORACLE = {"op1_mixing": mixing.ORACLE_SQL, "op3_repeats": repeats.ORACLE_SQL, "op4_chat": chat.ORACLE_SQL}
+ORACLE = {"op1_mixing": mixing.ORACLE_SQL, "op3_repeats": repeats.ORACLE_SQL, "op4_chat": chat.ORACLE_SQL, "op11_repair": repair.ORACLE_SQL}

@@ -42,6 +42,8 @@ COMPONENTS = 4
 ROUNDS, SETTLED = 20, 5
 #: Numbers below this bound are added and multiplied as 64-bit whole numbers.
 SAFE = 2**62
+#: Eigenvalues nearer than this, by the greatest, are told apart by their cluster's own problem only: the matrix itself is rounded so.
+SAME = 1e-15
 #: Eigenvalues below this share of the greatest are rounding, not variance.
 NO_VARIANCE = 1e-13
 _WHOLE = pa.decimal128(38, 0)
@@ -96,6 +98,7 @@ def eigen(matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         x, r, s, values = x[:, order], r[np.ix_(order, order)], s[np.ix_(order, order)], values[order]
         wrong = s - np.diag(values)
         near = 2 * (np.sqrt((wrong**2).sum()) + np.sqrt((a**2).sum()) * np.sqrt((r**2).sum()))
+        near = max(near, SAME * np.abs(values).max())
         gap = values[None, :] - values[:, None]
         apart = np.abs(gap) > near
         e = np.where(apart, (s + values[None, :] * r) / np.where(apart, gap, 1), r / 2)
@@ -112,6 +115,7 @@ def eigen(matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if change < 1e-17 or (turn_number >= SETTLED and change >= before / 2):
             break
         before = change
+    x = _upright(x)
     values = np.diag(x.T @ (a @ x)) / np.diag(x.T @ x)
     order = np.argsort(-values, kind="stable")
     x = x[:, order] / np.sqrt((x[:, order] ** 2).sum(axis=0))
