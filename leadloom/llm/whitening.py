@@ -125,7 +125,7 @@ def eigen(matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _matrix(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Vectors filled up to ``width``, and which rows are usable."""
-    sizes = column.value_lengths().fill_null(-1).to_numpy(zero_copy_only=False)
+    sizes = column.value_lengths().fill_null(-1).to_numpy(zero_copy_only=False).copy()
     inner = column.flatten()
     if len(sizes) and (sizes == width).all() and not inner.null_count:
         out = inner.to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(sizes), width)
