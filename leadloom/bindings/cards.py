@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from leadloom.bindings.tables import table
 from leadloom.functions import html as H
-from leadloom.functions.let import bind
+from leadloom.functions.let import bind, let
 from leadloom.sources import boards as B
 from leadloom.sources.pages import required_html
 
@@ -105,7 +105,7 @@ def consecutive_dedupe(spark, d):
 
 
 def classify_fields(spark, d):
-    return B.with_flat_fields(_leaves(spark, d)).select("page_id", "title", "company", "location", "salary_text")
+    return B.with_ordered_fields(_leaves(spark, d)).select("page_id", "title", "company", "location", "salary_text")
 
 
 def classify_tags(spark, d):
@@ -118,31 +118,36 @@ def classify_tags(spark, d):
             F.get(t["names"], H.parent_of(t, h1) - 1).alias("block"),
         )
 
-    return bind(table(spark, d, "pages"), H.tokens(H.strip_silent(c("html"))), fields, ["page_id"])
+    tree = let(H.tokens(H.strip_silent(c("html"))), H.tree)
+    return bind(table(spark, d, "pages"), tree, fields, ["page_id"])
 
 
 def extract_listings(spark, d):
     """One listing per raw page: the page is the card and its own address the link."""
-    rows = B.with_flat_fields(_leaves(spark, d)).select(
-        "title", "company", "salary_text", "location", c("url").alias("href"), c("url").alias("base_url"),
+    rows = B.with_ordered_fields(_leaves(spark, d)).select(
+        F.lit("web").alias("source"), "title", "company", "salary_text", "location", c("url").alias("href"), c("url").alias("base_url"),
         F.lit(1).alias("page_no"), c("page_id").alias("pos"),
     )
-    return B.to_listings(B.with_address(rows), "web")
+    return B.to_listings(B.with_address(rows))
 
 
 _LISTING = ["external_id", "source", "url", "title", "company", "salary_text", "location", "page_no", "pos"]
 
 
+def _read(pages, source):
+    return B.read_cards(pages, {source: B.BOARDS[source].read}).select(_LISTING)
+
+
 def extract_flat_cards(spark, d):
-    return B.parse_flat(flat_pages(spark, d)).select(_LISTING)
+    return _read(flat_pages(spark, d), "justjoinit")
 
 
 def extract_headed_cards(spark, d):
-    return B.parse_headed(headed_pages(spark, d)).select(_LISTING)
+    return _read(headed_pages(spark, d), "nofluffjobs")
 
 
 def extract_block_cards(spark, d):
-    return B.parse_blocks(block_pages(spark, d)).select(_LISTING)
+    return _read(block_pages(spark, d), "bulldogjob")
 
 
 QUERIES = {

@@ -1,16 +1,19 @@
-"""Whole runs: landed pages of two boards, stored rows, offers, a profile, a scorer."""
+"""Whole runs: landed pages of three boards, stored rows, offers, a profile, a scorer."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from leadloom.bindings.discovery import crawl_config, landed_pages
+from leadloom.bindings.discovery import FLAT_LISTINGS, built_pages, crawl_config, landed_pages
 from leadloom.bindings.tables import table
 from leadloom.operators.scoring import lexical_scorer
+from leadloom.plans.crawl import check_crawl, crawl_table
 from leadloom.plans.run import run
-from leadloom.schemas import JOB_COLUMNS
+from leadloom.schemas import JOB_COLUMNS, PAGES
 from leadloom.session import work_folder
+from leadloom.sources.pages import read_profile
 from leadloom.sources.state_table import StateTable
+from leadloom.streaming.ingest import file_stream, run_stream
 
 c = F.col
 NOW = "2026-01-02T00:00:00.000Z"
@@ -47,7 +50,7 @@ def stored(spark, d):
 
 
 def offers(spark, d):
-    """Texts of all parts and most orders; fetching large parts failed."""
+    """Texts of all parts and most orders; fetching large parts failed, and no customer's offer was landed."""
     failed = c("p_size") > 45
     parts = table(spark, d, "part").select(
         F.concat(F.lit("http://nofluffjobs.com/pl/job/part-"), c("p_partkey")).alias("url"),
@@ -68,19 +71,23 @@ def profile(spark, d):
     return first.select(F.concat_ws(" ", "p_name", "p_type").alias("profile"))
 
 
-def _run(spark, d):
+def _stored(spark, d):
     jobs = StateTable(spark, work_folder(spark, "jobs"))
     jobs.write_full(stored(spark, d))
-    summary = run(
-        crawl_config(),
-        landed_pages(spark, d),
-        offers(spark, d),
-        jobs,
-        lambda: profile(spark, d),
-        lexical_scorer,
-        NOW,
-        strict=False,
-    )
+    return jobs
+
+
+def _profile(spark, d):
+    """The profile as a landed document, read only when a listing is open."""
+    folder = work_folder(spark, "profile")
+    profile(spark, d).coalesce(1).write.text(folder)
+    return lambda: read_profile(spark, folder)
+
+
+def _run(spark, d):
+    jobs = _stored(spark, d)
+    landed = landed_pages(spark, d)
+    summary = run(crawl_config(), landed, offers(spark, d), jobs, _profile(spark, d), lexical_scorer, NOW)
     return jobs, summary
 
 
@@ -89,14 +96,37 @@ def crawl_run(spark, d):
 
 
 def crawl_state(spark, d):
-    jobs = _run(spark, d)[0]
+    return _state(_run(spark, d)[0])
+
+
+#: Files in which the pages of a streamed crawl land, one a micro-batch.
+PIECES = 3
+
+
+def stream_run(spark, d):
+    """The pages land in pieces, whatever page in whatever piece; one run a piece."""
+    folder, config = work_folder(spark, "landed"), crawl_config()
+    piece = F.pmod(F.xxhash64("url"), F.lit(PIECES))
+    pages = built_pages(spark, d).withColumn("landed_at", F.lit(None).cast("string"))
+    pages.repartitionByRange(PIECES, piece).write.parquet(folder)
+    jobs, crawl = _stored(spark, d), crawl_table(spark, work_folder(spark, "crawl"))
+    stream = file_stream(spark, folder, PAGES, files_per_batch=1)
+    texts = offers(spark, d)
+    run_stream(
+        stream, config, crawl, jobs, lambda: texts, _profile(spark, d), lexical_scorer, lambda: NOW, work_folder(spark, "checkpoint")
+    ).awaitTermination()
+    check_crawl(crawl, config)
+    return _state(jobs)
+
+
+def _state(jobs):
     return jobs.read().select(
         "external_id", "title", "company", "salary_text", "location", "offer_markdown",
         F.round("match_score", 6).alias("match_score"), "status", "created_at", "updated_at",
     )
 
 
-QUERIES = {"crawl_run": crawl_run, "crawl_state": crawl_state}
+QUERIES = {"crawl_run": crawl_run, "crawl_state": crawl_state, "stream_run": stream_run}
 
 _ORDER_PATH = "'/companies/jobs/' || o_orderkey || '-' || replace(lower(o_orderpriority), ' ', '%20')"
 _WORDS = r"list_distinct(regexp_extract_all(lower({0}), '[\p{{L}}\p{{N}}]+'))"
@@ -112,6 +142,9 @@ _ORDER_TEXT = "'order ' || o_orderpriority || ' ' || o_orderstatus"
 
 # One row per listing with its outcome and the row stored in the end.
 _RESULT = f"""(
+  SELECT external_id, title, company, salary_text, location, CAST(NULL AS VARCHAR) AS offer_markdown, CAST(NULL AS DOUBLE) AS match_score,
+    'error' AS status, '{NOW}' AS created_at, '{NOW}' AS updated_at, false AS fetched, false AS skipped FROM ({FLAT_LISTINGS})
+  UNION ALL
   SELECT 'nofluffjobs:/pl/job/part-' || p_partkey AS external_id, p_name AS title, p_brand AS company,
     floor(p_retailprice)::BIGINT || ' - ' || (floor(p_retailprice)::BIGINT + 100) || ' PLN' AS salary_text, p_type AS location,
     CASE WHEN p_size <= 45 THEN {_PART_TEXT} END AS offer_markdown, CASE WHEN p_size <= 45 THEN round(share, 6) END AS match_score,
@@ -141,3 +174,4 @@ ORACLE = {
         SELECT external_id, title, company, salary_text, location, offer_markdown, match_score, status, created_at, updated_at
         FROM {_RESULT}""",
 }
+ORACLE["stream_run"] = ORACLE["crawl_state"]

@@ -9,10 +9,11 @@ from leadloom.bindings.tables import table
 from leadloom.functions import lines
 from leadloom.operators import external as X
 from leadloom.operators import summary as R
-from leadloom.plans.exchange import sync
+from leadloom.plans.exchange import import_errors, import_pages, sync
 from leadloom.schemas import PAGE_BATCH
 from leadloom.session import work_folder
-from leadloom.sources.external_pages import explode_batches
+from leadloom.sources.external_pages import explode_batches, read_page_batches
+from leadloom.sources.state_table import StateTable
 
 c = F.col
 
@@ -84,7 +85,7 @@ def page_catalog(spark, d):
 
 
 def _decoded(spark, d):
-    return X.decode_pages(external_pages(spark, d), "status", "select", keep=["batch_no", "pos"])
+    return X.decode_pages(external_pages(spark, d).drop("error"), "status", "select", keep=["batch_no", "pos"])
 
 
 def import_decode(spark, d):
@@ -99,8 +100,41 @@ def import_rows(spark, d):
     return X.import_rows(merged, ["batch_no", "pos"]).select("external_id", "url", "status", "match_score", "updated_at")
 
 
+#: Orders in a landed batch file, and which of the files were cut off.
+FILE, CUT_OFF = 1000, 3
+
+
+def _landed(spark, d):
+    """The pages as batch files, some of which were cut off when they landed."""
+    no = F.floor(c("o_orderkey") / FILE)
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", "page"))), lambda x: x["page"])
+    whole = F.concat(F.lit('{"results":['), F.array_join(ordered, ","), F.lit("]}"))
+    files = page_json(spark, d).groupBy(no.alias("no")).agg(whole.alias("value"))
+    cut = F.when(F.pmod("no", F.lit(7)) == CUT_OFF, F.left("value", F.length("value") - 20)).otherwise(c("value"))
+    folder = work_folder(spark, "batches")
+    files.select(F.lpad(c("no").cast("string"), 9, "0").alias("batch"), cut.alias("value")).write.partitionBy("batch").text(folder)
+    return read_page_batches(spark, f"{folder}/*/*")
+
+
+def _imported(spark, d):
+    jobs = StateTable(spark, work_folder(spark, "jobs"))
+    catalog = spark.createDataFrame([*KINDS.items(), ("Company", "rich_text")], "name string, type string")
+    return import_pages(_landed(spark, d), catalog, jobs), jobs
+
+
 def import_summary(spark, d):
-    return R.import_summary(_decoded(spark, d))
+    return _imported(spark, d)[0]
+
+
+def import_state(spark, d):
+    """The rows stored by an import."""
+    return _imported(spark, d)[1].read().select("external_id", "source", "url", "title", "company", "match_score", "status", "updated_at")
+
+
+def import_failures(spark, d):
+    """The batch files that could not be read."""
+    decoded = X.decode_pages(_landed(spark, d), "status", "select", keep=["batch_no", "pos"])
+    return import_errors(decoded).select(F.regexp_replace("error", ".*: ", "").alias("error"), F.col("external_id").endswith("#0").alias("whole"))
 
 
 KINDS = {
@@ -159,7 +193,7 @@ def sync_changeset(spark, d):
 def _sent(spark, d):
     """Send every change; the target refuses updates of rows without a score."""
 
-    def send(action, page_id, properties):
+    def send(action, page_id, properties, key):
         if action == "update" and '"number":null' in properties:
             raise ValueError("validation failed")
 
@@ -187,6 +221,8 @@ QUERIES = {
     "import_decode": import_decode,
     "import_rows": import_rows,
     "import_summary": import_summary,
+    "import_state": import_state,
+    "import_failures": import_failures,
     "build_properties": build_properties,
     "external_index": external_index,
     "sync_plan": sync_plan,
@@ -210,6 +246,9 @@ _DECODED = f"""(SELECT 'page-' || o_orderkey AS page_id, external_id,
     CASE o_orderpriority WHEN '1-URGENT' THEN 'matched' WHEN '5-LOW' THEN NULL ELSE 'fetched' END AS status,
     created AS created_at, coalesce(synced, edited) AS updated_at, o_orderpriority <> '5-LOW' AS valid, o_orderkey FROM {_PAGES})"""
 
+_READ = f"(SELECT * FROM {_DECODED} WHERE o_orderkey // {FILE} % 7 <> {CUT_OFF})"
+_LOST = f"(SELECT DISTINCT o_orderkey // {FILE} AS no FROM orders WHERE o_orderkey // {FILE} % 7 = {CUT_OFF})"
+
 _TEXT = """CASE WHEN coalesce({0}, '') = '' THEN '{{"rich_text":[]}}' ELSE '{{"rich_text":[{{"type":"text","text":{{"content":"' || {0} || '"}}}}]}}' END"""
 _PROPERTIES = f"""(SELECT *, '{{"Name":{{"title":[{{"type":"text","text":{{"content":"' || title || '"}}}}]}},"External ID":' || {_TEXT.format('external_id')}
     || ',"URL":{{"url":"' || url || '"}},"Status":{{"status":{{"name":"' || status || '"}}}},"Source":{{"select":{{"name":"' || source || '"}}}},"Salary":'
@@ -252,8 +291,11 @@ ORACLE = {
           FROM (SELECT * REPLACE (CASE WHEN company <> '' THEN source || ':/' || company || '/' || status ELSE external_id END AS external_id)
             FROM {_DECODED} WHERE valid)) WHERE rn = 1""",
     "import_summary": f"""
-        SELECT count(*)::BIGINT AS total, count(*) FILTER (WHERE valid)::BIGINT AS imported,
-          count(*) FILTER (WHERE NOT valid)::BIGINT AS skipped, 0::BIGINT AS failed FROM {_DECODED}""",
+        SELECT (SELECT count(*) FROM {_READ}) + (SELECT count(*) FROM {_LOST}) AS total,
+          (SELECT count(*) FILTER (WHERE valid) FROM {_READ}) AS imported, (SELECT count(*) FILTER (WHERE NOT valid) FROM {_READ}) AS skipped,
+          (SELECT count(*) FROM {_LOST}) AS failed""",
+    "import_state": f"SELECT external_id, source, url, title, company, match_score, status, updated_at FROM {_READ} WHERE valid",
+    "import_failures": f"SELECT 'batch is not readable' AS error, true AS whole FROM {_LOST}",
     "build_properties": f"SELECT external_id, properties_json FROM {_PROPERTIES}",
     "external_index": f"""
         SELECT external_id, 'page-' || o_orderkey AS page_id, synced AS synced_updated_at FROM {_PAGES}""",

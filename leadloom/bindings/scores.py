@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from leadloom.bindings.tables import table
 from leadloom.functions.text import scorer_input as build_input
 from leadloom.operators import scoring as M
+from leadloom.session import work_folder
 from leadloom.sources.pages import offer_join as join_offers
+from leadloom.sources.pages import read_offers
 
 c = F.col
 THRESHOLD = 0.78
@@ -45,6 +47,33 @@ def offer_join(spark, d):
     return join_offers(listings, landed.unionByName(again), ["landed_no"])
 
 
+def offer_relanded(spark, d):
+    """Labels landed as offers on up to three days, read back; the last day of an address counts.
+
+    Only documents that have a label are asked for.
+    """
+    labels = table(spark, d, "labels")
+
+    def day(rows, at, text, error=None):
+        return rows.select(
+            F.concat(F.lit("http://offers.example.com/"), c("doc_id")).alias("url"),
+            text.alias("offer_markdown"),
+            (F.lit(None).cast("string") if error is None else error).alias("error"),
+            F.lit(at).cast("string").alias("landed_at"),
+        )
+
+    folder = work_folder(spark, "offers")
+    days = [
+        day(labels, None, F.lit("zzz undated")),
+        day(labels.where("quality = 1"), "2026-01-01", F.lit("yyy earlier")),
+        day(labels.where("toxic = 1"), "2026-01-02", F.lit(None).cast("string"), F.lit("taken down")),
+    ]
+    for rows in days:
+        rows.write.mode("append").partitionBy("landed_at").parquet(folder)
+    asked = labels.select("doc_id", F.concat(F.lit("https://offers.example.com/"), c("doc_id")).alias("url"))
+    return join_offers(asked, read_offers(spark, folder)).select("doc_id", "offer_markdown", "error")
+
+
 def scorer_input(spark, d):
     text = build_input(profile(spark, d).scalar(), c("offer_markdown"))
     return _offers(spark, d).select("doc_id", text.alias("t")).select(
@@ -67,6 +96,18 @@ def score_cosine(spark, d):
     return _cosines(spark, d).select("vec_id", (F.round("cos", 6) + 0.0).alias("score"))
 
 
+def score_embedding(spark, d):
+    """Vectors as offers: cosines clamped to 0..1, a reason, and an error for those without a direction."""
+    vectors = table(spark, d, "embeddings")
+    offers = vectors.select(
+        "vec_id",
+        F.when(c("label") == 3, F.transform("embedding", lambda x: x * 0)).otherwise(c("embedding")).alias("embedding"),
+        F.when(c("label") == 5, F.lit("no vector landed")).alias("error"),
+    )
+    scored = M.embedding_scorer(vectors.where(c("vec_id") == 0).select("embedding"))(offers)
+    return scored.select("vec_id", (F.round("score", 6) + 0.0).alias("score"), (F.length("reason") > 7).alias("reasoned"), "summary", "error")
+
+
 def _by_length(spark, d):
     """A Python scorer that refuses short texts."""
     first = profile(spark, d).first()["profile"]
@@ -131,9 +172,11 @@ def select_matches(spark, d):
 
 QUERIES = {
     "offer_join": offer_join,
+    "offer_relanded": offer_relanded,
     "scorer_input": scorer_input,
     "score_overlap": score_overlap,
     "score_cosine": score_cosine,
+    "score_embedding": score_embedding,
     "score_plugin": score_plugin,
     "error_isolation": error_isolation,
     "match_validate": match_validate,
@@ -153,6 +196,9 @@ ORACLE = {
           CASE WHEN quality = 1 THEN 'quality 1, read again' WHEN toxic = 0 THEN 'quality ' || quality END AS offer_markdown,
           CASE WHEN quality = 1 THEN NULL WHEN toxic = 1 THEN 'offer request failed with 451' WHEN quality IS NULL THEN 'no offer text' END AS error
         FROM documents LEFT JOIN labels USING (doc_id)""",
+    "offer_relanded": """
+        SELECT doc_id, CASE WHEN toxic = 1 THEN NULL WHEN quality = 1 THEN 'yyy earlier' ELSE 'zzz undated' END AS offer_markdown,
+          CASE WHEN toxic = 1 THEN 'taken down' END AS error FROM labels""",
     "scorer_input": f"""
         SELECT doc_id, length(t)::BIGINT AS n_chars, md5(t) AS digest FROM (SELECT doc_id,
           'CV MARKDOWN:' || chr(10) || {_MINE} || chr(10) || chr(10) || 'JOB OFFER MARKDOWN:' || chr(10) || text AS t FROM documents)""",
@@ -163,6 +209,11 @@ ORACLE = {
         FROM (SELECT *, len(list_intersect(mine, theirs)) / len(mine) AS share FROM (
           SELECT doc_id, {_WORDS.format('text')} AS theirs, (SELECT {_WORDS.format('text')} FROM benchmark WHERE item_id = 0) AS mine
           FROM documents))""",
+    "score_embedding": f"""
+        SELECT vec_id, CASE WHEN label <> 3 THEN round(greatest(0.0, least(1.0, cos)), 6) + 0.0 END AS score,
+          CASE WHEN label = 3 THEN NULL ELSE true END AS reasoned, 'vector comparison' AS summary,
+          CASE WHEN label = 5 THEN 'no vector landed' WHEN label = 3 THEN 'no direction' END AS error
+        FROM embeddings JOIN {_COS} USING (vec_id)""",
     "score_cosine": f"SELECT vec_id, round(cos, 6) + 0.0 AS score FROM {_COS}",
     "score_plugin": f"""
         SELECT doc_id, CASE WHEN length(text) >= 1000 THEN round({_N}, 6) END AS score,

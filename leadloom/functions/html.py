@@ -1,10 +1,10 @@
 """Reading listing cards out of page markup with array functions.
 
 A card is cut at its tags into two aligned arrays: the tag names and the texts
-behind them.  Leaf texts, the whole text of an element, its siblings and its
-parent are then look-ups in those arrays, so a card is read in the task that
-scanned its page, without a shuffle and without Python.  Missing end tags are
-not repaired.
+behind them.  One fold over the names gives each tag its depth; the whole text of
+an element, its siblings and its parent are then look-ups in flat arrays, so a
+card is read in the task that scanned its page, without a shuffle and without
+Python.  An element without an end tag ends with the one around it.
 """
 
 from __future__ import annotations
@@ -110,13 +110,13 @@ def tokens(html: Column) -> Column:
 
     ``names`` holds one entry per tag: "div", "/div" for an end tag, "div/" for
     a tag closed in itself, "" for anything else.  ``texts`` holds the text
-    before the first tag and then the text behind each tag, entities decoded.
+    before the first tag and then the text behind each tag, as it stands in the
+    markup: entities are decoded where a text is read.
     """
 
     def cut(m: Column) -> Column:
-        names = F.regexp_extract_all(m, F.lit(_TAG_NAME), F.lit(1))
-        texts = F.transform(F.split(m, _TAG), decode_entities)
-        return F.struct(F.transform(names, F.lower).alias("names"), texts.alias("texts"))
+        names = F.regexp_extract_all(F.lower(m), F.lit(_TAG_NAME), F.lit(1))
+        return F.struct(names.alias("names"), F.split(m, _TAG).alias("texts"))
 
     def marked(h: Column) -> Column:
         closed = F.regexp_replace(h, _CLOSED_TAG, "<$1/$2>")
@@ -125,17 +125,46 @@ def tokens(html: Column) -> Column:
     return let(let(html, marked), cut)
 
 
-def _name(toks: Column, place: Column) -> Column:
-    return F.get(toks["names"], place - 1)
+def tree(toks: Column) -> Column:
+    """``struct<names, texts, levels>``: the tags as a tree in flat arrays.
 
+    ``levels`` tells of each tag its depth from 1: "2" where an element opens,
+    "/2" where the open element of that depth ends (and all deeper ones that
+    lack an end tag), "2v" for an element without content, "" for an end tag
+    without an open element and for anything else.  It is the only pass over the
+    tags; closing places, parents, siblings and text spans are look-ups in it.
+    """
+    none = F.array().cast("array<string>")
+    start = F.struct(none.alias("open"), none.alias("levels"))
 
-def _move(name: Column) -> Column:
-    """How a tag changes the nesting depth."""
-    return (
-        F.when(name.startswith("/"), F.lit(-1))
-        .when((name == "") | name.endswith("/") | name.isin(VOID_TAGS), F.lit(0))
-        .otherwise(F.lit(1))
-    )
+    def moved(open_: Column, levels: Column, level: Column) -> Column:
+        return F.struct(open_.alias("open"), F.concat(levels, F.array(level)).alias("levels"))
+
+    def step(acc: Column, name: Column) -> Column:
+        open_, levels = acc["open"], acc["levels"]
+        depth = F.size(open_)
+        bare = F.substr(name, F.lit(2))
+        behind = F.array_position(F.reverse(open_), bare).cast("int")
+        ended = moved(F.slice(open_, F.lit(1), depth - 1), levels, F.concat(F.lit("/"), depth.cast("string")))
+
+        def lacking(n: Column) -> Column:
+            # the element that ends lies n - 1 below the top: those above it end with it
+            return F.when(n == 0, moved(open_, levels, F.lit(""))).otherwise(
+                moved(F.slice(open_, F.lit(1), depth - n), levels, F.concat(F.lit("/"), (depth - n + 1).cast("string")))
+            )
+
+        closing = F.when(F.try_element_at(open_, F.lit(-1)) == bare, ended).otherwise(let(behind, lacking))
+        below = (depth + 1).cast("string")
+        empty = name.endswith("/") | name.isin(VOID_TAGS)
+        return (
+            F.when(name.startswith("/"), closing)
+            .when(name == "", moved(open_, levels, F.lit("")))
+            .when(empty, moved(open_, levels, F.concat(below, F.lit("v"))))
+            .otherwise(moved(F.concat(open_, F.array(name)), levels, below))
+        )
+
+    levels = F.aggregate(toks["names"], start, step, lambda acc: acc["levels"])
+    return F.struct(toks["names"].alias("names"), toks["texts"].alias("texts"), levels.alias("levels"))
 
 
 def leaf_texts(toks: Column) -> Column:
@@ -147,7 +176,7 @@ def leaf_texts(toks: Column) -> Column:
 
     def leaf(name: Column, i: Column) -> Column:
         is_leaf = (F.get(names, i + 1) == F.concat(F.lit("/"), name)) & ~name.isin(SILENT_TAGS)
-        text = clean_text(F.get(texts, i + 1))
+        text = clean_text(decode_entities(F.get(texts, i + 1)))
         return F.when(is_leaf, F.struct(name.alias("tag"), text.alias("text")))
 
     found = F.filter(F.transform(names, leaf), lambda x: x["text"].isNotNull())
@@ -188,106 +217,80 @@ def _found(position: Column) -> Column:
     return F.get(F.filter(F.array(position.cast("int")), lambda p: p > 0), F.lit(0))
 
 
-def _is_leaf(toks: Column, place: Column) -> Column:
-    """Whether the end tag follows right behind the tag at ``place``."""
-    return F.coalesce(
-        F.get(toks["names"], place) == F.concat(F.lit("/"), _name(toks, place)), F.lit(False)
-    )
+def _depth(t: Column, place: Column) -> Column:
+    """Depth of the element opened at ``place``."""
+    return F.rtrim(F.get(t["levels"], place - 1), F.lit("v")).cast("int")
+
+
+def _behind(t: Column, place: Column) -> Column:
+    return F.slice(t["levels"], place + 1, F.size(t["levels"]))
 
 
-def close_of(toks: Column, place: Column) -> Column:
-    """Place of the end tag that closes the element opened at ``place``."""
-    return let(place, lambda p: F.when(p.isNotNull(), _close_of(toks, p)))
+def _until_end(tail: Column, depth: Column) -> Column:
+    """How many tags on the element of that depth ends; one more than ``tail`` has if it never does."""
+    depths = F.when(depth > 0, F.sequence(F.lit(1), depth)).otherwise(F.array().cast("array<int>"))
+    ends = F.transform(depths, lambda k: F.array_position(tail, F.concat(F.lit("/"), k.cast("string"))).cast("int"))
+    return F.coalesce(F.array_min(F.filter(ends, lambda p: p > 0)), F.size(tail) + 1)
 
 
-def _close_of(toks: Column, place: Column) -> Column:
-    name = _name(toks, place)
-    end = F.concat(F.lit("/"), name)
-    start = F.struct(F.lit(1).alias("depth"), F.lit(0).alias("n"))
+def close_of(t: Column, place: Column) -> Column:
+    """Place of the end tag that closes the element opened at ``place``: its own or one around it."""
 
-    def step(acc: Column, other: Column) -> Column:
-        move = F.when(other == name, F.lit(1)).when(other == end, F.lit(-1)).otherwise(F.lit(0))
-        return F.when(acc["depth"] <= 0, acc).otherwise(
-            F.struct((acc["depth"] + move).alias("depth"), (acc["n"] + 1).alias("n"))
+    def close(p: Column) -> Column:
+        level = F.get(t["levels"], p - 1)
+        direct = F.get(t["levels"], p) == F.concat(F.lit("/"), level)
+        return (
+            F.when(p.isNull(), F.lit(None).cast("int"))
+            .when(level.endswith("v"), p)
+            .when(direct, p + 1)
+            .otherwise(p + _until_end(_behind(t, p), _depth(t, p)))
         )
 
-    def search(tail: Column) -> Column:
-        first_end = F.array_position(tail, end)
-        nested = F.array_position(tail, name)
-        # Without the same tag inside, the first end tag is the one.
-        return F.when(
-            (first_end > 0) & ((nested == 0) | (nested > first_end)),
-            (place + first_end).cast("int"),
-        ).otherwise(F.aggregate(tail, start, step, lambda acc: place + acc["n"]))
-
-    names = toks["names"]
-    return F.when(_is_leaf(toks, place), place + 1).otherwise(
-        let(F.slice(names, place + 1, F.size(names)), search)
-    )
+    return let(place, close)
 
 
-def element_text(toks: Column, place: Column) -> Column:
+def element_text(t: Column, place: Column) -> Column:
     """Cleaned whole text of the element opened at ``place``, children included."""
-    texts = toks["texts"]
 
     def text(p: Column) -> Column:
-        whole = F.array_join(F.slice(texts, p + 1, _close_of(toks, p) - p), "")
-        raw = F.when(_is_leaf(toks, p), F.get(texts, p)).otherwise(whole)
-        return F.when(p.isNotNull(), clean_text(raw))
+        raw = F.array_join(F.slice(t["texts"], p + 1, close_of(t, p) - p), "")
+        return F.when(p.isNotNull(), clean_text(decode_entities(raw)))
 
     return let(place, text)
 
 
-def parent_of(toks: Column, place: Column) -> Column:
+def parent_of(t: Column, place: Column) -> Column:
     """Place of the element around ``place``; NULL at the top."""
 
     def parent(p: Column) -> Column:
-        stack = F.aggregate(
-            F.transform(
-                F.slice(toks["names"], F.lit(1), F.greatest(p - 1, F.lit(0))),
-                lambda name, i: F.struct(_move(name).alias("move"), (i + 1).alias("place")),
-            ),
-            F.array().cast("array<int>"),
-            lambda acc, t: F.when(t["move"] == 0, acc)
-            .when(t["move"] < 0, F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))))
-            .otherwise(F.concat(acc, F.array(t["place"]))),
-        )
-        return F.when((p > 1) & (_move(_name(toks, p - 1)) == 1), p - 1).when(
-            p.isNotNull(), F.try_element_at(stack, F.lit(-1))
-        )
+        around = (_depth(t, p) - 1).cast("string")
+        before = F.reverse(F.slice(t["levels"], F.lit(1), F.greatest(p - 1, F.lit(0))))
+        return F.when(p.isNotNull() & (_depth(t, p) > 1), p - F.array_position(before, around).cast("int"))
 
     return let(place, parent)
 
 
-def later_sibling(toks: Column, place: Column, names: list[str] | None = None) -> Column:
+def later_sibling(t: Column, place: Column, names: list[str] | None = None) -> Column:
     """Place of the first element behind ``place`` on its own level, of the given tag names if any."""
-    start = F.struct(
-        F.lit(0).alias("depth"),
-        F.lit(0).alias("n"),
-        F.lit(False).alias("done"),
-        F.lit(False).alias("found"),
-    )
-
-    def opens(name: Column) -> Column:
-        bare = F.rtrim(name, F.lit("/"))
-        wanted = bare.isin(names) if names else F.lit(True)
-        return (name != "") & ~name.startswith("/") & wanted
-
-    def step(acc: Column, name: Column) -> Column:
-        hit = opens(name) & (acc["depth"] == 0)
-        depth = acc["depth"] + _move(name)
-        return F.when(acc["done"], acc).otherwise(
-            F.struct(
-                depth.alias("depth"),
-                (acc["n"] + 1).alias("n"),
-                (hit | (depth < 0)).alias("done"),
-                hit.alias("found"),
-            )
-        )
-
-    def search(end: Column) -> Column:
-        tail = F.slice(toks["names"], end + 1, F.size(toks["names"]))
-        folded = F.aggregate(tail, start, step, lambda acc: F.when(acc["found"], end + acc["n"]))
-        return F.when(opens(F.get(toks["names"], end)), end + 1).when(end.isNotNull(), folded)
 
-    return let(close_of(toks, place), search)
+    def search(p: Column) -> Column:
+        depth = _depth(t, p)
+        level = depth.cast("string")
+
+        def among(end: Column) -> Column:
+            tail = _behind(t, end)
+            # siblings lie before the element around them ends
+            scope = F.slice(tail, F.lit(1), _until_end(tail, depth - 1) - 1)
+            same = [level, F.concat(level, F.lit("v"))]
+            if names is None:
+                places = F.array(*(F.array_position(scope, x).cast("int") for x in same))
+            else:
+                bare = lambda i: F.rtrim(F.get(t["names"], end + i), F.lit("/"))
+                places = F.transform(scope, lambda x, i: F.when(x.isin(same) & bare(i).isin(names), i + 1))
+            # an end tag of another level ends the element around it as well
+            own = F.get(t["levels"], end - 1).isin(F.concat(F.lit("/"), level), F.concat(level, F.lit("v")))
+            return F.when(own, end + F.array_min(F.filter(places, lambda x: x > 0)))
+
+        return F.when(p.isNotNull(), let(close_of(t, p), among))
+
+    return let(place, search)

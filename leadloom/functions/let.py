@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,3 +29,21 @@ def bind(df: DataFrame, value: Column, fields: Callable[[Column], Column], keep:
     """
     keep = df.columns if keep is None else keep
     return df.select(*keep, F.inline(F.transform(F.array(value), fields)))
+
+
+def built_once(build: Callable[..., Column]) -> Callable[..., Column]:
+    """Keep the column ``build`` gives for hashable arguments.
+
+    A large expression takes thousands of calls to the JVM to put together, some
+    seconds in all; the column itself belongs to no plan and can be used in many.
+    """
+    made: dict[tuple, Column] = {}
+
+    @wraps(build)
+    def column(*args) -> Column:
+        key = (id(SparkContext._gateway), *args)
+        if key not in made:
+            made[key] = build(*args)
+        return made[key]
+
+    return column

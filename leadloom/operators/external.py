@@ -95,7 +95,7 @@ def decode_pages(pages: DataFrame, status_kind: str, source_kind: str | None = N
     """Rebuild job rows from external pages; ``valid`` tells the usable ones.
 
     A page needs an id, a title, an address, a known status and a source, named
-    by its property or by the prefix of its id.
+    by its property or by the prefix of its id.  An ``error`` of the scan stays.
     """
     external_id = _rich_text("External ID")
     if source_kind == "select":
@@ -104,8 +104,10 @@ def decode_pages(pages: DataFrame, status_kind: str, source_kind: str | None = N
         named = _rich_text("Source")
     else:
         named = F.lit(None).cast("string")
+    errors = [F.col("error")] if "error" in pages.columns else []
     rows = pages.select(
         *keep,
+        *errors,
         F.col("id").alias("page_id"),
         external_id.alias("external_id"),
         F.coalesce(in_domain(named, SOURCES), in_domain(id_prefix(external_id), SOURCES)).alias("source"),

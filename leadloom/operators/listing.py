@@ -89,22 +89,19 @@ def page_prefix(
             "__seen": running(F.count(F.lit(1)), group, "__block", order=page_no),
         }
     )
-    if not (isinstance(cap, int) and cap <= BLOCK):
-        blocks = usable.groupBy(group, "__block").agg(
-            F.sum(n).alias("__n"), F.count(F.lit(1)).alias("__pages")
-        )
-        offsets = blocks.select(
-            group,
-            "__block",
-            running(F.sum("__n"), group, order="__block").alias("__n_before"),
-            running(F.sum("__pages"), group, order="__block").alias("__pages_before"),
-        )
-        counted = counted.join(offsets, [group, "__block"]).withColumns(
-            {
-                "before": F.col("before") + F.col("__n_before"),
-                "__seen": F.col("__seen") + F.col("__pages_before"),
-            }
-        )
+    blocks = usable.groupBy(group, "__block").agg(F.sum(n).alias("__n"), F.count(F.lit(1)).alias("__pages"))
+    offsets = blocks.select(
+        group,
+        "__block",
+        running(F.sum("__n"), group, order="__block").alias("__n_before"),
+        running(F.sum("__pages"), group, order="__block").alias("__pages_before"),
+    )
+    counted = counted.join(offsets, [group, "__block"]).withColumns(
+        {
+            "before": F.col("before") + F.col("__n_before"),
+            "__seen": F.col("__seen") + F.col("__pages_before"),
+        }
+    )
     return counted.where((F.col("before") < limit) & (F.col("__seen") == F.col(page_no) - 1)).select(
         *pages.columns, "before"
     )

@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from leadloom.operators.permits import permit
+
 Scorer = Callable[[DataFrame], DataFrame]
 
 
@@ -94,8 +96,8 @@ def embedding_scorer(profile: DataFrame, vector: str = "embedding") -> Scorer:
         cos = F.col("__cos")
         return with_cosine(offers, profile, vector, "__cos").select(
             *[c for c in offers.columns if c != "error"],
-            F.greatest(F.lit(0.0), F.least(F.lit(1.0), cos)).alias("score"),
-            F.format_string("cosine %.4f", cos).alias("reason"),
+            F.when(cos.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), cos))).alias("score"),
+            F.when(cos.isNotNull(), F.format_string("cosine %.4f", cos)).alias("reason"),
             F.lit("vector comparison").alias("summary"),
             F.when(F.col("error").isNotNull(), F.col("error"))
             .when(cos.isNull(), F.lit("no direction"))
@@ -114,7 +116,7 @@ def python_scorer(
     """Score with a Python callable ``(offer, profile) -> {score, reason, summary}``.
 
     Rows pass through Python in Arrow batches; those with an error already are
-    left alone.  ``parallelism`` limits how many calls run at the same time.
+    left alone.  ``parallelism`` bounds the calls an executor makes at the same time.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -124,7 +126,8 @@ def python_scorer(
                 score, reason, summary = None, None, None
                 if error is None:
                     try:
-                        m = score_one(offer, profile)
+                        with permit("score", parallelism):
+                            m = score_one(offer, profile)
                         score, reason, summary = float(m["score"]), m["reason"], m["summary"]
                     except Exception as problem:  # one bad row must not stop the others
                         error = str(problem) or type(problem).__name__
@@ -140,8 +143,6 @@ def python_scorer(
             )
 
     def score(offers: DataFrame) -> DataFrame:
-        if parallelism:
-            offers = offers.repartition(parallelism)
         fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in offers.schema]
         return offers.mapInPandas(run, ", ".join([*fields, "score double", "reason string", "summary string"]))
 

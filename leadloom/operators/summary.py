@@ -136,12 +136,16 @@ def sync_summary(outcomes: DataFrame) -> DataFrame:
 
 
 def import_summary(decoded: DataFrame) -> DataFrame:
-    """Counters of an import; repeated keys each count as imported."""
+    """Counters of an import; repeated keys each count as imported.
+
+    Rows with an ``error`` failed: a page, or a whole batch, that cannot be read.
+    """
+    failed = F.col("error").isNotNull() if "error" in decoded.columns else F.lit(False)
     return decoded.agg(
         F.count(F.lit(1)).alias("total"),
-        F.count_if("valid").alias("imported"),
-        F.count_if(~F.col("valid")).alias("skipped"),
-        F.lit(0).cast("long").alias("failed"),
+        F.count_if(F.col("valid") & ~failed).alias("imported"),
+        F.count_if(~F.col("valid") & ~failed).alias("skipped"),
+        F.count_if(failed).alias("failed"),
     )
 
 
@@ -153,11 +157,19 @@ def error_rows(outcomes: DataFrame, key: str = "external_id") -> DataFrame:
 
 
 class JobFailed(RuntimeError):
-    """Some rows of a finished job failed; its results are written."""
+    """Some rows of a finished job failed; its results are written.
+
+    ``summary`` has its counters and ``errors`` the failed rows as "id: message".
+    """
+
+    def __init__(self, summary: dict, errors: DataFrame | None = None):
+        super().__init__(f"{summary['failed']} rows failed")
+        self.summary = summary
+        self.errors = errors
 
 
-def fail_if_any(summary: dict) -> dict:
+def fail_if_any(summary: dict, errors: DataFrame | None = None) -> dict:
     """Raise when a finished job's summary counts failures."""
     if summary.get("failed"):
-        raise JobFailed(f"{summary['failed']} rows failed")
+        raise JobFailed(summary, errors)
     return summary

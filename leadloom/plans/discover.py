@@ -2,64 +2,81 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leadloom.operators import listing as L
+from leadloom.operators.keys import key_filter
 from leadloom.schemas import LISTINGS, RunConfig, SourceConfig
 from leadloom.session import stage
-from leadloom.sources.boards import BOARDS, Board, select_sources
+from leadloom.sources.boards import BOARDS, Board, Cards, read_cards, select_sources
+from leadloom.sources.pages import landed_in, with_landing
 
 
-def visited(pages: DataFrame, config: SourceConfig, boards: dict[str, Board] = BOARDS) -> DataFrame:
-    """Landed pages of a source's search.
+def visited(pages: DataFrame, chosen: list[SourceConfig], boards: dict[str, Board] = BOARDS) -> DataFrame:
+    """Landed pages of the sources' searches, with ``source_rank`` and ``cap``.
 
-    A landed page belongs to the search when its address is the one the search
-    has for its number.  Pages behind number ``max_listings`` are never needed,
-    as every page taken holds at least one listing.
+    A landed page belongs to a search when its address is the one the search has
+    for its number.  Pages behind number ``max_listings`` are never needed, as
+    every page taken holds at least one listing.
     """
-    board = boards[config.source]
-    final = max(config.max_listings, 1) if board.paged else 1
     number = F.col("page_no")
-    last = ~F.col("html").rlike(board.more) if board.more else F.lit(False)
-    return pages.where(
-        (F.col("source") == config.source)
-        & number.between(1, final)
-        & (F.col("url") == board.search_url(config, number))
-    ).withColumns({"base_url": F.lit(config.base_url), "last": last})
-
-
-def latest_landing(pages: DataFrame) -> DataFrame:
-    """The last landing of each address, where pages carry ``landed_at``; it need not be one run's."""
-    if "landed_at" not in pages.columns:
-        return pages
-    newest = pages.groupBy("url").agg(F.max("landed_at").alias("landed_at"))
-    return pages.join(newest, ["url", "landed_at"], "left_semi").drop("landed_at")
-
+    wanted, rank, cap, base = F.lit(False), F.lit(None).cast("int"), F.lit(None).cast("int"), F.lit(None).cast("string")
+    for i, config in enumerate(chosen, start=1):
+        board, mine = boards[config.source], F.col("source") == config.source
+        final = max(config.max_listings, 1) if board.paged else 1
+        wanted = wanted | (mine & number.between(1, final) & (F.col("url") == board.search_url(config, number)))
+        rank = F.when(mine, F.lit(i)).otherwise(rank)
+        cap = F.when(mine, F.lit(config.max_listings)).otherwise(cap)
+        base = F.when(mine, F.lit(config.base_url)).otherwise(base)
+    return with_landing(pages).where(wanted).withColumns({"source_rank": rank, "cap": cap, "base_url": base})
+
+
+def newest_landings(pages: DataFrame, chosen: list[SourceConfig], boards: dict[str, Board] = BOARDS) -> DataFrame:
+    """Each visited page once with its last landing, read from numbers and addresses only."""
+    bare = with_landing(pages).select("source", "page_no", "url", "landed_at")
+    found = visited(bare, chosen, boards).groupBy("source", "page_no")
+    return found.agg(F.max("landed_at").alias("landed_at"), F.first("source_rank").alias("source_rank"), F.first("cap").alias("cap"))
+
+
+def parse_pages(
+    pages: DataFrame, newest: DataFrame, chosen: list[SourceConfig], boards: dict[str, Board] = BOARDS
+) -> DataFrame:
+    """Listings of the last landing of all visited pages, repeats on a page collapsed.
 
-def parse_pages(pages: DataFrame, chosen: list[SourceConfig], boards: dict[str, Board] = BOARDS) -> DataFrame:
-    """Listings of all visited pages, repeats on a page collapsed."""
-    parts = [boards[c.source].parse(visited(pages, c, boards)) for c in chosen]
+    The boards share one scan over the markup.  Older landings are dropped there
+    by partition and by key; what the key filter lets through wrongly is dropped
+    after its cards are read, so that markup is never shuffled.
+    """
+    is_newest = key_filter(newest, ["source", "page_no", "landed_at"])
+    markup = visited(pages, chosen, boards).where(landed_in(newest)).where(is_newest(F.col("source"), F.col("page_no"), F.col("landed_at")))
+    last = F.lit(False)
+    for config in chosen:
+        more = boards[config.source].more
+        if more:
+            last = F.when(F.col("source") == config.source, ~F.col("html").rlike(more)).otherwise(last)
+    markup = markup.select("source", "page_no", "url", "html", "base_url", "landed_at", "source_rank", last.alias("last"))
+    readers = {c.source: boards[c.source].read for c in chosen}
+    shared = {s: r for s, r in readers.items() if isinstance(r, Cards)}
+    parts = [read_cards(markup.where(F.col("source").isin(list(shared))), shared)] if shared else []
+    parts += [read(markup.where(F.col("source") == s)) for s, read in readers.items() if s not in shared]
     # Cards are put together by page once; collapsing, counting and ranking on
     # a page then need no further shuffle.
-    rows = L.union_sources(parts).repartition("source", "page_no")
+    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts).repartition("source", "page_no")
+    kept = newest.select(*(F.col(c).alias(f"__{c}") for c in ("source", "page_no", "landed_at")))
+    same = (F.col("source") == F.col("__source")) & (F.col("page_no") == F.col("__page_no"))
+    rows = rows.join(kept, same & F.col("landed_at").eqNullSafe(F.col("__landed_at")), "left_semi").drop("landed_at")
     return L.collapse_last_value(rows, ["source", "page_no", "external_id"], "pos")
 
 
-def page_counts(
-    pages: DataFrame, rows: DataFrame, chosen: list[SourceConfig], boards: dict[str, Board] = BOARDS
-) -> DataFrame:
+def page_counts(newest: DataFrame, rows: DataFrame) -> DataFrame:
     """One row per visited page: listings on it, whether it is the last, and the source's cap.
 
-    The page texts are not read again: only their numbers and addresses are,
-    to find the pages without listings, which end a crawl whatever their mark.
+    Pages without listings end a crawl whatever their mark.
     """
-    seen = L.union_sources(
-        [
-            visited(pages, c, boards).select("source", "page_no", F.lit(c.max_listings).alias("cap"))
-            for c in chosen
-        ]
-    ).distinct()  # a page landed twice is one page
+    seen = newest.select("source", "page_no", "cap", "source_rank")
     n = rows.groupBy("source", "page_no").agg(F.count(F.lit(1)).alias("n"), F.max("last").alias("last"))
     return seen.join(n, ["source", "page_no"], "left").withColumns(
         {"n": F.coalesce("n", F.lit(0)), "last": F.coalesce("last", F.lit(False))}
@@ -84,15 +101,19 @@ def discover(
     chosen = select_sources(config, source)
     if not chosen:
         return pages.sparkSession.createDataFrame([], LISTINGS)
-    pages = latest_landing(pages)
-    rows = stage(parse_pages(pages, chosen, boards), "listings")
-    counts = stage(page_counts(pages, rows, chosen, boards), "pages")
+    newest = stage(newest_landings(pages, chosen, boards), "landings")
+    rows = stage(parse_pages(pages, newest, chosen, boards), "listings")
+    counts = stage(page_counts(newest, rows), "pages")
     kept = L.page_prefix(counts, "cap", last="last")
     if strict:
         _check_landed(counts, kept, chosen, boards)
-    capped = L.cap_rows(rows, kept, "cap").drop("rank", "last")
-    first = L.dedupe_first(capped, ["external_id"], ["source_rank", "page_no", "pos"])
-    return first.drop("source_rank")
+    return taken(rows.drop("last"), kept).drop("source_rank")
+
+
+def taken(rows: DataFrame, kept: DataFrame) -> DataFrame:
+    """Listings of the pages a crawl takes, capped by source, unique by key."""
+    capped = L.cap_rows(rows, kept, "cap").drop("rank")
+    return L.dedupe_first(capped, ["external_id"], ["source_rank", "page_no", "pos"])
 
 
 def _check_landed(counts: DataFrame, kept: DataFrame, chosen: list[SourceConfig], boards: dict[str, Board]) -> None:

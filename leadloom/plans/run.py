@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from leadloom.operators import state as S
 from leadloom.operators.scoring import Scorer, score_offers
+from leadloom.operators.progress import Progress, Reporter
 from leadloom.operators.summary import run_summary
 from leadloom.plans.discover import discover
 from leadloom.schemas import RunConfig
@@ -18,7 +19,6 @@ from leadloom.sources.pages import offer_join
 from leadloom.sources.state_table import StateTable
 
 ScorerFactory = Callable[[DataFrame], Scorer]
-Progress = Callable[[str, dict], None]
 
 
 def process_listings(
@@ -39,8 +39,15 @@ def process_listings(
     error``.  The profile is read only if some listing is open; when that
     fails, the sightings are stored already and stay ``discovered``.
     """
+    report = Reporter(progress)
     known = table.rows_of(listings)
-    before = stage(S.status_lookup(listings.select("external_id"), known), "statuses")
+    looked_up = S.status_lookup(listings.select("external_id"), known)
+    waiting = S.needs_work(F.col("status"))
+    looked_up = report.watch(
+        looked_up, "discovered", discovered=F.count(F.lit(1)), skipped=F.count_if(~waiting), queued_fetch=F.count_if(waiting)
+    )
+    before = stage(looked_up, "statuses")
+    report.tell("discovered")
     sightings = S.upsert_discovered(known, listings, now, how="right_outer")
     table.append_changes(sightings, tag and f"{tag}-seen")
 
@@ -51,13 +58,25 @@ def process_listings(
         F.lit(False).alias("fetched"),
         F.lit(None).cast("string").alias("error"),
     )
-    if progress:
-        progress("start", {"discovered": listings.count()})
     if open_keys.isEmpty():
         return skipped
     scorer = make_scorer(load_profile())
     work = listings.join(open_keys, "external_id", "left_semi").select("external_id", "url")
-    outcomes = stage(score_offers(offer_join(work, offers), scorer, threshold), "outcomes")
+    failed = F.col("error").isNotNull()
+    fetched = report.watch(
+        offer_join(work, offers), "fetched", queued_fetch=-F.count(F.lit(1)), queued_score=F.count_if(~failed), failed=F.count_if(failed)
+    )
+    decided = F.col("status")
+    scored = report.watch(
+        score_offers(fetched, scorer, threshold), "scored",
+        queued_score=-F.count_if("fetched"),
+        matched=F.count_if(decided == "matched"),
+        rejected=F.count_if(decided == "rejected"),
+        failed=F.count_if((decided == "error") & F.col("fetched")),
+    )
+    outcomes = stage(scored, "outcomes")
+    report.tell("fetched")
+    report.tell("scored")
     updates = outcomes.drop("error", "fetched")
     table.append_changes(
         S.apply_updates(table.rows_of(updates), updates, now, how="inner"), tag and f"{tag}-done"
@@ -84,7 +103,10 @@ def run(
     boards: dict[str, Board] = BOARDS,
     progress: Progress | None = None,
 ) -> DataFrame:
-    """One crawl run; returns its one-row summary."""
+    """One crawl run; returns its one-row summary.
+
+    ``progress`` is told the counters after each step, and the summary at the end.
+    """
     listings = stage(discover(pages, config, source, strict, boards), "found")
     outcomes = process_listings(
         listings, table, offers, load_profile, make_scorer, config.match_threshold, now, progress=progress

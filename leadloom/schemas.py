@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-PAGES = "source string, page_no int, url string, html string"
+# ``landed_at`` is when a page or a text was fetched, in sortable text; it may be the
+# partition column of the folder.  A missing one is older than all others.
+PAGES = "source string, page_no int, url string, html string, landed_at string"
 
 LISTINGS = (
     "external_id string, source string, url string, title string, company string, "
@@ -17,7 +19,7 @@ JOBS = (
     "match_reason string, summary string, status string, created_at string, updated_at string"
 )
 
-OFFERS = "url string, offer_markdown string, error string"
+OFFERS = "url string, offer_markdown string, error string, landed_at string"
 
 PROPERTY = (
     "type string, title array<struct<plain_text:string>>, rich_text array<struct<plain_text:string>>, "
@@ -120,6 +122,7 @@ class RunConfig:
 
 
 def default_config() -> RunConfig:
+    # Addresses of the boards; what to search for is only a default.
     return RunConfig(
         sources=(
             SourceConfig(

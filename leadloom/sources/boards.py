@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from leadloom.functions import html as H
 from leadloom.functions import urls as U
-from leadloom.functions.let import bind, let
+from leadloom.functions.let import bind, built_once, let
 from leadloom.functions.text import (
     has_amount,
     has_currency,
@@ -36,11 +36,15 @@ def cards(pages: DataFrame, wanted: Callable[[Column], Column], html: str = "htm
     )
 
 
-def with_flat_fields(df: DataFrame, leaves: str = "leaves") -> DataFrame:
-    """Read title, company and place by order among a card's leaf texts.
+def flat_fields(toks: Column, card: Column | None = None) -> Column:
+    """Read title, company and place by order among a card's leaf texts."""
+    return ordered_fields(H.leaf_texts(toks))
 
-    They are the first three texts that are neither label nor salary.  The
-    salary is the first disclosed salary text behind the title and before the
+
+def ordered_fields(leaves: Column) -> Column:
+    """Title, company and place are the first three texts that are neither label nor salary.
+
+    The salary is the first disclosed salary text behind the title and before the
     place.
     """
     marked = F.transform(
@@ -62,23 +66,19 @@ def with_flat_fields(df: DataFrame, leaves: str = "leaves") -> DataFrame:
             & (x["i"] > title["i"])
             & (place["i"].isNull() | (x["i"] < place["i"])),
         )
-        return F.struct(
-            title["text"].alias("title"),
-            company["text"].alias("company"),
-            F.get(salary, F.lit(0))["text"].alias("salary_text"),
-            place["text"].alias("location"),
-        )
+        return _struct(title["text"], company["text"], F.get(salary, F.lit(0))["text"], place["text"])
 
-    return bind(
-        df,
+    return let(
         marked,
-        lambda texts: let(
-            F.filter(texts, lambda x: ~x["label"] & ~x["paid"]), lambda plain: fields(texts, plain)
-        ),
+        lambda texts: let(F.filter(texts, lambda x: ~x["label"] & ~x["paid"]), lambda plain: fields(texts, plain)),
     )
 
 
-def with_headed_fields(df: DataFrame, card: str = "card") -> DataFrame:
+def _struct(title: Column, company: Column, salary: Column, place: Column) -> Column:
+    return F.struct(title.alias("title"), company.alias("company"), salary.alias("salary_text"), place.alias("location"))
+
+
+def headed_fields(toks: Column, card: Column) -> Column:
     """Read fields by tag: title ``h3``, company ``h4``, place the box behind it.
 
     The salary is the text of the first box that reads as an amount.
@@ -90,107 +90,144 @@ def with_headed_fields(df: DataFrame, card: str = "card") -> DataFrame:
             lambda p: p.isNotNull(),
         )
         amounts = F.filter(F.transform(boxes, lambda p: H.element_text(t, p)), has_amount)
-        return plain_dashes(F.get(amounts, F.lit(0)))
+        # cards without the currency anywhere have no such box
+        return F.when(F.contains(card, F.lit("PLN")), plain_dashes(F.get(amounts, F.lit(0))))
 
     def fields(t: Column) -> Column:
         title = strip_new_mark(H.element_text(t, H.find_open(t, "h3")))
-        h4 = H.find_open(t, "h4")
-        place = H.element_text(t, H.later_sibling(t, h4, ["div", "span"]))
-        return F.struct(
-            title.alias("title"),
-            H.element_text(t, h4).alias("company"),
-            salary(t).alias("salary_text"),
-            strip_more_places(place).alias("location"),
-        )
 
-    return bind(df, H.tokens(H.inner(F.col(card))), fields)
+        def behind(h4: Column) -> Column:
+            place = H.element_text(t, H.later_sibling(t, h4, ["div", "span"]))
+            return _struct(title, H.element_text(t, h4), salary(t), strip_more_places(place))
+
+        return let(H.find_open(t, "h4"), behind)
 
+    return let(H.tree(toks), fields)
 
-def with_block_fields(df: DataFrame, card: str = "card") -> DataFrame:
+
+def block_fields(toks: Column, card: Column) -> Column:
     """Read fields by block: title ``h3``, company the logo's name or the first
     box of the title's block, place the first box of the block behind it."""
 
     def first_box(t: Column, inside: Column) -> Column:
-        return let(
-            H.find_open(t, "div", inside), lambda b: F.when(b < H.close_of(t, inside), b)
-        )
+        return let(H.find_open(t, "div", inside), lambda b: F.when(b < H.close_of(t, inside), b))
 
     def fields(t: Column, h3: Column, block: Column) -> Column:
         box = F.when(block.isNull(), H.find_open(t, "div")).otherwise(first_box(t, block))
-        company = F.coalesce(
-            H.first_image_alt(F.col(card)), F.when(h3.isNotNull(), H.element_text(t, box))
-        )
+        company = F.coalesce(H.first_image_alt(card), F.when(h3.isNotNull(), H.element_text(t, box)))
         place = let(H.later_sibling(t, block), lambda side: H.element_text(t, first_box(t, side)))
-        return F.struct(
-            H.element_text(t, h3).alias("title"),
-            company.alias("company"),
-            F.lit(None).cast("string").alias("salary_text"),
-            place.alias("location"),
-        )
+        return _struct(H.element_text(t, h3), company, F.lit(None).cast("string"), place)
 
-    return bind(
-        df,
-        H.tokens(H.inner(F.col(card))),
-        lambda t: let(
-            H.find_open(t, "h3"),
-            lambda h3: let(H.parent_of(t, h3), lambda block: fields(t, h3, block)),
-        ),
+    return let(
+        H.tree(toks),
+        lambda t: let(H.find_open(t, "h3"), lambda h3: let(H.parent_of(t, h3), lambda block: fields(t, h3, block))),
+    )
+
+
+def with_ordered_fields(df: DataFrame, leaves: str = "leaves") -> DataFrame:
+    """Add the fields read by order from a column of leaf texts."""
+    return bind(df, F.col(leaves), ordered_fields)
+
+
+@dataclass(frozen=True)
+class Cards:
+    """How the cards of a board are told and read.
+
+    ``wanted`` tells a card by its ``href``, and ``path``, where given, by the
+    path of its resolved address.  ``fields`` reads the fields from the tokens
+    and the markup of a card.  ``absolute`` keeps absolute addresses as they are.
+    """
+
+    wanted: Callable[[Column], Column]
+    fields: Callable[[Column, Column], Column]
+    path: str | None = None
+    absolute: bool = False
+
+
+FLAT = Cards(lambda href: F.contains(href, F.lit("/job-offer/")), flat_fields, absolute=True)
+HEADED = Cards(lambda href: href.startswith("/pl/job/"), headed_fields)
+BLOCKS = Cards(lambda href: F.contains(href, F.lit("/companies/jobs/")), block_fields, r"\A/companies/jobs/[0-9]")
+
+
+Readers = tuple[tuple[str, Cards], ...]
+
+
+def _of_source(readers: Readers, value: Callable[[Cards], Column | None], otherwise: Column) -> Column:
+    """The value of the row's own board; only that one is computed for a row."""
+    out = otherwise
+    for source, reader in readers:
+        mine = value(reader)
+        if mine is not None:
+            out = F.when(F.col("source") == source, mine).otherwise(out)
+    return out
+
+
+def read_cards(pages: DataFrame, readers: dict[str, Cards]) -> DataFrame:
+    """Listings of the pages of several boards, from one scan over their markup.
+
+    ``pages`` carry ``source`` and ``base_url``.  Columns beyond those of a page
+    (``last``, ``landed_at``) stay with the listings.
+    """
+    readers = tuple(readers.items())
+    found = cards(pages, lambda href: _of_source(readers, lambda r: r.wanted(href), F.lit(False)))
+    absolute = _of_source(readers, lambda r: F.lit(True) if r.absolute else None, F.lit(False))
+    placed = with_address(found.withColumn("__absolute", absolute), F.col("__absolute")).drop("__absolute")
+    placed = placed.where(_of_source(readers, lambda r: F.col("path").rlike(r.path) if r.path else None, F.lit(True)))
+    read = placed.select(*(c for c in placed.columns if c != "card"), F.inline(_card_fields(readers)))
+    return to_listings(read)
+
+
+@built_once
+def _card_fields(readers: Readers) -> Column:
+    """The fields of a row's ``card``, as an array of one struct."""
+    card = F.col("card")
+    none = F.lit(None).cast("struct<title:string,company:string,salary_text:string,location:string>")
+    return F.transform(
+        F.array(H.tokens(H.inner(card))), lambda t: _of_source(readers, lambda r: r.fields(t, card), none)
     )
 
 
-def with_address(df: DataFrame, keep_absolute: bool = False) -> DataFrame:
-    """Set the card's ``url`` and its ``path``, resolved against ``base_url``."""
+def with_address(df: DataFrame, keep_absolute: Column | None = None) -> DataFrame:
+    """Set the card's ``url`` and its ``path``, resolved against ``base_url``; absolute ones may be kept as they are."""
     href = F.col("href")
     url = U.resolve(href, F.col("base_url"))
-    if keep_absolute:
-        url = F.when(href.rlike(r"\Ahttps?://"), href).otherwise(url)
+    if keep_absolute is not None:
+        url = F.when(keep_absolute & href.rlike(r"\Ahttps?://"), href).otherwise(url)
     keep = [c for c in df.columns if c != "url"]
     return bind(df, url, lambda u: F.struct(u.alias("url"), U.pathname(u).alias("path")), keep)
 
 
-def to_listings(df: DataFrame, source: str) -> DataFrame:
+_LISTING_INPUTS = {"source", "url", *FIELDS, "page_no", "pos", "href", "base_url", "path"}
+
+
+def to_listings(df: DataFrame) -> DataFrame:
     """Give each card its identity; cards without title or company are dropped.
 
-    A page's ``last`` mark, where set, stays with its listings.
+    What else a page carries stays with its listings.
     """
     return df.where(F.col("title").isNotNull() & F.col("company").isNotNull()).select(
-        F.concat(F.lit(f"{source}:"), F.col("path")).alias("external_id"),
-        F.lit(source).alias("source"),
+        F.concat(F.col("source"), F.lit(":"), F.col("path")).alias("external_id"),
+        "source",
         "url",
         *FIELDS,
         "page_no",
         "pos",
-        *[c for c in df.columns if c == "last"],
+        *[c for c in df.columns if c not in _LISTING_INPUTS],
     )
 
 
-def parse_flat(pages: DataFrame) -> DataFrame:
-    found = cards(pages, lambda href: F.contains(href, F.lit("/job-offer/")))
-    read = H.with_leaf_texts(found.withColumn("card", H.inner(F.col("card"))), "card")
-    return to_listings(with_flat_fields(with_address(read, keep_absolute=True)), "justjoinit")
-
-
-def parse_headed(pages: DataFrame) -> DataFrame:
-    found = cards(pages, lambda href: href.startswith("/pl/job/"))
-    return to_listings(with_headed_fields(with_address(found)), "nofluffjobs")
-
-
-def parse_blocks(pages: DataFrame) -> DataFrame:
-    found = cards(pages, lambda href: F.contains(href, F.lit("/companies/jobs/")))
-    jobs = with_address(found).where(F.col("path").rlike(r"\A/companies/jobs/[0-9]"))
-    return to_listings(with_block_fields(jobs), "bulldogjob")
-
-
 @dataclass(frozen=True)
 class Board:
     """How to search a board and read its pages.
 
-    ``parse`` takes pages with their ``base_url`` and returns listings.  With
-    ``more`` a page without that pattern is the last one.
+    ``read`` says how its cards are read; such boards share one scan.  It may
+    also be a function from pages with their ``base_url`` to listings, which then
+    scans the board's pages for itself and keeps what else a page carries.  With ``more`` a page without that
+    pattern is the last one.
     """
 
     search_url: Callable[[SourceConfig, Column], Column]
-    parse: Callable[[DataFrame], DataFrame]
+    read: Cards | Callable[[DataFrame], DataFrame]
     paged: bool = True
     more: str | None = None
 
@@ -225,9 +262,9 @@ def _comma_url(config: SourceConfig, page_no: Column) -> Column:
 
 # The boards by source name; add an entry to read another one.
 BOARDS: dict[str, Board] = {
-    "justjoinit": Board(_query_url, parse_flat, paged=False),
-    "nofluffjobs": Board(_path_url, parse_headed, more="(?i)nfjloadmore|pokaż kolejne oferty"),
-    "bulldogjob": Board(_comma_url, parse_blocks),
+    "justjoinit": Board(_query_url, FLAT, paged=False),
+    "nofluffjobs": Board(_path_url, HEADED, more="(?i)nfjloadmore|pokaż kolejne oferty"),
+    "bulldogjob": Board(_comma_url, BLOCKS),
 }
 
 

@@ -8,23 +8,38 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadloom.schemas import CATALOG, PAGE_BATCH
+from leadloom.operators.permits import permit
+from leadloom.schemas import CATALOG, EXTERNAL_PAGE
 
 
 def explode_batches(batches: DataFrame, order: str) -> DataFrame:
-    """One row per page with ``batch_no`` and ``pos``; missing times become ''."""
+    """One row per page with ``batch_no`` and ``pos``; missing times become ''.
+
+    ``results`` holds pages, or their JSON texts, which are then read one by one.
+    ``error`` tells what could not be read: a batch without a list of pages is one
+    row, and so is a list entry that is no page.
+    """
+    rows = batches.select(F.col(order).alias("batch_no"), F.col("results").isNull().alias("__lost"), F.posexplode_outer("results").alias("pos", "page"))
+    # an empty list is a batch without pages, not an error
+    rows = rows.where(F.col("__lost") | F.col("pos").isNotNull())
+    if dict(rows.dtypes)["page"] == "string":
+        rows = rows.withColumn("page", F.from_json("page", EXTERNAL_PAGE))
+    broken = F.when(F.col("__lost"), F.lit("batch is not readable")).when(F.col("page.id").isNull(), F.lit("entry is not a page"))
     return (
-        batches.select(F.col(order).alias("batch_no"), F.posexplode("results").alias("pos", "page"))
-        .select("batch_no", "pos", "page.*")
+        rows.select("batch_no", F.coalesce("pos", F.lit(0)).alias("pos"), "page.*", broken.alias("error"))
         .withColumn("created_time", F.coalesce("created_time", F.lit("")))
         .withColumn("last_edited_time", F.coalesce("last_edited_time", F.lit("")))
     )
 
 
 def read_page_batches(spark: SparkSession, path: str) -> DataFrame:
-    """Pages of landed batch files; files are ordered by name."""
-    batches = spark.read.schema(PAGE_BATCH).json(path, multiLine=True)
-    return explode_batches(batches.withColumn("__file", F.col("_metadata.file_name")), "__file")
+    """Pages of landed batch files; files are ordered by their path.
+
+    A file that is no JSON, or was cut off, is one row with an ``error``; its
+    pages are read one by one, so that a broken one does not take others with it.
+    """
+    batches = spark.read.schema("results array<string>").json(path, multiLine=True)
+    return explode_batches(batches.withColumn("__file", F.col("_metadata.file_path")), "__file")
 
 
 def read_catalog(spark: SparkSession, path: str) -> DataFrame:
@@ -36,24 +51,40 @@ def write_changes(changes: DataFrame, path: str) -> None:
     changes.write.mode("overwrite").partitionBy("action").json(path)
 
 
-Sender = Callable[[str, str | None, str], None]
+#: Called with action, page id, properties as JSON, and the key of the row.
+Sender = Callable[[str, "str | None", str, str], None]
+#: Asked for the page id of a key, None if the target has no such page.
+Lookup = Callable[[str], "str | None"]
 
 
-def send_changes(changes: DataFrame, send: Sender, parallelism: int | None = None) -> DataFrame:
-    """Hand each change to ``send(action, page_id, properties_json)``.
+def send_changes(changes: DataFrame, send: Sender, parallelism: int | None = None, lookup: Lookup | None = None) -> DataFrame:
+    """Hand each change to ``send(action, page_id, properties_json, external_id)``.
 
     Returns ``external_id, action, error``; a raising call only marks its row.
-    A repeated task calls ``send`` again, so the target must accept repeats.
+    A task that runs again calls ``send`` again.  With ``lookup`` the target is
+    asked before a page is created, and one that exists already is updated; without,
+    the target must tell repeats by the key.  ``parallelism`` bounds the
+    calls that an executor makes at the same time.
     """
 
+    rows = changes.select("external_id", "action", "page_id", "properties_json")
+    return rows.mapInPandas(_sending(send, parallelism, lookup), "external_id string, action string, error string")
+
+
+def _sending(send: Sender, parallelism: int | None, lookup: Lookup | None) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """What a task does with its changes."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             errors = []
-            for action, page_id, properties in zip(
-                batch["action"], batch["page_id"], batch["properties_json"]
+            for key, action, page_id, properties in zip(
+                batch["external_id"], batch["action"], batch["page_id"], batch["properties_json"]
             ):
                 try:
-                    send(action, page_id, properties)
+                    found = lookup(key) if lookup and action == "create" else None
+                    how, at = ("update", found) if found is not None else (action, page_id)
+                    with permit("send", parallelism):
+                        send(how, at, properties, key)
                     errors.append(None)
                 except Exception as problem:  # one bad row must not stop the others
                     errors.append(str(problem) or type(problem).__name__)
@@ -61,7 +92,4 @@ def send_changes(changes: DataFrame, send: Sender, parallelism: int | None = Non
                 {"external_id": batch["external_id"], "action": batch["action"], "error": errors}
             )
 
-    rows = changes.select("external_id", "action", "page_id", "properties_json")
-    if parallelism:
-        rows = rows.repartition(parallelism)
-    return rows.mapInPandas(run, "external_id string, action string, error string")
+    return run

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import time
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -80,9 +81,12 @@ class StateTable:
         numbered = rows.select("*", version.cast("long").alias("__version"))
         return collapse_last(numbered, [self.key], ["__version"]).drop("__version")
 
-    def _parts(self) -> tuple[DataFrame | None, DataFrame | None]:
-        """The last full table and the changes since, None where there is none."""
+    def _parts(self, before: str | None = None) -> tuple[DataFrame | None, DataFrame | None]:
+        """The last full table and the changes since, None where there is none; ``before`` as in ``read``."""
         versions = self.versions()
+        tagged = [v[0] for v in versions if before is not None and v[3] == before]
+        if tagged:
+            versions = [v for v in versions if v[0] < tagged[0]]
         fulls = [v for v in versions if v[1] == "full"]
         changes = [v[4] for v in versions if v[1] == "changes" and (not fulls or v[0] > fulls[-1][0])]
         base = self._load_full(fulls[-1][4], fulls[-1][2]) if fulls else None
@@ -96,9 +100,13 @@ class StateTable:
         kept = base.join(full.select(self.key), self.key, "left_anti").select(base.columns)
         return kept.unionByName(overlay)
 
-    def read(self) -> DataFrame:
-        """The current table; empty with the fixed schema when nothing was written."""
-        base, overlay = self._parts()
+    def read(self, before: str | None = None) -> DataFrame:
+        """The current table; empty with the fixed schema when nothing was written.
+
+        ``before`` names a tag: the table as it was before that write, or as it is
+        if the write has not happened yet.
+        """
+        base, overlay = self._parts(before)
         return self._overlaid(base, overlay, overlay)
 
     def rows_of(self, keys: DataFrame) -> DataFrame:
@@ -169,5 +177,35 @@ class StateTable:
             overlay = overlay.repartition(held, self.key)
         return self.write_full(self._overlaid(base, overlay, overlay), by_bucket=aligned, buckets=buckets)
 
+    def expire(self, keep: int = 2, min_age: float = 3600.0) -> list[int]:
+        """Remove versions that no read needs any more; returns their numbers.
+
+        The last ``keep`` full tables stay, with all changes since the oldest of
+        them.  So does what was written less than ``min_age`` seconds ago, for a
+        reader that still has it in its plan.  Tags of removed versions are
+        forgotten: call this for batches that can no longer be replayed.
+        """
+        if keep < 1:
+            raise ValueError("at least one full version must stay")
+        versions = self.versions()
+        fulls = [v[0] for v in versions if v[1] == "full"]
+        if len(fulls) <= keep:
+            return []
+        jvm = self.spark.sparkContext._jvm
+        removed = []
+        for number, kind, _, _, folder in versions:
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            fs = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+            written = fs.getFileStatus(jvm.org.apache.hadoop.fs.Path(f"{folder}/_SUCCESS")).getModificationTime() / 1000
+            if number >= fulls[-keep] or time.time() - written < min_age:
+                continue
+            # without its mark a version counts no more, so a broken removal leaves no half version
+            fs.delete(jvm.org.apache.hadoop.fs.Path(f"{folder}/_SUCCESS"), False)
+            if kind == "full":
+                self.spark.sql(f"DROP TABLE IF EXISTS `{self._name(folder)}`")
+            fs.delete(path, True)
+            removed.append(number)
+        return removed
+
     def count(self) -> int:
         return self.read().count()

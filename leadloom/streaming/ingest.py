@@ -20,8 +20,8 @@ from pyspark.sql.streaming.listener import StreamingQueryListener
 from leadloom.operators import state as S
 from leadloom.operators.listing import collapse_last, dedupe_first
 from leadloom.operators.summary import run_summary
-from leadloom.plans.discover import discover
-from leadloom.plans.run import ScorerFactory, process_listings
+from leadloom.plans.crawl import new_listings, newer_pages, page_rows
+from leadloom.plans.run import Progress, ScorerFactory, process_listings
 from leadloom.schemas import RunConfig
 from leadloom.session import stage
 from leadloom.sources.boards import BOARDS, Board
@@ -115,6 +115,7 @@ def last_status(key: str, order: list[str]) -> Callable[[DataFrame, DataFrame],
 def run_stream(
     pages: DataFrame,
     config: RunConfig,
+    crawl: StateTable,
     table: StateTable,
     offers: Callable[[], DataFrame],
     load_profile: Callable[[], DataFrame],
@@ -123,21 +124,26 @@ def run_stream(
     checkpoint: str,
     on_summary: Callable[[int, dict], None] | None = None,
     boards: dict[str, Board] = BOARDS,
-    strict: bool = True,
+    progress: Progress | None = None,
 ) -> StreamingQuery:
     """Incremental runs: each micro-batch of landed pages is one run.
 
-    The pages of one crawl must land together, as pagination is followed within
-    a micro-batch.  ``offers`` and ``now`` are called per batch.
+    A crawl may arrive in any number of batches and in any order: ``crawl`` (see
+    ``plans.crawl.crawl_table``) keeps its pages, and a batch processes the
+    listings it brings within reach.  Whether pages are still missing is asked
+    with ``plans.crawl.check_crawl`` once the crawl has ended.  ``offers`` and
+    ``now`` are called per batch.
     """
 
     own = stream_id(pages.sparkSession, checkpoint)
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
-        listings = stage(discover(batch, config, strict=strict, boards=boards), "found")
         tag = f"run-{own}-{batch_id}"
+        known = crawl.read(before=tag)
+        crawl.append_changes(newer_pages(known, page_rows(batch, config, tag, boards)), tag)
+        listings = stage(new_listings(known, crawl.read(), config, tag, boards), "found")
         outcomes = process_listings(
-            listings, table, offers(), load_profile, make_scorer, config.match_threshold, now(), tag
+            listings, table, offers(), load_profile, make_scorer, config.match_threshold, now(), tag, progress
         )
         if on_summary:
             on_summary(batch_id, run_summary(outcomes, table.read()).first().asDict())
@@ -151,7 +157,7 @@ def run_stream(
 
 
 class ProgressListener(StreamingQueryListener):
-    """Hands the counters of each finished micro-batch to a callback."""
+    """Hands the counters of each finished micro-batch, observed metrics included, to a callback."""
 
     def __init__(self, report: Callable[[dict], None]):
         self.report = report
@@ -161,7 +167,8 @@ class ProgressListener(StreamingQueryListener):
 
     def onQueryProgress(self, event) -> None:
         p = event.progress
-        self.report({"batch": p.batchId, "rows": p.numInputRows})
+        observed = {k: v for row in p.observedMetrics.values() for k, v in row.asDict().items()}
+        self.report({"batch": p.batchId, "rows": p.numInputRows, **observed})
 
     def onQueryIdle(self, event) -> None:
         pass

@@ -4,14 +4,15 @@ import pytest
 from boards_data import PAGES as ROWS
 from pyspark.sql import functions as F
 
-from leadloom.plans.discover import discover
+from leadloom.plans.discover import discover, newest_landings, parse_pages
 from leadloom.schemas import PAGES, RunConfig, default_config
 from leadloom.sources import boards as B
-from leadloom.sources.pages import scan_pages
+from leadloom.session import stage
+from leadloom.sources.pages import read_pages, scan_pages
 
 
 def _pages(spark, rows=ROWS):
-    return spark.createDataFrame(rows, PAGES)
+    return spark.createDataFrame([(*r, None) for r in rows], PAGES)
 
 
 def _config(cap=200, **enabled):
@@ -46,7 +47,8 @@ def test_listings_of_all_boards(spark):
 
 
 def test_first_card_without_repeat_keeps_its_salary(spark):
-    rows = B.parse_flat(_pages(spark).where("source = 'justjoinit'").withColumn("base_url", F.lit("https://justjoin.it")))
+    pages = _pages(spark).where("source = 'justjoinit'").withColumn("base_url", F.lit("https://justjoin.it"))
+    rows = B.read_cards(pages, {"justjoinit": B.FLAT})
     first = rows.orderBy("pos").first()
     assert (first["title"], first["salary_text"], first["location"]) == (
         "Tram Driver & Mechanic", "7 000 - 9 000 PLN/month", "Lublin, +2Locations",
@@ -95,7 +97,7 @@ def test_strict_scan_names_the_address(spark):
 
 
 def test_earlier_source_wins_across_boards(spark):
-    twin = B.Board(B.BOARDS["bulldogjob"].search_url, lambda p: B.parse_blocks(p).withColumn(
+    twin = B.Board(B.BOARDS["bulldogjob"].search_url, lambda p: B.read_cards(p, {"bulldogjob": B.BLOCKS}).withColumn(
         "external_id", F.lit("nofluffjobs:/pl/job/smith-zory")))
     config = replace(_config(), sources=_config().sources[1:])
     found = {
@@ -106,10 +108,70 @@ def test_earlier_source_wins_across_boards(spark):
     assert len(found) == 3
 
 
+def _old(html):
+    return html.replace("Miner", "Old Miner").replace("Weaver", "Old Weaver").replace("Baker", "Old Baker")
+
+
+def _landed(spark, tmp_path, *landings):
+    """Pages written as a folder by landing and read back; None writes them without one."""
+    for time, rows in landings:
+        df = spark.createDataFrame([r[:4] for r in rows], "source string, page_no int, url string, html string")
+        if time is not None:
+            df = df.withColumn("landed_at", F.lit(time))
+        df.write.mode("append").partitionBy(*(["landed_at"] if time else [])).parquet(str(tmp_path / ("by" if time else "plain")))
+    return read_pages(spark, str(tmp_path / ("by" if landings[0][0] else "plain")))
+
+
+def test_the_last_landing_counts_through_the_reader(spark, tmp_path):
+    once = discover(_pages(spark), _config()).orderBy("external_id").collect()
+    old = [(*r[:3], _old(r[3])) for r in ROWS]
+    pages = _landed(spark, tmp_path, ("2026-01-02T00:00:00Z", ROWS), ("2026-01-01T00:00:00Z", old))
+    assert discover(pages, _config()).orderBy("external_id").collect() == once
+    # a page that only an older landing has is that landing's
+    part = [r for r in ROWS if r[0] != "bulldogjob"]
+    pages = _landed(spark, tmp_path / "part", ("2026-01-02T00:00:00Z", part), ("2026-01-01T00:00:00Z", old))
+    titles = {r["title"] for r in discover(pages, _config()).collect()}
+    assert "Old Miner" in titles and "Weaver" in titles and "Old Weaver" not in titles
+
+
+def test_pages_without_a_landing_are_the_oldest(spark, tmp_path):
+    once = discover(_pages(spark), _config()).orderBy("external_id").collect()
+    pages = _landed(spark, tmp_path, (None, ROWS))
+    assert discover(pages, _config()).orderBy("external_id").collect() == once
+    old = pages.withColumn("html", F.replace("html", F.lit("Miner"), F.lit("Old Miner")))
+    new = pages.withColumn("landed_at", F.lit("2026"))
+    assert discover(old.unionByName(new), _config()).orderBy("external_id").collect() == once
+    assert discover(pages.drop("landed_at"), _config()).orderBy("external_id").collect() == once
+
+
+def _nodes(df):
+    """Name and output columns of the physical operators of a plan that has not run."""
+    out, todo = [], [df._jdf.queryExecution().sparkPlan()]
+    while todo:
+        node = todo.pop()
+        out.append((node.nodeName(), node.output().mkString(",")))
+        todo += [node.children().apply(i) for i in range(node.children().size())]
+    return out
+
+
+def test_markup_is_scanned_once_and_never_shuffled(spark, tmp_path):
+    pages = _landed(spark, tmp_path, ("2026-01-02T00:00:00Z", ROWS), ("2026-01-01T00:00:00Z", ROWS))
+    chosen = list(_config().sources)
+    newest = stage(newest_landings(pages, chosen), "landings")
+    rows = parse_pages(pages, newest, chosen)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        nodes = _nodes(rows)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert sum("html" in output for name, output in nodes if name.startswith("Scan parquet")) == 1
+    assert "landed_at" in next(x for x in plan.split("\n") if "html" in x and "FileScan" in x).split("PartitionFilters")[1]
+    moved = [output for name, output in nodes if name in ("SortMergeJoin", "HashAggregate", "SortAggregate", "ObjectHashAggregate", "Exchange")]
+    assert moved and not any("html" in output for output in moved)
+
+
 def test_repeated_landings_change_nothing(spark):
     once = {r["external_id"] for r in discover(_pages(spark), _config()).collect()}
     pages = _pages(spark)
     assert {r["external_id"] for r in discover(pages.unionByName(pages), _config()).collect()} == once
-    old = pages.withColumns({"html": F.lit("<p>old</p>"), "landed_at": F.lit(1)})
-    again = old.unionByName(pages.withColumn("landed_at", F.lit(2)))
-    assert {r["external_id"] for r in discover(again, _config()).collect()} == once

@@ -8,7 +8,8 @@ from leadloom.operators import summary as R
 from leadloom.plans.exchange import import_pages, report, sync
 from leadloom.schemas import CATALOG, JOBS
 from leadloom.session import work_folder
-from leadloom.sources.external_pages import read_catalog, read_page_batches
+from leadloom.sources import external_pages
+from leadloom.sources.external_pages import read_catalog, read_page_batches, send_changes
 from leadloom.sources.state_table import StateTable
 
 FULL = {
@@ -140,7 +141,8 @@ def test_sync_actions(spark):
 
 
 def test_sync_isolates_failures_and_writes_changes(spark, tmp_path):
-    def send(action, page_id, properties):
+    def send(action, page_id, properties, key):
+        assert key.startswith("justjoinit:")
         if "Role 1" in properties:
             raise ValueError("refused")
 
@@ -153,6 +155,68 @@ def test_sync_isolates_failures_and_writes_changes(spark, tmp_path):
     assert [p.name for p in sorted((tmp_path / "out").glob("action=*"))] == ["action=create"]
 
 
+def test_a_strict_sync_fails_after_all_was_sent(spark, tmp_path):
+    def send(action, page_id, properties, key):
+        if key.endswith("/1"):
+            raise ValueError("refused")
+        (tmp_path / key.rsplit("/", 1)[1]).write_text(action)
+
+    told = []
+    with pytest.raises(R.JobFailed) as failed:
+        sync(jobs(spark, job(1), job(2), job(3)), _index(spark, ("justjoinit:/job-offer/3", "p3", "2024-02-03T00:00:00.000Z")), catalog(spark),
+             send=send, strict=True, progress=lambda s, c: told.append((s, c)))
+    assert [p.name for p in tmp_path.iterdir()] == ["2"]
+    assert failed.value.summary == {"total": 3, "created": 1, "updated": 0, "skipped": 1, "failed": 1}
+    assert [r["error"] for r in failed.value.errors.collect()] == ["justjoinit:/job-offer/1: refused"]
+    assert told == [
+        ("planned", {"total": 3, "created": 0, "updated": 0, "skipped": 1, "failed": 0}),
+        ("sent", {"total": 3, "created": 1, "updated": 0, "skipped": 1, "failed": 1}),
+    ]
+
+
+def test_a_repeated_task_creates_nothing_twice(spark, tmp_path):
+    changes = spark.createDataFrame([("k1", "create", None, "{}"), ("k2", "create", None, "{}")], "external_id string, action string, page_id string, properties_json string")
+
+    def send(action, page_id, properties, key):
+        with (tmp_path / key).open("a") as out:
+            out.write(f"{action} {page_id}\n")
+
+    def lookup(key):
+        return f"page-{key}" if (tmp_path / key).exists() else None
+
+    first = send_changes(changes.where("external_id = 'k1'"), send, lookup=lookup)
+    assert first.collect()[0]["error"] is None
+
+    # the whole task runs again, as after a lost executor
+    run = external_pages._sending(send, None, lookup)
+    again = next(run(iter([changes.toPandas()])))
+    assert list(again["error"]) == [None, None]
+    assert (tmp_path / "k1").read_text() == "create None\nupdate page-k1\n"
+    assert (tmp_path / "k2").read_text() == "create None\n"
+
+
+def test_unreadable_batches_fail_and_the_rest_is_imported(spark, tmp_path):
+    table = StateTable(spark, work_folder(spark, "jobs"))
+    key = "justjoinit:/job-offer/1"
+    landed(spark, tmp_path, [page(1, key)], [page(2, key)], [page(3, key)])
+    files = sorted(tmp_path.rglob("*.json"))
+    files[1].write_text(files[1].read_text()[:-30])
+    files[2].write_text(files[2].read_text().replace('"results": [', '"results": ["no page", ', 1))
+    assert '"no page"' in files[2].read_text()
+    (files[0].parent / "zz.json").write_text("<html>gateway error</html>")
+    (files[0].parent / "zzz.json").write_text('{"results": [], "has_more": false}')
+    pages = read_page_batches(spark, str(files[0].parent))
+    summary = import_pages(pages, catalog(spark), table).first().asDict()
+    assert summary["failed"] == 3 and summary["imported"] >= 1
+    assert table.read().first()["external_id"] == key
+    with pytest.raises(R.JobFailed) as failed:
+        import_pages(pages, catalog(spark), table, strict=True)
+    errors = sorted(r["error"] for r in failed.value.errors.collect())
+    assert sorted(e.split(": ")[1] for e in errors) == ["batch is not readable", "batch is not readable", "entry is not a page"]
+    assert summary["imported"] == 2
+    assert errors[-1].startswith("zz.json#0: ")
+
+
 def test_index_takes_first_page_and_text_before_date(spark, tmp_path):
     pages = landed(spark, tmp_path, [
         page(1, "k", Updated_At={"rich_text": [{"plain_text": "t"}], "date": {"start": "d"}}), page(2, "k"),

@@ -1,12 +1,12 @@
 from pyspark.sql import functions as F
 
 from leadloom.functions import html as H
-from leadloom.functions.let import bind
+from leadloom.functions.let import bind, let
 
 
 def _fields(spark, html, fn):
     df = spark.createDataFrame([(html,)], "html string")
-    return bind(df, H.tokens(F.col("html")), lambda t: F.struct(fn(t).alias("out")), []).first()["out"]
+    return bind(df, let(H.tokens(F.col("html")), H.tree), lambda t: F.struct(fn(t).alias("out")), []).first()["out"]
 
 
 def test_leaf_texts_skip_parents_silent_tags_and_repeats(spark):
@@ -51,3 +51,16 @@ def test_parent_and_siblings(spark):
 def test_drop_repeats(spark):
     df = spark.createDataFrame([([1, 1, None, None, 2, 1],), ([],), ([5],)], "a array<int>")
     assert [r[0] for r in df.select(H.drop_repeats(F.col("a"))).collect()] == [[1, None, 2, 1], [], [5]]
+
+
+def test_missing_and_stray_end_tags(spark):
+    html = "<div><p>one<p>two<b>x</div></i><section><p>three</p></section>tail"
+    first = lambda t: H.find_open(t, "p")
+    assert _fields(spark, html, lambda t: t["levels"]) == ["1", "2", "3", "4", "/1", "", "1", "2", "/2", "/1"]
+    assert _fields(spark, html, lambda t: H.close_of(t, first(t))) == 5
+    assert _fields(spark, html, lambda t: H.element_text(t, first(t))) == "onetwox"
+    assert _fields(spark, html, lambda t: H.element_text(t, H.later_sibling(t, F.lit(1)))) == "three"
+    assert _fields(spark, html, lambda t: H.later_sibling(t, first(t))) is None
+    assert _fields(spark, html, lambda t: H.parent_of(t, F.lit(4))) == 3
+    assert _fields(spark, "<ul><li>a<li>b", lambda t: H.element_text(t, F.lit(1))) == "ab"
+    assert _fields(spark, "<p>a<br>b<img src=x />c</p>", lambda t: H.element_text(t, F.lit(1))) == "abc"

@@ -38,7 +38,7 @@ def _run(spark, names, prior=(), scores=None, missing=(), load=None):
         table.append_changes(spark.createDataFrame(list(prior), JOBS))
     listings = spark.createDataFrame([listing(n) for n in names], LISTING)
     offers = spark.createDataFrame(
-        [(f"http://h.example/{n}", None if n in missing else n, "refused" if n in missing else None) for n in names], OFFERS
+        [(f"http://h.example/{n}", None if n in missing else n, "refused" if n in missing else None, None) for n in names], OFFERS
     )
     load = load or (lambda: spark.createDataFrame([("cv",)], "profile string"))
     outcomes = process_listings(listings, table, offers, load, _scorer(scores or {}), 0.75, NOW)
@@ -100,3 +100,19 @@ def test_a_second_run_changes_nothing(spark):
     assert tuple(summary.first()) == (2, 2, 0, 0, 0, 0, 2)
     assert {r["external_id"]: r for r in table.read().collect()} == before
     assert as_json(summary).first()["json"].startswith('{"scanned":2,"skipped":2,')
+
+
+def test_counters_move_during_a_run(spark):
+    told = []
+    table = StateTable(spark, work_folder(spark, "jobs"))
+    table.append_changes(spark.createDataFrame([stored("a", "matched")], JOBS))
+    listings = spark.createDataFrame([listing(n) for n in "abcd"], LISTING)
+    offers = spark.createDataFrame([("http://h.example/b", "b", None, None), ("http://h.example/c", "c", None, None)], OFFERS)
+    load = lambda: spark.createDataFrame([("cv",)], "profile string")
+    process_listings(listings, table, offers, load, _scorer({"b": 0.9, "c": None}), 0.75, NOW, progress=lambda s, c: told.append((s, c)))
+    names = ("discovered", "skipped", "queued_fetch", "queued_score", "matched", "rejected", "failed")
+    assert [(s, tuple(c[n] for n in names)) for s, c in told] == [
+        ("discovered", (4, 1, 3, 0, 0, 0, 0)),
+        ("fetched", (4, 1, 0, 2, 0, 0, 1)),
+        ("scored", (4, 1, 0, 0, 1, 0, 2)),
+    ]

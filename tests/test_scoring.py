@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from leadloom.operators import scoring as M
-from leadloom.sources.pages import offer_join, read_profile
+from leadloom.sources.pages import offer_join, read_offers, read_profile
 
 OFFERS = "external_id string, offer_markdown string, error string"
 
@@ -109,3 +109,72 @@ def test_profile_is_one_whole_document(spark, tmp_path):
     assert [r["profile"] for r in read_profile(spark, str(path)).collect()] == ["# Me\n\n- one\n"]
     with pytest.raises(Exception, match="PATH_NOT_FOUND"):
         read_profile(spark, str(tmp_path / "none.md"))
+
+
+def test_only_texts_asked_for_move(spark, tmp_path):
+    """Ten open rows over many landings of many offers: ten texts are shuffled."""
+    offers = spark.range(0, 20_000, 1, 8).select(
+        F.concat(F.lit("http://h/"), F.col("id") % 4000).alias("url"),
+        F.concat(F.lit("text "), F.col("id"), F.lit(" "), F.repeat(F.lit("x"), F.lit(200))).alias("offer_markdown"),
+        F.lit(None).cast("string").alias("error"),
+        F.concat(F.lit("2026-01-0"), F.floor(F.col("id") / 4000) + 1).alias("landed_at"),
+    )
+    offers.write.partitionBy("landed_at").parquet(str(tmp_path / "offers"))
+    listings = spark.range(10).select(F.col("id").cast("string").alias("external_id"), F.concat(F.lit("https://h/"), F.col("id") * 7).alias("url"))
+    made = offer_join(listings, read_offers(spark, str(tmp_path / "offers")))
+    texts = {r["external_id"]: r["offer_markdown"].split()[1] for r in made.collect()}
+    assert texts == {str(i): str(16_000 + 7 * i) for i in range(10)}
+    # what reaches the exchanges: the rows the filters let through
+    seen = []
+
+    def below_exchange(plan):
+        if plan.nodeName() == "AdaptiveSparkPlan":
+            return below_exchange(plan.executedPlan())
+        if "QueryStage" in plan.nodeName():
+            return below_exchange(plan.plan())
+        if plan.nodeName() == "Exchange":
+            seen.append(plan.metrics().apply("shuffleRecordsWritten").value())
+        for i in range(plan.children().size()):
+            below_exchange(plan.children().apply(i))
+
+    execution = made._jdf.queryExecution()
+    execution.executedPlan().executeCollect()
+    below_exchange(execution.executedPlan())
+    # a key filter may let one in 64 of the newest landing through besides
+    assert seen and 10 <= max(seen) <= 10 + 4000 // 64
+
+
+def test_the_last_landing_of_an_offer_counts(spark):
+    listings = spark.createDataFrame([("a", "https://h/1")], "external_id string, url string")
+
+    def text(*landed):
+        offers = spark.createDataFrame([("http://h/1", t, e, at) for t, e, at in landed], "url string, offer_markdown string, error string, landed_at string")
+        row = offer_join(listings, offers).first()
+        return row["offer_markdown"], row["error"]
+
+    assert text(("zzz old", None, "2026-01-01"), ("aaa new", None, "2026-01-02")) == ("aaa new", None)
+    assert text(("aaa new", None, "2026-01-02"), ("zzz", None, None)) == ("aaa new", None)
+    assert text(("zzz", None, None)) == ("zzz", None)
+    assert text(("zzz old", None, "2026-01-01"), (None, "gone", "2026-01-02")) == (None, "gone")
+    assert text(("b", None, "2026"), ("a", None, "2026")) == ("b", None)
+
+
+def test_calls_are_bounded_over_many_partitions(spark, tmp_path):
+    """At most two calls at a time with 64 partitions on 8 cores."""
+
+    def score_one(offer, profile):
+        mine = tmp_path / offer
+        mine.write_text("")
+        now = len(list(tmp_path.iterdir()))
+        import time
+
+        time.sleep(0.02)
+        mine.unlink()
+        return {"score": 0.5, "reason": str(now), "summary": "s"}
+
+    offers = spark.range(64).select(
+        F.col("id").cast("string").alias("external_id"), F.col("id").cast("string").alias("offer_markdown"), F.lit(None).cast("string").alias("error")
+    ).repartition(64)
+    scored = M.python_scorer(score_one, "cv", parallelism=2)(offers)
+    assert "Exchange" not in scored._jdf.queryExecution().sparkPlan().toString().replace("Exchange RoundRobin", "", 1)
+    assert max(int(r["reason"]) for r in scored.collect()) <= 2

@@ -134,3 +134,36 @@ def test_compaction_by_bucket_and_into_other_buckets(spark):
     table.compact(buckets=5)
     assert table.versions()[-1][1:3] == ("full", 5) and table.count() == 90
     assert sum(r["company"] == "New Co" for r in table.read().collect()) == 60
+
+
+def test_old_versions_expire(spark):
+    table = StateTable(spark, work_folder(spark, "t"), "external_id string, n int", buckets=2)
+
+    def rows(*pairs):
+        return spark.createDataFrame(list(pairs), "external_id string, n int")
+
+    table.write_full(rows(("a", 1)))
+    table.append_changes(rows(("b", 1)), "t1")
+    table.compact()
+    table.append_changes(rows(("a", 2)), "t2")
+    table.compact()
+    table.append_changes(rows(("c", 3)))
+    before = sorted(tuple(r) for r in table.read().collect())
+    held = table.read()
+    assert table.expire(keep=1) == []  # all written just now
+    assert table.expire(keep=2, min_age=0) == [1, 2]
+    assert sorted(tuple(r) for r in held.collect()) == before == [("a", 2), ("b", 1), ("c", 3)]
+    names = [table._name(f"{table.path}/v00000001-full-b2")]
+    assert not any(t.name in names for t in spark.catalog.listTables())
+    assert table.expire(keep=1, min_age=0) == [3, 4]
+    assert [v[0] for v in table.versions()] == [5, 6]
+    assert sorted(tuple(r) for r in table.read().collect()) == before
+    table.compact()
+    assert sorted(tuple(r) for r in table.read().collect()) == before
+
+
+def test_a_table_as_it_was_before_a_write(spark):
+    table = StateTable(spark, work_folder(spark, "t"), "external_id string, n int", buckets=2)
+    for n, tag in enumerate(("t0", "t1", "t2")):
+        table.append_changes(spark.createDataFrame([("a", n)], "external_id string, n int"), tag)
+    assert [[r["n"] for r in table.read(before=tag).collect()] for tag in ("t0", "t1", "t2", "t3")] == [[], [0], [1], [2]]

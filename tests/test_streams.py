@@ -1,9 +1,12 @@
 from dataclasses import replace
 
+import pytest
 from boards_data import BLOCK_1, BLOCK_2, BLOCK_URL
+from boards_data import PAGES as ROWS
 
 from leadloom.operators.scoring import lexical_scorer
 from leadloom.operators.state import latest_status
+from leadloom.plans.crawl import check_crawl, crawl_table, crawled, newer_pages, page_rows
 from leadloom.schemas import OFFERS, PAGES, default_config
 from leadloom.session import work_folder
 from leadloom.sources.state_table import StateTable
@@ -73,25 +76,81 @@ def test_each_landing_is_a_run(spark, tmp_path):
     one = replace(default_config(), sources=default_config().sources[2:], match_threshold=0.5)
 
     def land(n, *pages):
-        rows = [("bulldogjob", i, BLOCK_URL + (f"/page,{i}" if i > 1 else ""), html) for i, html in enumerate(pages, 1)]
+        rows = [("bulldogjob", i, BLOCK_URL + (f"/page,{i}" if i > 1 else ""), html, f"2026-01-0{n + 1}") for i, html in enumerate(pages, 1)]
         spark.createDataFrame(rows, PAGES).coalesce(1).write.parquet(f"{tmp_path}/landing{n}")
 
     land(0, BLOCK_1, "")
     land(1, BLOCK_1.replace("Opole", "Nysa"), BLOCK_2, "")
     offers = spark.createDataFrame(
-        [("http://bulldogjob.com/companies/jobs/11-glazier", "glass", None), ("bulldogjob.com/companies/jobs/12-cook", "soup", None)], OFFERS
+        [("http://bulldogjob.com/companies/jobs/11-glazier", "glass", None, None), ("bulldogjob.com/companies/jobs/12-cook", "soup", None, None)], OFFERS
     )
     table, summaries = StateTable(spark, work_folder(spark, "jobs")), []
+    crawl, steps = crawl_table(spark, work_folder(spark, "crawl")), []
     stream = ingest.file_stream(spark, f"{tmp_path}/*", PAGES, files_per_batch=1)
     ingest.run_stream(
-        stream, one, table, lambda: offers, lambda: spark.createDataFrame([("glass",)], "profile string"), lexical_scorer,
+        stream, one, crawl, table, lambda: offers, lambda: spark.createDataFrame([("glass",)], "profile string"), lexical_scorer,
         lambda: "2024", work_folder(spark, "cp"), lambda n, s: summaries.append((n, tuple(s.values()))),
+        progress=lambda step, c: steps.append((step, c["matched"] + c["rejected"] + c["failed"])),
     ).awaitTermination()
+    check_crawl(crawl, one)
+    assert steps == [("discovered", 0), ("fetched", 0), ("scored", 2), ("discovered", 0), ("fetched", 1), ("scored", 1)]
     assert summaries == [(0, (2, 0, 2, 1, 1, 0, 2)), (1, (3, 2, 0, 0, 0, 1, 3))]
     rows = {r["external_id"].split("-")[-1]: (r["status"], r["location"]) for r in table.read().collect()}
     assert rows == {"glazier": ("matched", "Nysa"), "cook": ("rejected", None), "miner": ("error", "Zabrze")}
 
 
+SCORED = ["external_id", "source", "url", "title", "location", "offer_markdown", "match_score", "status"]
+
+
+def test_a_crawl_in_pieces_equals_one_batch(spark, tmp_path):
+    """Any order of files, one a batch, with a gap that is filled later and a cap that ends on a page."""
+    config = replace(default_config(), match_threshold=0.5, sources=tuple(replace(s, max_listings=2) if s.source == "bulldogjob" else s for s in default_config().sources))
+    offers = spark.createDataFrame([("http://bulldogjob.com/companies/jobs/11-glazier", "glass", None, None)], OFFERS)
+    rows = [(*r, None) for r in ROWS]
+
+    def crawl_of(name, files, per_batch):
+        for n, some in enumerate(files):
+            spark.createDataFrame(some, PAGES).coalesce(1).write.parquet(f"{tmp_path}/{name}/{n}")
+        crawl, jobs = crawl_table(spark, work_folder(spark, "crawl")), StateTable(spark, work_folder(spark, "jobs"))
+        ingest.run_stream(
+            ingest.file_stream(spark, f"{tmp_path}/{name}/*", PAGES, files_per_batch=per_batch), config, crawl, jobs, lambda: offers,
+            lambda: spark.createDataFrame([("glass",)], "profile string"), lexical_scorer, lambda: "2024", work_folder(spark, "cp"),
+        ).awaitTermination()
+        check_crawl(crawl, config)
+        return jobs.read().select(SCORED).orderBy("external_id").collect()
+
+    whole = crawl_of("whole", [rows], None)
+    assert {r["external_id"].split(":")[0] for r in whole} == {"justjoinit", "nofluffjobs", "bulldogjob"}
+    # the later pages first, so that page 2 of a board waits for page 1
+    assert crawl_of("pieces", [rows[2:4] + rows[5:7], rows[7:], rows[4:5] + rows[:1], rows[1:2]], 1) == whole
+
+
+def test_missing_pages_are_named_at_the_end(spark):
+    config = default_config()
+    crawl = crawl_table(spark, work_folder(spark, "crawl"))
+    pages = spark.createDataFrame([(*r, None) for r in ROWS if r[:2] != ("bulldogjob", 2)], PAGES)
+    crawl.append_changes(page_rows(pages, config, "b0"))
+    with pytest.raises(RuntimeError, match="bulldogjob"):
+        check_crawl(crawl, config)
+    lost = spark.createDataFrame([(*r, None) for r in ROWS if r[:2] == ("bulldogjob", 2)], PAGES)
+    crawl.append_changes(newer_pages(crawl.read(), page_rows(lost, config, "b1")))
+    check_crawl(crawl, config)
+
+
+def test_older_landings_do_not_replace_pages(spark):
+    config = default_config()
+
+    def found(time, mark):
+        rows = [(*r[:3], r[3].replace("Miner", mark), time) for r in ROWS]
+        return page_rows(spark.createDataFrame(rows, PAGES), config, time or "none")
+
+    crawl = crawl_table(spark, work_folder(spark, "crawl"))
+    for time, mark in (("2026-01-02", "Second"), ("2026-01-01", "First"), (None, "Undated")):
+        crawl.append_changes(newer_pages(crawl.read(), found(time, mark)))
+    titles = {r["title"] for r in crawled(crawl.read(), config).collect()}
+    assert "Second" in titles and not titles & {"First", "Undated"}
+
+
 def test_progress_listener(spark, tmp_path):
     reports = []
     listener = ingest.ProgressListener(reports.append)
