@@ -9,10 +9,11 @@ earlier in the same one); windows are judged on the input.
    the same place inside them, and neighbouring windows mostly share theirs.
 2. Join.  Anchors are counted over all documents; those that occur once are
    dropped.  The rest go back to their documents.
-3. Extend.  From each anchor left, all the windows that name it are followed
-   both ways, and each is compared with all others of the same words at once: by
-   its hash together with the anchor's, one pre-aggregated least place per
-   window.  No pairs are formed, so a passage in very many documents costs one
+3. Extend.  An anchor left stands for the windows around it that name it, up to
+   ``WINDOW - SEED`` words both ways.  They are not followed word by word against
+   one other place: each window is compared with all others of the same words at
+   once, by its hash together with the anchor's, one pre-aggregated least place
+   per window.  No pairs are formed, so a passage in very many documents costs one
    row for each place, and no shorter match hides a longer one.
 4. Overlapping windows that are not the first of their kind are joined to the
    longest repeats.
@@ -107,11 +108,13 @@ def cut_repeats(docs: DataFrame) -> DataFrame:
     staged = Staged(docs.sparkSession, "repeats")
     rows = take(docs, "doc_id", "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    places = anchors(rows)
+    # read by the count and by the join: texts are cut once for both
+    places, path = staged.write(anchors(rows))
     # written first: a join of two plain shuffles can have its hot anchors split
     twice, _ = staged.write(places.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"))
     repeated, _ = staged.write(places.join(twice, "anchor", "left_semi").groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors")))
-    packed = pack(rows)
+    staged.drop(path)
+    packed, _ = staged.write(pack(rows))
     firsts = _windows(packed, repeated).groupBy("window", "anchor").agg(F.min(F.struct("doc_id", "place")).alias("first"))
     firsts, _ = staged.write(firsts.select("first.*").groupBy("doc_id").agg(F.collect_set("place").alias("firsts")))
     marks = repeated.join(firsts, "doc_id", "left")
