@@ -29,7 +29,8 @@ COMMON_SHARE = 0.008
 SKETCH_ITEMS = 8192
 CANDIDATES = 128
 PARTIAL_SKETCHES = 64
-MAX_COMMON_LENGTH = 64
+#: Longer words go through the sketch by their digest, so that its size is bounded.
+PLAIN_LENGTH = 64
 #: Languages up to which their references are broadcast (some KB each); beyond, they are joined by shuffle.
 MAX_LANGUAGES = 1000
 
@@ -79,15 +80,28 @@ def distance(p: Column, q: Column) -> Column:
     return F.sqrt(F.greatest(F.lit(0.0), F.aggregate(terms, F.lit(0.0), lambda a, b: a + b) / 2))
 
 
-def common_words(docs: DataFrame) -> DataFrame:
-    """``lang`` and ``vocabulary``: all words that can be common, by a frequent-items sketch over every word."""
-    words = docs.select("lang", F.explode(words_of(F.lower("text"))).alias("word")).where(F.length("word") <= MAX_COMMON_LENGTH)
+def common_words(docs: DataFrame, staged: Staged) -> DataFrame:
+    """``lang`` and ``vocabulary``: all words that can be common, by a frequent-items sketch over every word.
+
+    A language has at most ``CANDIDATES`` of them, as each makes up ``COMMON_SHARE`` of its words.
+    """
+    words = docs.select("lang", F.explode(words_of(F.lower("text"))).alias("word"))
+    # no word holds a space, so no word is taken for a digest
+    is_long = F.length("word") > PLAIN_LENGTH
+    digest = F.concat(F.lit(" "), F.sha2("word", 256))
     part = F.pmod(F.spark_partition_id(), F.lit(PARTIAL_SKETCHES)).alias("part")
-    sketches = words.groupBy("lang", part).agg(F.expr(f"approx_top_k_accumulate(word, {SKETCH_ITEMS})").alias("sketch"), F.count("*").alias("n"))
+    items = words.select("lang", part, F.when(is_long, digest).otherwise(F.col("word")).alias("item"))
+    sketches = items.groupBy("lang", "part").agg(F.expr(f"approx_top_k_accumulate(item, {SKETCH_ITEMS})").alias("sketch"), F.count("*").alias("n"))
     whole = sketches.groupBy("lang").agg(F.expr(f"approx_top_k_combine(sketch, {SKETCH_ITEMS})").alias("sketch"), F.sum("n").alias("n"))
     # a sketch never counts too few, so no common word is left out here; measures() counts exactly
     likely = F.filter(F.expr(f"approx_top_k_estimate(sketch, {CANDIDATES})"), lambda x: x["count"] >= COMMON_SHARE * F.col("n"))
-    return whole.select("lang", F.sort_array(F.transform(likely, lambda x: x["item"])).alias("vocabulary"))
+    found, _ = staged.write(whole.select("lang", F.explode_outer(F.transform(likely, lambda x: x["item"])).alias("item")))
+    # one text for each common digest; without any, the texts are not read again
+    wanted = bounded(found.where(F.col("item").startswith(" ")), staged, MAX_LANGUAGES * CANDIDATES)
+    texts = words.where(is_long).select("lang", digest.alias("item"), "word").join(wanted, ["lang", "item"])
+    texts = texts.groupBy("lang", "item").agg(F.min("word").alias("word"))
+    named = found.join(texts, ["lang", "item"], "left").select("lang", F.coalesce("word", "item").alias("word"))
+    return named.groupBy("lang").agg(F.sort_array(F.collect_list("word")).alias("vocabulary"))
 
 
 def _class_counts(text: Column) -> Column:
@@ -139,7 +153,7 @@ def judge(docs: DataFrame) -> DataFrame:
     """Counts, distances and verdict of each document; see the module's text for the rules."""
     rows = take(docs, "doc_id", "text", "lang").withColumn("lang", F.coalesce("lang", F.lit("")))
     staged = Staged(docs.sparkSession, "rules")
-    measured, _ = staged.write(measures(rows, bounded(common_words(rows), staged, MAX_LANGUAGES)))
+    measured, _ = staged.write(measures(rows, bounded(common_words(rows, staged), staged, MAX_LANGUAGES)))
     rows = measured.join(bounded(references(measured), staged, MAX_LANGUAGES), "lang", "left")
 
     def histogram(counted: Column, total: Column) -> Column:
