@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leadloom.llm.shared import Staged, bounded, uniform
+from leadloom.llm.shared import Staged, bounded, free_names, uniform
 
 #: Beyond this mean number of copies an explicit weight is taken for a mistake.
 MAX_RATE = 1000.0
@@ -66,20 +66,19 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, exponent: floa
     """The documents, replicated to the target shares and shuffled.
 
     A last column, ``copy`` (with underscores after it if there is such a column
-    already), counts the copies from 1.
+    already, in any case), counts the copies from 1.
     """
-    names, number = docs.columns, "copy"
-    while number in names:
-        number += "_"
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    number, from_, chances, place, times, order = free_names(docs, "copy", "__source", "__table", "__at", "__n", "__order")
     table = bounded(rates(docs, weights, exponent, epochs), Staged(docs.sparkSession, "mix"), MAX_SOURCES)
-    table = table.select(F.col("source").alias("__source"), F.col("table").alias("__table"))
+    table = table.select(F.col("source").alias(from_), F.col("table").alias(chances))
     key = F.coalesce(F.col("doc_id").cast("string"), F.md5(F.coalesce(F.col("text"), F.lit(""))))
-    rows = docs.join(table, F.col("source").eqNullSafe(F.col("__source")))
-    at = uniform(F.lit(seed), key)
-    rows = rows.withColumn("__at", at).withColumn("__n", F.size(F.filter("__table", lambda below: below <= F.col("__at"))))
-    copies = rows.where("__n > 0").select(*(F.col(f"`{n}`") for n in names), F.explode(F.sequence(F.lit(1), F.col("__n"))).alias(number))
-    order = F.xxhash64(F.lit(seed), key, F.col(number))
-    return copies.withColumn("__order", order).repartition("__order").sortWithinPartitions("__order").drop("__order")
+    rows = docs.join(table, F.col("source").eqNullSafe(F.col(from_)))
+    rows = rows.withColumn(place, uniform(F.lit(seed), key))
+    rows = rows.withColumn(times, F.size(F.filter(chances, lambda below: below <= F.col(place))))
+    copies = rows.where(F.col(times) > 0).select(*names, F.explode(F.sequence(F.lit(1), F.col(times))).alias(number))
+    dealt = copies.withColumn(order, F.xxhash64(F.lit(seed), key, F.col(number)))
+    return dealt.repartition(order).sortWithinPartitions(order).drop(order)
 
 
 ORACLE_SQL = """
