@@ -150,11 +150,15 @@ def confirmed(pairs: DataFrame, sets: DataFrame, similar: int = SIMILAR) -> Data
     return counted.where(OF * F.col("common") >= similar * F.col("all")).select("a", "b")
 
 
-def _stars(members: DataFrame) -> DataFrame:
-    """Each member of a bucket with its centre, the centre's size and how much it shares."""
+def _stars(members: DataFrame, staged: Staged) -> DataFrame:
+    """Each member of a bucket with its centre, the centre's size and how much it shares.
+
+    The centres are written first: a join of two plain shuffles can have the members
+    of a hot bucket split.
+    """
     centres = members.groupBy("bucket").agg(F.max(F.struct("shared", -F.col("id"), "n")).alias("top"))
     centres = centres.select("bucket", (-F.col("top.col2")).alias("centre"), F.col("top.n").alias("centre_n"), F.col("top.shared").alias("centre_shared"))
-    return members.join(centres, "bucket")
+    return members.join(staged.write(centres)[0], "bucket")
 
 
 def _ordered(pairs: DataFrame, similar: int) -> DataFrame:
@@ -163,21 +167,22 @@ def _ordered(pairs: DataFrame, similar: int) -> DataFrame:
     return pairs.where(fits & (F.col("id") != F.col("centre"))).select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct()
 
 
-def _hubs(members: DataFrame, similar: int) -> DataFrame:
+def _hubs(members: DataFrame, similar: int, staged: Staged) -> DataFrame:
     """Each id with the one centre, of all its buckets, that shares most."""
-    best = _stars(members).where("id <> centre").groupBy("id", "n").agg(F.max(F.struct("centre_shared", -F.col("centre"), "centre_n")).alias("top"))
+    best = _stars(members, staged).where("id <> centre").groupBy("id", "n").agg(F.max(F.struct("centre_shared", -F.col("centre"), "centre_n")).alias("top"))
     return _ordered(best.select("id", "n", (-F.col("top.col2")).alias("centre"), F.col("top.centre_n").alias("centre_n")), similar)
 
 
-def _open(members: DataFrame, labels: DataFrame | None) -> DataFrame:
+def _open(members: DataFrame, labels: DataFrame | None, staged: Staged) -> DataFrame:
     """The members of buckets that still hold several components, with their component."""
     members = members.select("bucket", "id", "n", "shared")
     if labels is not None:
         members = members.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     else:
         members = members.withColumn("component", F.col("id"))
+    members, _ = staged.write(members)
     several = members.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("bucket")
-    return members.join(several, "bucket")
+    return members.join(staged.write(several)[0], "bucket")
 
 
 def _rest(members: DataFrame, sets: DataFrame, similar: int) -> DataFrame:
@@ -212,16 +217,16 @@ def links(members: DataFrame, sets: DataFrame, staged: Staged, similar: int = SI
             found.append(more)
             labels = components(reduce(DataFrame.unionByName, found), staged)
 
-    test(_hubs(members, similar))
+    test(_hubs(members, similar, staged))
     for _ in range(STAR_ROUNDS):
-        members, _ = staged.write(_open(members, labels))
+        members, _ = staged.write(_open(members, labels, staged))
         if members.isEmpty():
             return labels
-        stars = _stars(members)
-        own = stars.where("id = centre").select("bucket", F.col("component").alias("centre_component"))
+        stars, _ = staged.write(_stars(members, staged))
+        own, _ = staged.write(stars.where("id = centre").select("bucket", F.col("component").alias("centre_component")))
         test(_ordered(stars.join(own, "bucket").where("component <> centre_component"), similar))
         members = stars.where("id <> centre")
-    members, _ = staged.write(_open(members, labels))
+    members, _ = staged.write(_open(members, labels, staged))
     if not members.isEmpty():
         test(_rest(members, sets, similar))
     return labels
@@ -237,7 +242,7 @@ def classes(docs: DataFrame, similar: int = SIMILAR) -> DataFrame:
     firsts = named.groupBy("same").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
     members = firsts.select(F.explode("bands").alias("bucket"), "id", "n")
     sizes = members.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
-    members = members.join(sizes, "bucket")
+    members = members.join(staged.write(sizes)[0], "bucket")
     shared = members.groupBy("id").agg(F.sum("size").alias("shared"))
     members, _ = staged.write(members.select("bucket", "id", "n").join(shared, "id"))
     wanted = members.select(F.col("id").alias("doc_id")).distinct()
