@@ -43,6 +43,8 @@ SAMPLE_PER_LIST, MIN_SAMPLE = 16, 4096
 SUBSPACES, CODES = 16, 64
 BLOCK_INDEXED, BLOCK_ASKING = 1024, 2048
 ROWS_AT_ONCE = 1 << 15
+#: Sampled rows whose distances to all centres are held at a time while fitting.
+FIT_ROWS = 2048
 
 
 @dataclass
@@ -58,10 +60,13 @@ class Model:
 
     def nearest(self, x: np.ndarray, n: int) -> np.ndarray:
         """The ``n`` nearest lists of each vector, nearest first."""
-        near = (self.centres**2).sum(1) - 2 * x @ self.centres.T
-        n = min(n, len(self.centres))
-        some = np.argpartition(near, n - 1, axis=1)[:, :n]
-        return np.take_along_axis(some, np.argsort(np.take_along_axis(near, some, 1), axis=1, kind="stable"), 1)
+        length, n = (self.centres**2).sum(1), min(n, len(self.centres))
+        out = np.empty((len(x), n), np.int64)
+        for k in range(0, len(x), FIT_ROWS):
+            near = length - 2 * x[k : k + FIT_ROWS] @ self.centres.T
+            some = np.argpartition(near, n - 1, axis=1)[:, :n]
+            out[k : k + FIT_ROWS] = np.take_along_axis(some, np.argsort(np.take_along_axis(near, some, 1), axis=1, kind="stable"), 1)
+        return out
 
     def code(self, residual: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Codes of residuals, and the length of what they leave."""
@@ -77,7 +82,8 @@ def centres(x: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
     """k-means from evenly spaced rows; a centre that loses all rows stays."""
     out = x[np.linspace(0, len(x) - 1, k).astype(int)].copy()
     for _ in range(rounds):
-        own = ((out**2).sum(1) - 2 * x @ out.T).argmin(1)
+        length = (out**2).sum(1)
+        own = np.concatenate([(length - 2 * x[k : k + FIT_ROWS] @ out.T).argmin(1) for k in range(0, len(x), FIT_ROWS)])
         size = np.bincount(own, minlength=k)
         order = np.argsort(own, kind="stable")
         filled = np.flatnonzero(size)

@@ -340,25 +340,6 @@ def test_poisson_table(spark):
         assert abs(mean - r.rate) < 1e-6 * max(1, r.rate)
 
 
-def test_chat(spark):
-    rows = [(1, 0, "system", "s"), (1, 1, "bob", "hi <|end|>"), (1, 2, 'a"n', None), (1, 2, 'a"n', None), (1, 300, "bob", "z"), (2, None, None, "x"), (None, 0, "bob", "q")]
-    out = {(r.conv_id, r.speaker, r.part): r for r in chat.perspectives(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
-    assert set(out) == {(1, "bob", 0), (1, "bob", 1), (1, 'a"n', 0), (1, 'a"n', 1), (2, "unknown", 0), (None, "bob", 0)}
-    r = out[1, "bob", 0]
-    assert r.text == "<|system|>\ns<|end|>\n<|assistant|>\nhi < |end|><|end|>\n<|user name=\"a'n\"|>\n<|end|>\n"
-    assert [r.text[s.start : s.end] for s in r.mask] == ["hi < |end|><|end|>\n"]
-    assert out[1, 'a"n', 1].mask == []
-
-
-def test_chat_of_very_many_turns_without_number(spark):
-    rows = [(None, None, "bob", f"t{i}") for i in range(100)] + [(7, i, "bob", "q") for i in range(12)]
-    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
-    out = chat.perspectives(turns, most=12).collect()
-    lost = [r for r in out if r.conv_id is None]
-    assert len(lost) > 5 and sorted(t for r in lost for t in re.findall(r"t[0-9]+", r.text.replace("assistant", ""))) == sorted(f"t{i}" for i in range(100))
-    assert all(r.n_turns == len(r.mask) < 40 for r in lost) and [r.piece for r in out if r.conv_id == 7] == [0]
-
-
 def test_urls(spark):
     urls = ["HTTP://Sub.Example.NET:80?x", "https://a.example.net/en/1", "http://b.net/x", "no scheme", None, "", "x://Org/fr/2#q", "http://xexample.com/de/1", "http://example.com/de"]
     got = rows_of(urltree.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")), "page_id")
@@ -413,3 +394,76 @@ def test_empty_tables(spark, model):
         rules.judge(docs),
     ):
         assert df.count() == 0
+
+
+# --- names and lengths
+
+
+def test_mixing_keeps_columns_named_like_its_own(spark):
+    schema = "doc_id long, text string, source string, Copy string, __at string, __N int, __table string, __source string, __order int"
+    docs = spark.createDataFrame([(i, "t" * (i + 1), f"s{i % 2}", "c", "a", 1, "t", "s", 2) for i in range(40)], schema)
+    made = mixing.mix(docs, {"s0": 1.0, "s1": 3.0})
+    assert made.columns == [*docs.columns, "copy_"]
+    rows = made.collect()
+    assert rows and {tuple(r[3:9]) for r in rows} == {("c", "a", 1, "t", "s", 2)}
+    assert {(r.doc_id, r["copy_"]) for r in rows} == {(r.doc_id, r["copy_"]) for r in mixing.mix(docs.select("doc_id", "text", "source"), {"s0": 1.0, "s1": 3.0}).withColumnRenamed("copy", "copy_").collect()}
+
+
+def test_common_words_of_any_length(spark, tmp_path):
+    long_word, rng = "w" * 70, random.Random(3)
+    texts = [" ".join(rng.choice([long_word, "aa", "bb", f"r{rng.randrange(10**6)}", f"r{rng.randrange(10**6)}"]) for _ in range(50)) for _ in range(60)]
+    docs = spark.createDataFrame([(i, t, "xx" if i % 2 else "yy") for i, t in enumerate(texts)] + [(100, "short words only", "zz")], "doc_id long, text string, lang string")
+    from leadloom.llm.shared import Staged
+
+    found = {r.lang: r.vocabulary for r in rules.common_words(docs, Staged(spark, "rules")).collect()}
+    assert long_word in found["xx"] and long_word in found["yy"] and "aa" in found["xx"]
+    assert found["zz"] == ["only", "short", "words"]
+    assert not any(w.startswith(" ") for v in found.values() for w in v)
+
+
+def test_the_verdict_of_the_rules_by_brute_force(spark):
+    """Distances and verdict from plain counts of characters and words."""
+    rng = random.Random(12)
+    common = ["the", "of", "and", "in", "was"]
+    texts = [" ".join(rng.choice(common) if rng.random() < 0.4 else prose(rng, 1) for _ in range(rng.randrange(20, 150))) for _ in range(60)]
+    texts += ["QX7 " * 3 + " ".join(f"{rng.randrange(10**9)}" for _ in range(80)), " ".join(f"zz{rng.randrange(10**9)}" for _ in range(90)), "tiny text"]
+    rows = [(i, t, "en") for i, t in enumerate(texts)] + [(900, None, "en"), (901, "other " * 20, "xx")]
+    got = {r.doc_id: r for r in rules.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+
+    def classes(t):
+        kinds = ["abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", " \t\n\x0b\x0c\r", "0123456789", "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"]
+        counts = [sum(c in k for c in t) for k in kinds]
+        return [*counts, len(t) - sum(counts)]
+
+    def distance(p, q):
+        if not sum(p) or not sum(q):
+            return 0.0
+        p, q = np.array(p) / sum(p), np.array(q) / sum(q)
+        part = lambda x, y: sum(a * np.log2(2 * a / (a + b)) for a, b in zip(x, y, strict=True) if a > 0)
+        return float(np.sqrt(max(0.0, (part(p, q) + part(q, p)) / 2)))
+
+    english = [(i, t or "") for i, t, lang in rows if lang == "en"]
+    all_classes = np.sum([classes(t) for _, t in english], axis=0)
+    counted = collections.Counter(w for _, t in english for w in t.lower().split())
+    total = sum(counted.values())
+    vocabulary = sorted(w for w, n in counted.items() if n >= rules.COMMON_SHARE * total)
+    all_words = [*(counted[w] for w in vocabulary), total - sum(counted[w] for w in vocabulary)]
+    strange = 0
+    for i, t in english:
+        words = t.lower().split()
+        mine = [words.count(w) for w in vocabulary]
+        by_class, by_word = distance(classes(t), all_classes), distance([*mine, len(words) - sum(mine)], all_words)
+        assert abs(got[i].class_distance - by_class) < 1e-9 and abs(got[i].word_distance - by_word) < 1e-9
+        far = (len(t) >= rules.MIN_CHARS and by_class > rules.MAX_CLASS_DISTANCE) or (len(words) >= rules.MIN_WORDS and by_word > rules.MAX_WORD_DISTANCE)
+        assert got[i].kept == (not got[i].base_failed and not far)
+        strange += far
+    assert strange >= 2 and total >= rules.MIN_REFERENCE_WORDS
+    assert got[901].kept == (not got[901].base_failed)  # too few words for a reference
+
+
+def test_centres_in_blocks_of_rows(monkeypatch):
+    x = np.random.default_rng(5).normal(size=(700, 32))
+    whole = vectors.fit_rows(x, 20)
+    monkeypatch.setattr(vectors, "FIT_ROWS", 64)
+    blocks = vectors.fit_rows(x, 20)
+    assert np.allclose(whole.centres, blocks.centres) and np.array_equal(whole.nearest(x, 3), blocks.nearest(x, 3))
