@@ -1,8 +1,10 @@
 """Toxicity by compression distance.
 
 Two zstandard dictionaries are trained, one on windows that mark toxic texts, one
-on ordinary windows.  A window (a run of letters) that the toxic dictionary
-compresses much better than the ordinary one speaks for toxicity.  Its margin is
+on ordinary windows.  A window is one to ``LONGEST`` consecutive words, overlapping;
+digits and marks inside words stay, those around them go.  A window that the toxic
+dictionary compresses much better than the ordinary one speaks for toxicity.  Its
+margin is
 
     (ordinary - toxic) / (ordinary - empty)  *  min(1, (ordinary - toxic) / 8)
 
@@ -10,10 +12,14 @@ in compressed bytes, ``empty`` being those of the padding alone.  The score of a
 text rises with the largest margin of its windows.  The threshold is set on
 labelled texts that the dictionaries used for it have not seen.
 
+The toxic dictionary holds windows that stand in many toxic and hardly any ordinary
+texts: single words, and phrases of words that are ordinary each.  Windows of several words are measured where all their words occur in
+such phrases; no other window can match one as a whole.
+
 Windows are padded, as zstandard stores very short inputs uncompressed, and
 widened to UTF-16, so that characters no dictionary knows cost more.
 
-The model is fitted on the driver on at most ``SAMPLE_ROWS`` labelled texts of
+The model is fitted on the driver on at most twice ``SAMPLE_ROWS`` labelled texts of
 each class, each of at most ``SAMPLE_CHARS`` characters, chosen by a hash of
 their id.  Every text is scored as a whole.  Null and empty texts have margin 0.
 A document labelled twice is toxic if one label says so.  Without toxic labels
@@ -35,17 +41,24 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leadloom.llm.shared import in_arrow, slices, take
+from leadloom.llm.shared import in_arrow, sample, slices, take
 
 #: Labelled texts that are sampled, toxic and ordinary, and those of them that set the threshold.
-SAMPLE_ROWS = {1: 2000, 0: 6000}
+SAMPLE_ROWS = {1: 1000, 0: 3000}
 THRESHOLD_ROWS = 1000
 SAMPLE_CHARS = 10_000
 PREDICT_FROM = 0.7
 
-WINDOW = re.compile(r"[^\W\d_]{1,64}")
+#: Words of a window, and characters of a word; longer words are cut into overlapping pieces.
+LONGEST, WORD_CHARS = 4, 64
+AROUND = re.compile(r"^[^\w]+|[^\w]+$")
+#: Toxic texts in which a window must stand to be looked at.
+MIN_TEXTS = 4
 TOXIC_BYTES, ORDINARY_BYTES = 8192, 65536
 ORDINARY_SAMPLES = 60_000
+#: A byte may be the rounding of how far a match lies.
+LEAST_GAIN = 2
+PHRASE_BYTES = 4096
 PAD = bytes(48)
 #: A likelihood ratio that chance gives to about one window in 100,000.
 MIN_SURPLUS = 20.0
@@ -57,11 +70,31 @@ CACHED_WINDOWS = 400_000
 class Model:
     toxic: bytes
     ordinary: bytes
+    phrase_words: frozenset[str]
     threshold: float
 
+    def scorer(self) -> Scorer:
+        return Scorer(self.toxic, self.ordinary, self.phrase_words)
+
+
+def words_of(text: str | None) -> list[str]:
+    """The words of a text without marks around them."""
+    out = []
+    for word in (text or "").lower().split():
+        if not (word[0].isalnum() and word[-1].isalnum()):
+            word = AROUND.sub("", word)
+            if not word:
+                continue
+        if len(word) <= WORD_CHARS:
+            out.append(word)
+        else:
+            out += [word[k : k + WORD_CHARS] for k in range(0, len(word) - WORD_CHARS // 2, WORD_CHARS // 2)]
+    return out
 
-def windows(text: str | None) -> list[str]:
-    return WINDOW.findall((text or "").lower())
+
+def windows(words: list[str], n: int) -> list[str]:
+    """All windows of ``n`` words."""
+    return words if n == 1 else [" ".join(words[k : k + n]) for k in range(len(words) - n + 1)]
 
 
 def _wide(window: str) -> bytes:
@@ -71,17 +104,21 @@ def _wide(window: str) -> bytes:
 class Scorer:
     """Margins of windows under two dictionaries; lives in one process."""
 
-    def __init__(self, toxic: bytes, ordinary: bytes):
+    def __init__(self, toxic: bytes, ordinary: bytes, phrase_words: frozenset[str] = frozenset()):
+        # binary trees: with hash chains, matches in dictionaries beyond 16 KB were not found
         settings = zstandard.ZstdCompressionParameters(
-            window_log=17, hash_log=14, chain_log=14, search_log=6, min_match=3, target_length=32,
-            strategy=zstandard.STRATEGY_LAZY2, write_content_size=False, write_checksum=False, write_dict_id=False,
+            window_log=17, hash_log=17, chain_log=18, search_log=7, min_match=3, target_length=32,
+            strategy=zstandard.STRATEGY_BTLAZY2, write_content_size=False, write_checksum=False, write_dict_id=False,
             format=zstandard.FORMAT_ZSTD1_MAGICLESS,
         )
         self.silent = not toxic or not ordinary
         if not self.silent:
-            self.toxic, self.ordinary = (self._compressor(d, settings) for d in (toxic, ordinary))
+            half = len(ordinary) // 4 * 2
+            turned = ordinary[half:] + ordinary[:half]
+            self.toxic, self.ordinary, self.turned = (self._compressor(d, settings) for d in (toxic, ordinary, turned))
             self.empty = len(self.ordinary.compress(PAD))
         self.known: dict[str, float] = {}
+        self.phrase_words = phrase_words
 
     @staticmethod
     def _compressor(content: bytes, settings) -> zstandard.ZstdCompressor:
@@ -97,14 +134,34 @@ class Scorer:
             data = PAD + _wide(window)
             ordinary = len(self.ordinary.compress(data))
             gain = ordinary - len(self.toxic.compress(data))
-            found = gain / (ordinary - self.empty) * min(1.0, gain / 8) if gain > 0 and ordinary > self.empty else 0.0
+            if gain >= LEAST_GAIN:
+                # the compressor may miss what a dictionary holds: a gain must hold against two arrangements
+                ordinary = min(ordinary, len(self.turned.compress(data)))
+                gain = ordinary - len(self.toxic.compress(data))
+            found = gain / (ordinary - self.empty) * min(1.0, gain / 8) if gain >= LEAST_GAIN and ordinary > self.empty else 0.0
             self.known[window] = found
         return found
 
     def text_margin(self, text: str | None) -> float:
         if self.silent:
             return 0.0
-        return max(map(self.margin, set(windows(text))), default=0.0)
+        words = words_of(text)
+        found = set(words)
+        if not found.isdisjoint(self.phrase_words):
+            for run in self._runs(words):
+                for n in range(2, LONGEST + 1):
+                    found.update(windows(run, n))
+        return max(map(self.margin, found), default=0.0)
+
+    def _runs(self, words: list[str]) -> list[list[str]]:
+        """Stretches of words that occur in telling phrases."""
+        out: list[list[str]] = [[]]
+        for word in words:
+            if word in self.phrase_words:
+                out[-1].append(word)
+            elif out[-1]:
+                out.append([])
+        return [run for run in out if len(run) > 1]
 
 
 def _train(samples: list[bytes], size: int) -> bytes:
@@ -126,32 +183,78 @@ def _surplus(toxic: int, ordinary: int, share: float) -> float:
     return 2 * (gain + (ordinary * math.log(ordinary / (n * (1 - share))) if ordinary else 0.0))
 
 
-def dictionaries(texts: list[tuple[str, int]]) -> tuple[bytes, bytes]:
-    """Toxic and ordinary dictionary of labelled texts.
+def telling_windows(toxic: list[list[str]], ordinary: list[list[str]]) -> set[str]:
+    """The windows that mark toxic texts; of ones inside each other the most telling, then the shortest.
+
+    They are in many toxic and hardly any ordinary texts and stand in several
+    contexts: windows of copied texts stand in one context however often the text
+    is copied.
+    """
+    share = len(toxic) / max(1, len(toxic) + len(ordinary))
+    found: list[tuple[float, int, str]] = []
+    for n in range(1, LONGEST + 1):
+        counts = Counter()
+        for words in toxic:
+            counts.update(set(windows(words, n)))
+        often = {w: k for w, k in counts.items() if k >= MIN_TEXTS}
+        contexts, clean = defaultdict(set), Counter()
+        for words in toxic:
+            for before, window in zip(["", *words], windows(words, n), strict=False):
+                if window in often and len(contexts[window]) < often[window]:
+                    contexts[window].add(before)
+        for words in ordinary:
+            clean.update(often.keys() & set(windows(words, n)))
+        surplus = {w: _surplus(min(len(contexts[w]), k), clean[w], share) for w, k in often.items() if len(w) > 2}
+        found += [(-x, n, w) for w, x in surplus.items() if x >= MIN_SURPLUS]
+    kept: set[str] = set()
+    inside: set[str] = set()  # parts of windows that are kept
+    for _, n, window in sorted(found):
+        parts = {p for m in range(1, n) for p in windows(window.split(" "), m)}
+        if window not in inside and kept.isdisjoint(parts):
+            kept.add(window)
+            inside |= parts
+    return kept
+
+
+def _left_out(counts: Counter, trained: bytes) -> bytes:
+    """The most frequent words that training left out, as far as there is room."""
+    out, room = [], ORDINARY_BYTES - len(trained)
+    for word, k in sorted(counts.items(), key=lambda x: (-x[1], x[0])):
+        data = _wide(word)
+        if k < MIN_TEXTS or len(data) > room:
+            break
+        if data not in trained:
+            out.append(data)
+            room -= len(data)
+    return b"".join(reversed(out))
+
+
+def dictionaries(texts: list[tuple[str, int]]) -> tuple[bytes, bytes, frozenset[str]]:
+    """Toxic and ordinary dictionary of labelled texts, and the words of telling phrases.
 
-    The toxic one is trained on windows that are in many toxic and hardly any
-    ordinary texts and stand in several contexts: words of copied texts stand in
-    one context however often the text is copied.
+    Both begin with what ordinary texts say.  Behind it one holds the toxic windows,
+    the other the words of the same phrases in another order: a word costs the same
+    under both, as it lies equally far, and only what toxic texts say costs less.
     """
-    counts: tuple[Counter, Counter] = (Counter(), Counter())
-    totals = [0, 0]
-    contexts = defaultdict(set)
     once: dict[str, str] = {}  # one object for each word
-    cut = [([once.setdefault(w, w) for w in windows(t)], label) for t, label in dict(texts).items()]
-    for words, label in cut:
-        counts[label].update(set(words))
-        totals[label] += 1
-        if label:
-            for before, word in zip(["", *words], words, strict=False):
-                contexts[word].add(before)
-    share = totals[1] / max(1, sum(totals))
-    telling = {w for w, c in contexts.items() if len(w) > 2 and _surplus(min(len(c), counts[1][w]), counts[0][w], share) >= MIN_SURPLUS}
-    toxic = [_wide(w) for words, label in cut if label for w in words if w in telling]
+    cut = [([once.setdefault(w, w) for w in words_of(t)], label) for t, label in dict(texts).items()]
+    sides = [[words for words, label in cut if label == side] for side in (0, 1)]
+    telling = telling_windows(sides[1], sides[0])
     step = 8
-    keep = max(1, sum(len(words) for words, label in cut if not label) // (step * ORDINARY_SAMPLES))
-    chunks = (words[k : k + step] for words, label in cut if not label for k in range(0, len(words), step))
-    ordinary = [_wide(" ".join(c)) for c in islice(chunks, 0, None, keep)]
-    return _train(toxic, TOXIC_BYTES), _train(ordinary, ORDINARY_BYTES)
+    keep = max(1, sum(map(len, sides[0])) // (step * ORDINARY_SAMPLES))
+    chunks = (words[k : k + step] for words in sides[0] for k in range(0, len(words), step))
+    ordinary = _train([_wide(" ".join(c)) for c in islice(chunks, 0, None, keep)], ORDINARY_BYTES)
+    ordinary = _left_out(Counter(w for words in sides[0] for w in set(words)), ordinary) + ordinary
+    if not telling:
+        return b"", ordinary, frozenset()
+    single = _train([_wide(w) for words in sides[1] for w in words if w in telling], TOXIC_BYTES)
+    said = Counter(w for words in sides[1] for n in range(2, LONGEST + 1) for w in windows(words, n) if w in telling)
+    phrases = [w for w, _ in sorted(said.items(), key=lambda x: (-x[1], x[0]))]
+    room = np.cumsum([len(_wide(w)) for w in phrases])
+    phrases = phrases[: int(np.searchsorted(room, PHRASE_BYTES, "right"))]
+    toxic = single + b"".join(map(_wide, phrases))
+    turned = bytes(len(single)) + b"".join(_wide(" ".join(reversed(w.split(" ")))) for w in phrases)
+    return ordinary + toxic, ordinary + turned, frozenset(x for w in phrases for x in w.split(" "))
 
 
 def threshold(margins: np.ndarray, labels: np.ndarray) -> float:
@@ -170,13 +273,13 @@ def threshold(margins: np.ndarray, labels: np.ndarray) -> float:
 
 
 def _apart(texts: list[tuple[str, int]]) -> list[tuple[str, int]]:
-    """Without near copies: texts that share one of their four least hashed word triples with an earlier one."""
+    """Without near copies: texts of whose four least hashed word triples earlier ones have three, or all if there are fewer."""
     seen, kept = set(), []
     for text, label in texts:
-        words = windows(text)
+        words = words_of(text)
         triples = {" ".join(words[k : k + 3]) for k in range(max(1, len(words) - 2))}
         least = set(sorted(zlib.crc32(t.encode()) for t in triples)[:4])
-        if seen.isdisjoint(least):
+        if len(least & seen) < min(3, len(least)):
             kept.append((text, label))
             seen |= least
     return kept
@@ -203,12 +306,10 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     marks = take(labels, "doc_id", "toxic").dropna().where(~held_out())
     marks = marks.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     order = F.md5(F.col("doc_id").cast("string"))
-    picked = None
-    for label, rows in SAMPLE_ROWS.items():
-        part = marks.where(F.col("toxic") == label).orderBy(order).limit(rows)
-        picked = part if picked is None else picked.unionByName(part)
+    picked = [sample(marks.where(F.col("toxic") == label), "doc_id", rows) for label, rows in SAMPLE_ROWS.items()]
     texts = take(docs, "doc_id", "text").where(F.length("text") <= SAMPLE_CHARS)
-    rows = texts.join(F.broadcast(picked), "doc_id").orderBy(order, "text").limit(sum(SAMPLE_ROWS.values())).select("text", "toxic").collect()
+    rows = texts.join(F.broadcast(picked[0].unionByName(picked[1])), "doc_id").orderBy(order, "text")
+    rows = rows.limit(2 * sum(SAMPLE_ROWS.values())).select("text", "toxic").collect()
     return fit_texts([(r.text, r.toxic) for r in rows])
 
 
@@ -217,7 +318,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, margin double"
 
     def run(batches):
-        scorer = Scorer(model.toxic, model.ordinary)
+        scorer = model.scorer()
         for part in slices(batches, "text"):
             margins = [scorer.text_margin(t) for t in part.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(margins, pa.float64())], ["doc_id", "margin"])
@@ -241,7 +342,7 @@ def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     model = fit(docs, labels)
 
     def run(batches):
-        scorer = Scorer(model.toxic, model.ordinary)
+        scorer = model.scorer()
         for part in slices(batches, "text"):
             calm = [scorer.text_margin(t) < model.threshold for t in part.column("text").to_pylist()]
             yield part.filter(pa.array(calm))
