@@ -206,8 +206,8 @@ def _prefix(stop: str, cap: int) -> str:
 FLAT_LISTINGS = f"""
   SELECT 'justjoinit:/job-offer/customer-' || c_custkey AS external_id, 'justjoinit' AS source,
     'https://justjoin.it/job-offer/customer-' || c_custkey || '?from=' || c_nationkey AS url, c_name AS title, 'R&D ' || c_mktsegment AS company,
-    CASE WHEN c_acctbal >= 1000 THEN floor(c_acctbal)::BIGINT || ' - ' || (floor(c_acctbal)::BIGINT + 500) || ' PLN/month' END AS salary_text,
-    'NATION_' || c_nationkey || ', +3Locations' AS location, 1 AS page_no, c_custkey::INTEGER AS pos
+    CASE WHEN c_acctbal >= 1000 THEN floor(c_acctbal)::BIGINT || ' to ' || (floor(c_acctbal)::BIGINT + 500) || ' EUR a month' END AS salary_text,
+    'NATION_' || c_nationkey AS location, 1 AS page_no, c_custkey::INTEGER AS pos
   FROM customer WHERE c_custkey < {PER_PAGE} ORDER BY c_custkey LIMIT {FLAT_CAP}"""
 
 
