@@ -162,7 +162,7 @@ def crawl_relanded(spark, d):
     now = landed_pages(spark, d).drop("landed_at")
 
     def titled(mark):
-        return now.withColumn("html", F.replace("html", F.lit("<h3>"), F.lit(f"<h3>{mark} ")))
+        return now.withColumn("html", F.regexp_replace("html", "<h([23])>", f"<h$1>{mark} "))
 
     folder = work_folder(spark, "pages")
     titled("Undated").withColumn("landed_at", F.lit(None).cast("string")).write.partitionBy("landed_at").parquet(folder)
