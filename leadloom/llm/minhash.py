@@ -237,7 +237,8 @@ def classes(docs: DataFrame, similar: int = SIMILAR) -> DataFrame:
     staged = Staged(docs.sparkSession, "minhash")
     rows, _ = staged.write(sketches(docs, similar))
     named = rows.where("doc_id is not null and same is not null")
-    alike = named.groupBy("same").agg(F.min("doc_id").alias("first"))
+    # written first: the join below can have a large group of copies split
+    alike, _ = staged.write(named.groupBy("same").agg(F.min("doc_id").alias("first")))
     # one row per set; a set's bands are the same in every copy
     firsts = named.groupBy("same").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
     members = firsts.select(F.explode("bands").alias("bucket"), "id", "n")
