@@ -27,6 +27,10 @@ def build_session(app: str = "leadloom", master: str | None = None, **conf: str)
     return builder.getOrCreate()
 
 
+#: Folders given out and not yet removed, by session.
+_given: dict[str, list[str]] = {}
+
+
 @cache
 def _local_base() -> str:
     return tempfile.mkdtemp(prefix="leadloom-")
@@ -43,7 +47,21 @@ def work_folder(spark: SparkSession, purpose: str) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
         base = _local_base()
-    return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+    _given.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def clear_work(spark: SparkSession) -> int:
+    """Remove all work folders this session was given; returns their number.
+
+    For the end of a job: frames made from staged results cannot be read any more.
+    """
+    paths = _given.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    return len(paths)
 
 
 def stage(df: DataFrame, purpose: str) -> DataFrame:

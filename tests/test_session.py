@@ -3,7 +3,7 @@ import os
 import pytest
 
 from leadloom import session
-from leadloom.session import stage, work_folder
+from leadloom.session import clear_work, stage, work_folder
 
 
 class _Conf:
@@ -18,7 +18,7 @@ class _Conf:
 class _Session:
     def __init__(self, master, folder=None):
         self.conf = _Conf(folder)
-        self.sparkContext = type("Context", (), {"master": master})()
+        self.sparkContext = type("Context", (), {"master": master, "applicationId": "fake"})()
 
 
 def test_the_shared_folder_is_used():
@@ -41,3 +41,13 @@ def test_stage_keeps_rows_and_schema(spark):
     staged = stage(df, "t")
     assert staged.schema == df.schema and sorted(r["a"] for r in staged.collect()) == [1, 2]
     assert "LocalTableScan" not in staged._jdf.queryExecution().executedPlan().toString()
+
+
+def test_work_folders_are_removed_at_the_end(spark, monkeypatch):
+    monkeypatch.setattr(session, "_given", {})
+    staged = stage(spark.range(3), "t")
+    [folder] = {os.path.dirname(f.removeprefix("file://")) for f in staged.inputFiles()}
+    never_written = work_folder(spark, "t")
+    assert os.path.isdir(folder) and not os.path.exists(never_written)
+    assert clear_work(spark) == 2 and not os.path.exists(folder)
+    assert clear_work(spark) == 0
