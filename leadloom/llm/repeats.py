@@ -39,6 +39,18 @@ _RANDOM = np.random.Generator(np.random.PCG64(3))
 _SEED_FACTORS, _WINDOW_FACTORS = (_RANDOM.integers(1, 2**63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1) for n in (SEED, WINDOW))
 
 
+def leftmost_least(values: np.ndarray, span: int) -> np.ndarray:
+    """How far behind each place the least of the next ``span`` values lies, the first of equal ones."""
+    at, least, reach = np.arange(values.size), values, 1
+    while reach < span:
+        step = min(reach, span - reach)
+        n = least.size - step
+        better = least[step:] < least[:n]
+        at, least = np.where(better, at[step:], at[:n]), np.where(better, least[step:], least[:n])
+        reach += step
+    return at - np.arange(at.size)
+
+
 class Cut:
     """The windows of some texts, each with its place and its anchor."""
 
@@ -53,7 +65,7 @@ class Cut:
         inside = np.flatnonzero(place[: windows.size] + WINDOW <= sizes[owner[: windows.size]]) if windows.size else np.empty(0, np.int64)
         span = WINDOW - SEED + 1
         if inside.size:
-            least = np.lib.stride_tricks.sliding_window_view(seeds, span).argmin(axis=1)
+            least = leftmost_least(seeds, span)
             at = inside + least[inside]
             self.anchor = seeds[at].view(np.int64)
             opens = np.flatnonzero(np.diff(at, prepend=-1) != 0)

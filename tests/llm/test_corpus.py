@@ -467,3 +467,11 @@ def test_centres_in_blocks_of_rows(monkeypatch):
     monkeypatch.setattr(vectors, "FIT_ROWS", 64)
     blocks = vectors.fit_rows(x, 20)
     assert np.allclose(whole.centres, blocks.centres) and np.array_equal(whole.nearest(x, 3), blocks.nearest(x, 3))
+
+
+def test_leftmost_least_of_each_span():
+    rng = np.random.default_rng(2)
+    for span in (1, 2, 5, 15):
+        values = rng.integers(0, 9, 400).astype(np.uint64)
+        want = np.lib.stride_tricks.sliding_window_view(values, span).argmin(axis=1)
+        assert np.array_equal(repeats.leftmost_least(values, span), want)
