@@ -63,7 +63,7 @@ PAD = bytes(48)
 #: A likelihood ratio that chance gives to about one window in 100,000.
 MIN_SURPLUS = 20.0
 STEEPNESS = 20.0
-CACHED_WINDOWS = 400_000
+CACHED_WINDOWS = 100_000
 
 
 @dataclass
