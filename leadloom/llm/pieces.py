@@ -308,7 +308,7 @@ def encode(df: DataFrame, vocabulary: Vocabulary, key: str = "doc_id", text: str
 
     def run(batches):
         encoder = Encoder(vocabulary)
-        for part in slices(batches, text):
+        for part in slices(batches, text, SLICE_BYTES // 2):
             ids, starts = encoder.encode([t or "" for t in part.column(text).to_pylist()])
             yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(ids))], [key, "ids"])
 
@@ -321,7 +321,7 @@ def decode(df: DataFrame, vocabulary: Vocabulary, key: str = "doc_id", ids: str
 
     def run(batches):
         decoder = Decoder(vocabulary)
-        for part in slices(batches, ids, SLICE_BYTES):
+        for part in slices(batches, ids, SLICE_BYTES // 2):
             lists = part.column(ids).fill_null([])
             starts = np.asarray(lists.offsets)
             texts = decoder.decode(np.asarray(lists.values)[starts[0] : starts[-1]], starts - starts[0])
