@@ -30,7 +30,8 @@ def source_select(spark, d):
     rows = counted.orderBy(F.regexp_extract("source", "[0-9]+", 0).cast("int")).collect()
     config = RunConfig(tuple(SourceConfig(r.source, "", {}, r.max_listings, r.enabled) for r in rows))
     chosen = select_sources(config)
-    return spark.createDataFrame([(s.source, s.max_listings) for s in chosen], "source string, max_listings bigint")
+    selected = spark.createDataFrame([(s.source, s.max_listings) for s in chosen], "source string, max_listings bigint")
+    return selected.select("source", F.regexp_extract("source", "[0-9]+", 0).cast("int").alias("source_rank"), "max_listings")
 
 
 def union_sources(spark, d):
@@ -228,7 +229,8 @@ def _listings(parts: int = ALL, orders: int = ALL) -> str:
 
 ORACLE = {
     "source_select": """
-        SELECT source, count(*)::BIGINT AS max_listings FROM documents GROUP BY source HAVING count(*) FILTER (WHERE lang = 'en') * 2 >= count(*)""",
+        SELECT source, CAST(regexp_extract(source, '[0-9]+') AS INTEGER) AS source_rank, count(*)::BIGINT AS max_listings
+        FROM documents GROUP BY source HAVING count(*) FILTER (WHERE lang = 'en') * 2 >= count(*)""",
     "union_sources": """
         SELECT c_custkey AS id, c_name AS title, c_acctbal AS amount, c_mktsegment AS company, 1 AS source_rank FROM customer
         UNION ALL SELECT s_suppkey, s_name, s_acctbal, NULL, 2 FROM supplier""",

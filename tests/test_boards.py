@@ -175,3 +175,12 @@ def test_repeated_landings_change_nothing(spark):
     once = {r["external_id"] for r in discover(_pages(spark), _config()).collect()}
     pages = _pages(spark)
     assert {r["external_id"] for r in discover(pages.unionByName(pages), _config()).collect()} == once
+
+
+def test_selected_sources_keep_their_rank(spark, tmp_path):
+    from leadloom.bindings.discovery import source_select
+
+    rows = [("s2", "en"), ("s10", "en"), ("s10", "de"), ("s3", "de")]
+    spark.createDataFrame(rows, "source string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = source_select(spark, str(tmp_path)).select("source", "source_rank", "max_listings").collect()
+    assert [tuple(r) for r in found] == [("s2", 2, 1), ("s10", 10, 2)]
