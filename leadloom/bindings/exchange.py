@@ -113,7 +113,7 @@ def _landed(spark, d):
     cut = F.when(F.pmod("no", F.lit(7)) == CUT_OFF, F.left("value", F.length("value") - 20)).otherwise(c("value"))
     folder = work_folder(spark, "batches")
     files.select(F.lpad(c("no").cast("string"), 9, "0").alias("batch"), cut.alias("value")).write.partitionBy("batch").text(folder)
-    return read_page_batches(spark, f"{folder}/*/*")
+    return read_page_batches(spark, folder)
 
 
 def _imported(spark, d):

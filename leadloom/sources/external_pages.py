@@ -19,7 +19,9 @@ def explode_batches(batches: DataFrame, order: str) -> DataFrame:
     ``error`` tells what could not be read: a batch without a list of pages is one
     row, and so is a list entry that is no page.
     """
-    rows = batches.select(F.col(order).alias("batch_no"), F.col("results").isNull().alias("__lost"), F.posexplode_outer("results").alias("pos", "page"))
+    # told before the list is taken apart: a list named behind that would be copied to each of its pages
+    told = batches.select(F.col(order).alias("batch_no"), F.col("results").isNull().alias("__lost"), "results")
+    rows = told.select("batch_no", "__lost", F.posexplode_outer("results").alias("pos", "page"))
     # an empty list is a batch without pages, not an error
     rows = rows.where(F.col("__lost") | F.col("pos").isNotNull())
     if dict(rows.dtypes)["page"] == "string":
@@ -33,13 +35,21 @@ def explode_batches(batches: DataFrame, order: str) -> DataFrame:
 
 
 def read_page_batches(spark: SparkSession, path: str) -> DataFrame:
-    """Pages of landed batch files; files are ordered by their path.
+    """Pages of landed batch files, in UTF-8, below ``path``; files are ordered by their path.
 
     A file that is no JSON, or was cut off, is one row with an ``error``; its
     pages are read one by one, so that a broken one does not take others with it.
+    A file may hold one batch or a list of them.
+
+    Files are read as texts and parsed from memory: for every page it takes as text
+    the JSON source goes through its file anew, so that its time grows with the
+    square of a file.
     """
-    batches = spark.read.schema("results array<string>").json(path, multiLine=True)
-    return explode_batches(batches.withColumn("__file", F.col("_metadata.file_path")), "__file")
+    files = spark.read.text(path, wholetext=True, recursiveFileLookup=True)
+    whole = files.select(F.col("_metadata.file_path").alias("__file"), F.regexp_replace("value", "\\A\ufeff", "").alias("value"))
+    read = whole.select("__file", F.from_json("value", "array<struct<results:array<string>>>").alias("batches"))
+    batches = read.where(F.coalesce(F.size("batches") != 0, F.lit(True))).select("__file", F.explode_outer("batches").alias("batch"))
+    return explode_batches(batches.select("__file", "batch.results"), "__file")
 
 
 def read_catalog(spark: SparkSession, path: str) -> DataFrame:

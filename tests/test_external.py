@@ -1,6 +1,8 @@
 import json
+import time
 
 import pytest
+from pyspark.sql import functions as F
 
 from leadloom.operators import external as X
 from leadloom.operators import state as S
@@ -217,6 +219,23 @@ def test_unreadable_batches_fail_and_the_rest_is_imported(spark, tmp_path):
     assert errors[-1].startswith("zz.json#0: ")
 
 
+def test_a_file_of_many_pages_is_read_in_time_of_its_size(spark, tmp_path):
+    pages = landed(spark, tmp_path, [page(i, f"justjoinit:/{i}") for i in range(12_000)])
+    start = time.perf_counter()
+    assert pages.where("error is null").agg(F.countDistinct("pos"), F.countDistinct("id")).first() == (12_000, 12_000)
+    assert time.perf_counter() - start < 30
+    # no page carries the list of all pages of its batch
+    assert "Generate posexplode(results" in (plan := pages._jdf.queryExecution().toString())
+    assert all("results" not in line.split(", [", 1)[1] for line in plan.splitlines() if "Generate posexplode(results" in line)
+
+
+def test_a_file_may_hold_a_list_of_batches(spark, tmp_path):
+    for name, text in (("a", '\ufeff[{"results": [{"id": "p"}]}, {"results": [{"id": "q"}]}]'), ("b", "[]"), ("c", "[{")):
+        (tmp_path / f"{name}.json").write_text(text)
+    rows = read_page_batches(spark, str(tmp_path)).orderBy("batch_no", "id").collect()
+    assert [(r["id"], r["pos"], r["error"]) for r in rows] == [("p", 0, None), ("q", 0, None), (None, 0, "batch is not readable")]
+
+
 def test_index_takes_first_page_and_text_before_date(spark, tmp_path):
     pages = landed(spark, tmp_path, [
         page(1, "k", Updated_At={"rich_text": [{"plain_text": "t"}], "date": {"start": "d"}}), page(2, "k"),
