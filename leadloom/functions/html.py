@@ -94,12 +94,6 @@ def attribute(tag: Column, name: str) -> Column:
     return filled(decode_entities(F.regexp_replace(raw, r"""\A["']|["']\z""", "")))
 
 
-def first_image_alt(html: Column) -> Column:
-    """``alt`` text of the first image that carries the attribute."""
-    image = F.regexp_extract(html, r"(?is)(<img\s(?:[^>]*?\s)?alt\b[^>]*>)", 1)
-    return clean_text(attribute(image, "alt"))
-
-
 _TAG = "<[^<>]*>"
 _TAG_NAME = "<(/?[A-Za-z][A-Za-z0-9-]*/?)?[^<>]*>"
 _CLOSED_TAG = "<([A-Za-z][A-Za-z0-9-]*)([^<>]*)/>"

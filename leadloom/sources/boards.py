@@ -2,27 +2,24 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import re
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leadloom.functions import html as H
+from leadloom.functions import markup as M
 from leadloom.functions import urls as U
-from leadloom.functions.let import bind, built_once, let
-from leadloom.functions.text import (
-    has_amount,
-    has_currency,
-    is_label,
-    is_undisclosed,
-    plain_dashes,
-    strip_more_places,
-    strip_new_mark,
-)
+from leadloom.functions.let import bind, let
+from leadloom.functions.text import has_currency, is_label, is_undisclosed
 from leadloom.schemas import RunConfig, SourceConfig
 
 FIELDS = ["title", "company", "salary_text", "location"]
+#: Markup that a task holds as Python texts at a time.
+SLICE_BYTES = 4 << 20
 
 
 def cards(pages: DataFrame, wanted: Callable[[Column], Column], html: str = "html") -> DataFrame:
@@ -36,11 +33,6 @@ def cards(pages: DataFrame, wanted: Callable[[Column], Column], html: str = "htm
     )
 
 
-def flat_fields(toks: Column, card: Column | None = None) -> Column:
-    """Read title, company and place by order among a card's leaf texts."""
-    return ordered_fields(H.leaf_texts(toks))
-
-
 def ordered_fields(leaves: Column) -> Column:
     """Title, company and place are the first three texts that are neither label nor salary.
 
@@ -78,52 +70,6 @@ def _struct(title: Column, company: Column, salary: Column, place: Column) -> Co
     return F.struct(title.alias("title"), company.alias("company"), salary.alias("salary_text"), place.alias("location"))
 
 
-def headed_fields(toks: Column, card: Column) -> Column:
-    """Read fields by tag: title ``h3``, company ``h4``, place the box behind it.
-
-    The salary is the text of the first box that reads as an amount.
-    """
-
-    def salary(t: Column) -> Column:
-        boxes = F.filter(
-            F.transform(t["names"], lambda name, i: F.when(name.isin("div", "span"), i + 1)),
-            lambda p: p.isNotNull(),
-        )
-        amounts = F.filter(F.transform(boxes, lambda p: H.element_text(t, p)), has_amount)
-        # cards without the currency anywhere have no such box
-        return F.when(F.contains(card, F.lit("PLN")), plain_dashes(F.get(amounts, F.lit(0))))
-
-    def fields(t: Column) -> Column:
-        title = strip_new_mark(H.element_text(t, H.find_open(t, "h3")))
-
-        def behind(h4: Column) -> Column:
-            place = H.element_text(t, H.later_sibling(t, h4, ["div", "span"]))
-            return _struct(title, H.element_text(t, h4), salary(t), strip_more_places(place))
-
-        return let(H.find_open(t, "h4"), behind)
-
-    return let(H.tree(toks), fields)
-
-
-def block_fields(toks: Column, card: Column) -> Column:
-    """Read fields by block: title ``h3``, company the logo's name or the first
-    box of the title's block, place the first box of the block behind it."""
-
-    def first_box(t: Column, inside: Column) -> Column:
-        return let(H.find_open(t, "div", inside), lambda b: F.when(b < H.close_of(t, inside), b))
-
-    def fields(t: Column, h3: Column, block: Column) -> Column:
-        box = F.when(block.isNull(), H.find_open(t, "div")).otherwise(first_box(t, block))
-        company = F.coalesce(H.first_image_alt(card), F.when(h3.isNotNull(), H.element_text(t, box)))
-        place = let(H.later_sibling(t, block), lambda side: H.element_text(t, first_box(t, side)))
-        return _struct(H.element_text(t, h3), company, F.lit(None).cast("string"), place)
-
-    return let(
-        H.tree(toks),
-        lambda t: let(H.find_open(t, "h3"), lambda h3: let(H.parent_of(t, h3), lambda block: fields(t, h3, block))),
-    )
-
-
 def with_ordered_fields(df: DataFrame, leaves: str = "leaves") -> DataFrame:
     """Add the fields read by order from a column of leaf texts."""
     return bind(df, F.col(leaves), ordered_fields)
@@ -134,57 +80,69 @@ class Cards:
     """How the cards of a board are told and read.
 
     ``wanted`` tells a card by its ``href``, and ``path``, where given, by the
-    path of its resolved address.  ``fields`` reads the fields from the tokens
-    and the markup of a card.  ``absolute`` keeps absolute addresses as they are.
+    path of its resolved address.  ``fields`` reads the fields from a card.
+    ``absolute`` keeps absolute addresses as they are.
     """
 
-    wanted: Callable[[Column], Column]
-    fields: Callable[[Column, Column], Column]
+    wanted: Callable[[str], bool]
+    fields: Callable[[M.Card], M.Fields]
     path: str | None = None
     absolute: bool = False
 
+    def listings(self, html: str, base_url: str) -> list[tuple]:
+        """Place, ``href``, address, path and fields of the cards of a page."""
+        out = []
+        for pos, card, href in M.anchors(html):
+            if href is None or not self.wanted(href):
+                continue
+            if self.absolute and href.startswith(("http://", "https://")):
+                url = href
+            else:
+                url = M.resolved(href, base_url)
+            path = M.pathname(url)
+            if self.path is None or re.search(self.path, path):
+                out.append((pos, href, url, path, *self.fields(M.Card(card))))
+        return out
 
-FLAT = Cards(lambda href: F.contains(href, F.lit("/job-offer/")), flat_fields, absolute=True)
-HEADED = Cards(lambda href: href.startswith("/pl/job/"), headed_fields)
-BLOCKS = Cards(lambda href: F.contains(href, F.lit("/companies/jobs/")), block_fields, r"\A/companies/jobs/[0-9]")
-
-
-Readers = tuple[tuple[str, Cards], ...]
 
-
-def _of_source(readers: Readers, value: Callable[[Cards], Column | None], otherwise: Column) -> Column:
-    """The value of the row's own board; only that one is computed for a row."""
-    out = otherwise
-    for source, reader in readers:
-        mine = value(reader)
-        if mine is not None:
-            out = F.when(F.col("source") == source, mine).otherwise(out)
-    return out
+FLAT = Cards(lambda href: "/job-offer/" in href, M.flat_fields, absolute=True)
+HEADED = Cards(lambda href: href.startswith("/pl/job/"), M.headed_fields)
+BLOCKS = Cards(lambda href: "/companies/jobs/" in href, M.block_fields, r"\A/companies/jobs/[0-9]")
 
 
 def read_cards(pages: DataFrame, readers: dict[str, Cards]) -> DataFrame:
     """Listings of the pages of several boards, from one scan over their markup.
 
     ``pages`` carry ``source`` and ``base_url``.  Columns beyond those of a page
-    (``last``, ``landed_at``) stay with the listings.
+    (``last``, ``landed_at``) stay with the listings.  Cards are cut and read in the
+    task that scans their page; only what a listing holds leaves it.
     """
-    readers = tuple(readers.items())
-    found = cards(pages, lambda href: _of_source(readers, lambda r: r.wanted(href), F.lit(False)))
-    absolute = _of_source(readers, lambda r: F.lit(True) if r.absolute else None, F.lit(False))
-    placed = with_address(found.withColumn("__absolute", absolute), F.col("__absolute")).drop("__absolute")
-    placed = placed.where(_of_source(readers, lambda r: F.col("path").rlike(r.path) if r.path else None, F.lit(True)))
-    read = placed.select(*(c for c in placed.columns if c != "card"), F.inline(_card_fields(readers)))
-    return to_listings(read)
-
-
-@built_once
-def _card_fields(readers: Readers) -> Column:
-    """The fields of a row's ``card``, as an array of one struct."""
-    card = F.col("card")
-    none = F.lit(None).cast("struct<title:string,company:string,salary_text:string,location:string>")
-    return F.transform(
-        F.array(H.tokens(H.inner(card))), lambda t: _of_source(readers, lambda r: r.fields(t, card), none)
-    )
+    kept = [c for c in pages.columns if c not in ("html", "url")]
+    new = [F.lit(None).cast("int").alias("pos"), *(F.lit(None).cast("string").alias(c) for c in ("href", "url", "path", *FIELDS))]
+    schema = pages.select(*kept, *new).schema
+    names = schema.names[len(kept) :]
+
+    def run(batches):
+        for batch in batches:
+            for part in _slices(batch):
+                at, rows = [], []
+                pages_of = zip(*(part.column(c).to_pylist() for c in ("source", "base_url", "html")), strict=True)
+                for i, (source, base, html) in enumerate(pages_of):
+                    if html is not None and source in readers:
+                        found = readers[source].listings(html, base)
+                        rows += found
+                        at += [i] * len(found)
+                same = part.select(kept).take(pa.array(at, pa.int64()))
+                columns = [pa.array([r[k] for r in rows], pa.int32() if name == "pos" else pa.string()) for k, name in enumerate(names)]
+                yield pa.RecordBatch.from_arrays([*same.columns, *columns], [*kept, *names])
+
+    return to_listings(pages.mapInArrow(run, schema))
+
+
+def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Parts of about ``SLICE_BYTES`` of markup, one page at least."""
+    step = max(1, batch.num_rows * SLICE_BYTES // max(1, batch.column("html").nbytes))
+    return (batch.slice(at, step) for at in range(0, batch.num_rows, step))
 
 
 def with_address(df: DataFrame, keep_absolute: Column | None = None) -> DataFrame:

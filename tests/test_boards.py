@@ -4,6 +4,10 @@ import pytest
 from boards_data import PAGES as ROWS
 from pyspark.sql import functions as F
 
+from leadloom.functions import html as H
+from leadloom.functions import markup as M
+from leadloom.functions import urls as U
+from leadloom.functions.let import bind, let
 from leadloom.plans.discover import discover, newest_landings, parse_pages
 from leadloom.schemas import PAGES, RunConfig, default_config
 from leadloom.sources import boards as B
@@ -184,3 +188,36 @@ def test_selected_sources_keep_their_rank(spark, tmp_path):
     spark.createDataFrame(rows, "source string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
     found = source_select(spark, str(tmp_path)).select("source", "source_rank", "max_listings").collect()
     assert [tuple(r) for r in found] == [("s2", 2, 1), ("s10", 10, 2)]
+
+
+def test_cards_are_read_in_one_python_step(spark):
+    pages = _pages(spark).withColumn("base_url", F.lit("https://x.example"))
+    plan = B.read_cards(pages, {"bulldogjob": B.BLOCKS})._jdf.queryExecution().toString()
+    physical = plan[plan.index("== Physical Plan ==") :]
+    assert physical.count("MapInArrow") == 1 and "lambdafunction" not in physical
+
+
+def test_card_reader_agrees_with_the_column_functions(spark):
+    cards = (
+        "<a href=' /b/../é x?q=1#f'><div><p>one<p>two<b>&#x142;&amp;lt;</div></i><h3>T\ufeff\u00a0 t</h3><br/><span/></a>",
+        "<a HREF=//H.Ex/p&#65279;><ul><li>a<li>b</ul></section><svg><path d='m'/></svg><!x><div><i>1</i>c</div></a>",
+        "<a href='HTTP://ABC.ex'>bare</a>", "<a href='?z'><div></a>",
+    )
+    href = H.attribute(F.col("card"), "href")
+    url = U.resolve(href, F.lit("https://s.example/f/g?h#i"))
+    fields = bind(
+        spark.createDataFrame([(i, c) for i, c in enumerate(cards)], "i int, card string"),
+        let(H.tokens(H.inner(F.col("card"))), H.tree),
+        lambda t: F.struct(
+            t["names"].alias("names"), H.element_text(t, F.lit(1)).alias("text"), H.close_of(t, H.find_open(t, "div")).alias("close"),
+            F.transform(H.leaf_texts(t), lambda x: x["text"]).alias("leaves"), url.alias("url"), U.pathname(url).alias("path"),
+        ),
+    )
+    for row in fields.orderBy("i").collect():
+        card, div = M.Card(row["card"]), M.Card(row["card"]).find("div")
+        mine = M.resolved(M.attribute(row["card"], M._HREF), "https://s.example/f/g?h#i")
+        assert card.names == row["names"]
+        assert (card.text(1) if card.names else None) == row["text"]
+        assert (div and card.close(div)) == row["close"]
+        assert card.leaves() == row["leaves"]
+        assert (mine, M.pathname(mine)) == (row["url"], row["path"])
