@@ -37,6 +37,7 @@ from pyspark.sql import functions as F
 
 from leadloom.llm.components import components
 from leadloom.llm.shared import Staged, in_arrow, pack, slices, take, unpacked
+from leadloom.operators.keys import key_filter
 
 SHINGLE = 5
 BINS = 192
@@ -246,8 +247,10 @@ def classes(docs: DataFrame, similar: int = SIMILAR) -> DataFrame:
     members = members.join(staged.write(sizes)[0], "bucket")
     shared = members.groupBy("id").agg(F.sum("size").alias("shared"))
     members, _ = staged.write(members.select("bucket", "id", "n").join(shared, "id"))
-    wanted = members.select(F.col("id").alias("doc_id")).distinct()
-    sets, _ = staged.write(sets_of(pack(docs).join(wanted, "doc_id", "left_semi")).dropDuplicates(["id"]))
+    wanted, _ = staged.write(members.select(F.col("id").alias("doc_id")).distinct())
+    # most texts share no bucket: they are left out where they are scanned, before any are moved
+    asked = docs.where(key_filter(wanted, ["doc_id"])(F.col("doc_id")))
+    sets, _ = staged.write(sets_of(pack(asked).join(wanted, "doc_id", "left_semi")).dropDuplicates(["id"]))
     labels = links(members, sets, staged, similar)
     result = rows.select("doc_id", "n_shingles", "same").join(alike, "same", "left")
     if labels is None:

@@ -475,3 +475,14 @@ def test_leftmost_least_of_each_span():
         values = rng.integers(0, 9, 400).astype(np.uint64)
         want = np.lib.stride_tricks.sliding_window_view(values, span).argmin(axis=1)
         assert np.array_equal(repeats.leftmost_least(values, span), want)
+
+
+def test_only_texts_that_share_a_bucket_are_moved(spark, monkeypatch):
+    rng = random.Random(31)
+    texts = [prose(rng, 60) for _ in range(300)]
+    docs = table(spark, [(i, t, "en", "s") for i, t in enumerate([*texts, texts[7] + " end"])])
+    packed, pack = [], minhash.pack
+    monkeypatch.setattr(minhash, "pack", lambda df: packed.append({r.doc_id for r in df.collect()}) or pack(df))
+    linked = {r.doc_id: r.component_id for r in minhash.classes(docs).collect()}
+    assert linked[300] == linked[7] == 7 and sum(i != c for i, c in linked.items()) == 1
+    assert len(packed) == 1 and {7, 300} <= packed[0] and len(packed[0]) < 30
