@@ -10,15 +10,16 @@ identifiers and words.  A string that hardly compresses there is reported as
 ``novel``.  What counts as hardly is set on the ordinary strings, long lower-case
 ones that are not measured as candidates, of all texts.
 
-Only the dictionary is trained on a bounded sample (``SAMPLE_ROWS`` windows of
-``SAMPLE_CHARS`` characters, chosen by a hash of the id); every text is scanned as
-a whole, and so are the ordinary strings.  Null texts have no spans.  Repeated rows are scanned one by one.
+The dictionary holds the words that stand in most texts, counted over all whole
+texts; ordinary strings are measured in all whole texts too.  Null texts have no
+spans.  Repeated rows are scanned one by one.
 Offsets are code points, ends are exclusive.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from dataclasses import dataclass
 
@@ -27,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leadloom.llm.shared import in_arrow, sample, slices, take, uniform
+from leadloom.llm.shared import in_arrow, slices, take
 
 # The base patterns, in the order of their kinds, and their least lengths.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -43,7 +44,12 @@ ORDINARY = re.compile(r"[a-z_]{16,}")
 BETWEEN = re.compile(r"""[\s"'\\,;]{0,16}""")
 CONTEXT, AROUND = 256, 256
 DICTIONARY_BYTES = 16384
-SAMPLE_ROWS, SAMPLE_CHARS = 1000, 4096
+#: Characters of a word of the dictionary, and texts it stands in at least.
+DICTIONARY_WORD, DICTIONARY_TEXTS = (4, 128), 2
+#: Words that a task counts before it hands their counts on.
+COUNTED_WORDS = 100_000
+#: Words whose counts go to the driver, words of the texts drawn from them, and of one of these.
+COUNTS_KEPT, DRAWN_WORDS, SAMPLE_WORDS = 20_000, 400_000, 500
 LEAST_NOVELTY, ORDINARY_QUANTILE = 0.6, 0.999
 #: Steps of novelty a unit in the histogram of ordinary strings.
 STEPS = 1000
@@ -136,14 +142,51 @@ def ordinary(text: str) -> list[tuple[int, int]]:
     return found
 
 
-def trained(texts: list[str]) -> bytes:
-    samples = [t.encode() for t in texts if t] + [IDENTIFIERS.encode()] * 8
+def word_counts(docs: DataFrame) -> DataFrame:
+    """``word`` and in how many whole texts it stands, ``n``."""
+    least, most = DICTIONARY_WORD
+
+    def run(batches):
+        times = Counter()
+
+        def flush():
+            columns = [pa.array(times.keys(), pa.string()), pa.array(times.values(), pa.int64())]
+            times.clear()
+            return pa.RecordBatch.from_arrays(columns, ["word", "n"])
+
+        for part in slices(batches, "text"):
+            for t in part.column("text").to_pylist():
+                times.update(w for w in set(t.split()) if least <= len(w) <= most)
+                if len(times) >= COUNTED_WORDS:
+                    yield flush()
+        yield flush()
+
+    return in_arrow(take(docs, "text").where("text is not null"), run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def trained(counts: list[tuple[str, int]]) -> bytes:
+    """A dictionary of texts in which each word comes as often, in proportion, as in the corpus, once at least.
+
+    The trainer gives it the statistics of single letters too, without which short
+    strings are stored as they are.
+    """
+    total = max(1, sum(n for _, n in counts))
+    drawn = [(zlib.crc32(f"{k} {w}".encode()), w) for w, n in counts for k in range(max(1, DRAWN_WORDS * n // total))]
+    drawn = [w for _, w in sorted(drawn)]
+    samples = [" ".join(drawn[k : k + SAMPLE_WORDS]).encode() for k in range(0, len(drawn), SAMPLE_WORDS)] + [IDENTIFIERS.encode()] * 8
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, samples, k=128, d=8).as_bytes()
     except zstandard.ZstdError:
         return b" ".join(samples)[-DICTIONARY_BYTES:]
 
 
+def dictionary(docs: DataFrame) -> bytes:
+    """Trained on the identifiers and words that stand in most texts."""
+    words = word_counts(docs).where(F.col("n") >= DICTIONARY_TEXTS)
+    often = words.orderBy(F.desc(F.col("n") * F.length("word")), "word").limit(COUNTS_KEPT)
+    return trained([(r.word, r.n) for r in often.collect()])
+
+
 def novelties(docs: DataFrame, dictionary: bytes) -> DataFrame:
     """``step`` and ``n``: how many ordinary strings of all whole texts have a novelty of so many ``STEPS``."""
 
@@ -169,10 +212,8 @@ def threshold(steps: list[tuple[int, int]]) -> float:
 
 
 def fit(docs: DataFrame) -> Model:
-    at = (uniform(F.lit("at"), F.col("doc_id").cast("string")) * F.greatest(F.lit(0), F.length("text") - SAMPLE_CHARS)).cast("int") + 1
-    picked = sample(take(docs, "doc_id", "text").where("text is not null and doc_id is not null"), "doc_id", SAMPLE_ROWS)
-    dictionary = trained([r.w for r in picked.select(F.substring("text", at, F.lit(SAMPLE_CHARS)).alias("w")).collect()])
-    return Model(dictionary, threshold([(r.step, r.n) for r in novelties(docs, dictionary).collect()]))
+    primed = dictionary(docs)
+    return Model(primed, threshold([(r.step, r.n) for r in novelties(docs, primed).collect()]))
 
 
 def find(docs: DataFrame, model: Model) -> DataFrame:

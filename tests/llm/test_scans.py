@@ -92,6 +92,16 @@ def test_base_spans_by_hand(spark):
         assert [int(s.split(":")[1]) for s in spans] == sorted(int(s.split(":")[1]) for s in spans)
 
 
+def test_the_dictionary_comes_from_whole_texts(spark):
+    """Wherever a word stands in long texts, it is counted."""
+    rng = random.Random(11)
+    fill = lambda: " ".join("".join(rng.choices(string.ascii_lowercase, k=7)) for _ in range(4000))
+    texts = [f"{fill()} quantum_flux_capacitor {fill()}" for _ in range(6)]
+    docs = spark.createDataFrame([*enumerate(texts), (99, None)], "doc_id long, text string")
+    assert {(r.word, r.n) for r in secrets.word_counts(docs).where("n > 5").collect()} == {("quantum_flux_capacitor", 6)}
+    assert b"quantum_flux_capacitor" in secrets.fit(docs).dictionary
+
+
 def rule_by_hand(url):
     if url is None or "://" not in url:
         return "", "", None, None

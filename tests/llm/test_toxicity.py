@@ -90,3 +90,32 @@ def test_labels_of_held_out_texts_are_not_learnt(spark):
     assert {i: r.score for i, r in one.items()} == {i: r.score for i, r in two.items()}
     unseen = [(texts[i][1], r.predicted) for i, r in one.items() if r.held_out]
     assert sum(a == b for a, b in unseen) / len(unseen) > 0.97
+
+
+def test_every_whole_labelled_text_is_learnt_from(spark):
+    """Texts beyond 10,000 characters count like others."""
+    rng = random.Random(7)
+    base = ["".join(rng.choices(SYLLABLES, k=3)) for _ in range(3000)]
+    texts = []
+    for i in range(240):
+        words = rng.choices(base, k=2000)
+        texts.append(" ".join([*words[:1500], "slime", *words[1500:]] if i % 4 == 0 else words))
+    assert min(map(len, texts)) > 10_000
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 0, int(i % 4 == 0)) for i in range(240)], "doc_id long, quality int, toxic int")
+    assert all(r.predicted == int(r.doc_id % 4 == 0) for r in toxicity.classify(docs, labels).collect())
+    assert toxicity.fit(docs, labels) == toxicity.fit(docs.repartition(5), labels.repartition(3))
+
+
+def test_counts_of_all_texts_are_those_in_memory(spark):
+    """The tasks' counts give the windows and dictionaries that the same texts give in one process."""
+    texts = corpus(8, lambda rng, base: [["slime"], rng.sample(base, 3)], 500)
+    staged = toxicity.Staged(spark, "test")
+    rows = {label: [(i % 2, " ".join(toxicity.words_of(t))) for i, (t, y) in enumerate(texts) if y == label] for label in (1, 0)}
+    made = toxicity._tallies({label: spark.createDataFrame(x, "half int, words string") for label, x in rows.items()}, staged)
+    for half, tally in zip((0, 1, None), made, strict=True):
+        toxic, ordinary = ([words.split(" ") for h, words in rows[label] if half in (h, None)] for label in (1, 0))
+        want = toxicity._tally(toxic, ordinary)
+        assert tally.texts == want.texts and tally.words == want.words
+        assert tally.windows == {w: want.windows.get(w, (0, 0, tally.windows[w][2])) for w in tally.windows}
+        assert tally.telling() == want.telling() != set() and tally.dictionaries() == want.dictionaries()
