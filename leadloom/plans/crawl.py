@@ -34,10 +34,14 @@ def crawl_table(spark: SparkSession, path: str, buckets: int | None = None) -> S
 
 
 def page_rows(pages: DataFrame, config: RunConfig, batch: str, boards: dict[str, Board] = BOARDS) -> DataFrame:
-    """The visited pages of a batch as rows of the crawl table."""
+    """The visited pages of a batch as rows of the crawl table.
+
+    A batch is few files, often of one row group each, and markup packs so well that a
+    scan of them has hardly more tasks; pages are dealt before their cards are read.
+    """
     chosen = select_sources(config)
     newest = stage(newest_landings(pages, chosen, boards), "landings")
-    rows = parse_pages(pages, newest, chosen, boards)
+    rows = parse_pages(pages, newest, chosen, boards, deal=True)
     names = [name for name, _ in _CARD]
     cards = rows.groupBy("source", "page_no").agg(
         F.array_sort(F.collect_list(F.struct(F.col("pos").cast("int").alias("pos"), *names))).alias("cards"), F.max("last").alias("last")

@@ -42,13 +42,15 @@ def newest_landings(pages: DataFrame, chosen: list[SourceConfig], boards: dict[s
 
 
 def parse_pages(
-    pages: DataFrame, newest: DataFrame, chosen: list[SourceConfig], boards: dict[str, Board] = BOARDS
+    pages: DataFrame, newest: DataFrame, chosen: list[SourceConfig], boards: dict[str, Board] = BOARDS, deal: bool = False
 ) -> DataFrame:
     """Listings of the last landing of all visited pages, repeats on a page collapsed.
 
     The boards share one scan over the markup.  Older landings are dropped there
     by partition and by key; what the key filter lets through wrongly is dropped
-    after its cards are read, so that markup is never shuffled.
+    after its cards are read, so that markup is not shuffled.  With ``deal`` the
+    wanted markup is shuffled once instead, for pages that lie in few files: cards
+    are then read by as many tasks as other work has.
     """
     is_newest = key_filter(newest, ["source", "page_no", "landed_at"])
     markup = visited(pages, chosen, boards).where(landed_in(newest)).where(is_newest(F.col("source"), F.col("page_no"), F.col("landed_at")))
@@ -58,6 +60,9 @@ def parse_pages(
         if more:
             last = F.when(F.col("source") == config.source, ~F.col("html").rlike(more)).otherwise(last)
     markup = markup.select("source", "page_no", "url", "html", "base_url", "landed_at", "source_rank", last.alias("last"))
+    if deal:
+        tasks = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        markup = markup.repartition(tasks, "source", "page_no")
     readers = {c.source: boards[c.source].read for c in chosen}
     shared = {s: r for s, r in readers.items() if isinstance(r, Cards)}
     parts = [read_cards(markup.where(F.col("source").isin(list(shared))), shared)] if shared else []

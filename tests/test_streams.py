@@ -3,12 +3,15 @@ from dataclasses import replace
 import pytest
 from boards_data import BLOCK_1, BLOCK_2, BLOCK_URL
 from boards_data import PAGES as ROWS
+from pyspark import TaskContext
+from pyspark.sql import functions as F
 
 from leadloom.operators.scoring import lexical_scorer
 from leadloom.operators.state import latest_status
 from leadloom.plans.crawl import check_crawl, crawl_table, crawled, newer_pages, page_rows
 from leadloom.schemas import OFFERS, PAGES, default_config
 from leadloom.session import work_folder
+from leadloom.sources.boards import BOARDS
 from leadloom.sources.state_table import StateTable
 from leadloom.streaming import ingest
 
@@ -125,6 +128,31 @@ def test_a_crawl_in_pieces_equals_one_batch(spark, tmp_path):
     assert crawl_of("pieces", [rows[2:4] + rows[5:7], rows[7:], rows[4:5] + rows[:1], rows[1:2]], 1) == whole
 
 
+def test_pages_of_one_file_are_read_by_several_tasks(spark, tmp_path):
+    base = default_config()
+    config = replace(base, sources=tuple(s for s in base.sources if s.source == "bulldogjob"))
+    landed = spark.range(1, 41).select(
+        F.lit("bulldogjob").alias("source"), F.col("id").cast("int").alias("page_no"),
+        BOARDS["bulldogjob"].search_url(config.sources[0], F.col("id").cast("int")).alias("url"),
+        F.concat(F.lit("<a href='/companies/jobs/"), "id", F.lit("-x'><div><h3>T</h3><div>C</div></div></a>")).alias("html"),
+        F.lit(None).cast("string").alias("landed_at"),
+    )
+    landed.coalesce(1).write.parquet(f"{tmp_path}/landed")
+    tasks = tmp_path / "tasks"
+    tasks.mkdir()
+    fields = BOARDS["bulldogjob"].read.fields
+
+    def noted(card):
+        (tasks / str(TaskContext.get().taskAttemptId())).touch()
+        return fields(card)
+
+    boards = BOARDS | {"bulldogjob": replace(BOARDS["bulldogjob"], read=replace(BOARDS["bulldogjob"].read, fields=noted))}
+    config = replace(config, sources=(replace(config.sources[0], max_listings=100),))
+    rows = page_rows(spark.read.schema(PAGES).parquet(f"{tmp_path}/landed"), config, "b0", boards).collect()
+    assert len(rows) == 40 and all(len(r["cards"]) == 1 for r in rows)
+    assert len(list(tasks.iterdir())) > 1
+
+
 def test_missing_pages_are_named_at_the_end(spark):
     config = default_config()
     crawl = crawl_table(spark, work_folder(spark, "crawl"))
