@@ -47,6 +47,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leadloom.llm.shared import Staged, in_arrow, slices, take
+from leadloom.operators.keys import key_filter
 
 #: Toxic and ordinary texts that counts are given per, where there are more.
 PER_TEXTS = {1: 1000, 0: 3000}
@@ -347,26 +348,30 @@ def _labelled(docs: DataFrame, labels: DataFrame, staged: Staged) -> dict[int, D
     Of near copies the one with the least digest stays, as the first of all its keys.
     """
     marks = take(labels, "doc_id", "toxic").dropna().where(~held_out()).where("toxic in (0, 1)")
-    marks = marks.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    texts = take(docs, "doc_id", "text").where(~held_out() & F.col("text").isNotNull()).join(marks, "doc_id")
+    marks, _ = staged.write(marks.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")))
+    # texts are not moved to their labels: most have none, and are left out where they are scanned
+    wanted = key_filter(marks.select(F.col("doc_id").cast("string")), ["doc_id"])
+    texts = take(docs, "doc_id", "text").where(~held_out() & F.col("text").isNotNull()).where(wanted(F.col("doc_id").cast("string")))
+    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, digest string, words string, keys array<string>"
 
     def run(batches):
         for part in slices(batches, "text"):
             words = [words_of(t) for t in part.column("text").to_pylist()]
             keys = [[" ".join(map(str, k)) for k in copy_keys(w)] for w in words]
-            columns = [part.column("toxic"), part.column("digest"), pa.array([" ".join(w) for w in words]), pa.array(keys, pa.list_(pa.string()))]
-            yield pa.RecordBatch.from_arrays(columns, ["toxic", "digest", "words", "keys"])
+            columns = [part.column("doc_id"), part.column("digest"), pa.array([" ".join(w) for w in words]), pa.array(keys, pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "digest", "words", "keys"])
 
-    cut = in_arrow(texts.select("toxic", F.md5("text").alias("digest"), "text"), run, "toxic int, digest string, words string, keys array<string>")
+    cut = in_arrow(texts.select("doc_id", F.md5("text").alias("digest"), "text"), run, schema)
     rows, path = staged.write(cut.withColumn("row", F.monotonically_increasing_id()))
-    firsts = rows.select("digest", F.explode("keys").alias("key")).groupBy("key").agg(F.min("digest").alias("digest"))
+    named, _ = staged.write(rows.drop("words").join(marks, "doc_id").drop("doc_id"))
+    firsts = named.select("digest", F.explode("keys").alias("key")).groupBy("key").agg(F.min("digest").alias("digest"))
     firsts = firsts.groupBy("digest").agg(F.count("*").alias("first_of"))
-    each = rows.groupBy("digest").agg(F.max("toxic").alias("label"), F.min("row").alias("row"), F.max(F.size("keys")).alias("n_keys"))
+    each = named.groupBy("digest").agg(F.max("toxic").alias("label"), F.min("row").alias("row"), F.max(F.size("keys")).alias("n_keys"))
     kept = each.join(firsts, "digest").where("first_of = n_keys").select("row", "label", (F.crc32("digest") % 2).cast("int").alias("half"))
     kept = rows.select("row", "words").join(kept, "row").select("label", "half", "words")
     both, first = staged.write(kept)
-    out = {label: staged.write(both.where(F.col("label") == label).select("half", "words"))[0] for label in (1, 0)}
     staged.drop(path)
+    out = {label: staged.write(both.where(F.col("label") == label).select("half", "words"))[0] for label in (1, 0)}
     staged.drop(first)
     return out
 

@@ -119,3 +119,35 @@ def test_counts_of_all_texts_are_those_in_memory(spark):
         assert tally.texts == want.texts and tally.words == want.words
         assert tally.windows == {w: want.windows.get(w, (0, 0, tally.windows[w][2])) for w in tally.windows}
         assert tally.telling() == want.telling() != set() and tally.dictionaries() == want.dictionaries()
+
+
+def test_whole_texts_are_not_moved_to_their_labels(spark, monkeypatch):
+    """Whole texts leave the task that scans them only if they are labelled, cut into words; the rows are those of a join."""
+    texts = corpus(9, lambda rng, base: [["slime"]], 300)
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(texts)] + [(300, texts[0][0]), (301, texts[1][0])], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 0, texts[i][1]) for i in range(0, 300, 2)] + [(0, 0, 1), (301, 0, None)], "doc_id int, quality int, toxic int")
+    moved = []
+
+    class Noted(toxicity.Staged):
+        def write(self, df):
+            todo = [df._jdf.queryExecution().executedPlan()]
+            while todo:
+                node = todo.pop()
+                if "Exchange" in node.nodeName():
+                    moved.append([node.output().apply(i).name() for i in range(node.output().size())])
+                todo += [node.children().apply(i) for i in range(node.children().size())]
+            return super().write(df)
+
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = toxicity._labelled(docs, labels, Noted(spark, "test"))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert moved and not any("text" in names for names in moved)
+    want = {}
+    for i in range(0, 300, 2):
+        if zlib.crc32(str(i).encode()) % 3 != 1:
+            want[" ".join(toxicity.words_of(texts[i][0]))] = 1 if i == 0 else texts[i][1]
+    assert {r.words: label for label, t in found.items() for r in t.collect()} == want
