@@ -138,7 +138,9 @@ class Scorer:
             turned = ordinary[half:] + ordinary[:half]
             self.toxic, self.ordinary, self.turned = (self._compressor(d, settings) for d in (toxic, ordinary, turned))
             self.empty = len(self.ordinary.compress(PAD))
+        # windows of late, and those before them: what is frequent stays when the rest is dropped
         self.known: dict[str, float] = {}
+        self.before: dict[str, float] = {}
         self.phrase_words = phrase_words
 
     @staticmethod
@@ -149,9 +151,12 @@ class Scorer:
 
     def margin(self, window: str) -> float:
         found = self.known.get(window)
+        if found is not None:
+            return found
+        if len(self.known) >= CACHED_WINDOWS // 2:
+            self.before, self.known = self.known, {}
+        found = self.before.get(window)
         if found is None:
-            if len(self.known) >= CACHED_WINDOWS:
-                self.known.clear()
             data = PAD + _wide(window)
             ordinary = len(self.ordinary.compress(data))
             gain = ordinary - len(self.toxic.compress(data))
@@ -160,7 +165,7 @@ class Scorer:
                 ordinary = min(ordinary, len(self.turned.compress(data)))
                 gain = ordinary - len(self.toxic.compress(data))
             found = gain / (ordinary - self.empty) * min(1.0, gain / 8) if gain >= LEAST_GAIN and ordinary > self.empty else 0.0
-            self.known[window] = found
+        self.known[window] = found
         return found
 
     def text_margin(self, text: str | None) -> float:

@@ -151,3 +151,18 @@ def test_whole_texts_are_not_moved_to_their_labels(spark, monkeypatch):
         if zlib.crc32(str(i).encode()) % 3 != 1:
             want[" ".join(toxicity.words_of(texts[i][0]))] = 1 if i == 0 else texts[i][1]
     assert {r.words: label for label, t in found.items() for r in t.collect()} == want
+
+
+def test_frequent_windows_are_measured_once(monkeypatch):
+    monkeypatch.setattr(toxicity, "CACHED_WINDOWS", 20)
+    scorer = toxicity.Scorer(b"".join(toxicity._wide(w) for w in ("often", "slime")), toxicity._wide("often"))
+    asked, ordinary = [], scorer.ordinary
+
+    class Counted:
+        def compress(self, data):
+            asked.append(data)
+            return ordinary.compress(data)
+
+    scorer.ordinary = Counted()
+    margins = {scorer.margin(w) for k in range(50) for w in (f"rare{k}", "often")}
+    assert len(asked) == 51 and len(scorer.known) + len(scorer.before) <= 20 and len(margins) >= 1
